@@ -1,15 +1,16 @@
 """Exact Jaccard self-join on word shingles, down to the groups of linked documents.
 
 Equal sets are one node. A pair of similar sets shares a shingle among the first quarter of both in any
-common order, so rows (shingle, node) of those prefixes bring candidates together. Very frequent shingles
-come last in the order: a bounded hint that changes the work but never the result.
+common order, so rows (shingle, node) of those prefixes bring candidates together; the place of a shingle
+in a set also tells how large a partner can be. Very frequent shingles come last in the order: a bounded
+hint that changes the work but never the result.
 
 Two rounds keep dense groups linear without losing a link:
-1. Star: each node of a shingle's group against one leader. Copies in thousands link up here.
-2. Tiles: where a group still holds several components, blocks of it are compared pairwise, banded by
-   size; the bits in which two parity bitmaps differ bound the overlap from above. Only pairs of
-   different components that pass go on.
-In both rounds the bitmap bound precedes the exact intersection of sorted arrays.
+1. Star: each node of a shingle's group against the group's first node. Copies in thousands link up here.
+2. Tiles: groups whose nodes are not all linked to their first one are compared pairwise, large groups in
+   blocks banded by size. Only pairs of different components go on.
+In both rounds the bits in which two parity bitmaps differ bound the overlap from above before the exact
+intersection of sorted arrays.
 """
 
 from __future__ import annotations
@@ -52,18 +53,18 @@ def _texts(batches: Iterator[pa.RecordBatch]):
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """One pass: (doc_id, node, n) of every document, and (shingle, seen) of locally frequent ones."""
+    """One pass: (doc_id, node, n, bits) of every document, and (shingle, seen) of locally frequent ones."""
 
     def describe(batches):
-        names = ["doc_id", "node", "n", "shingle", "seen"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "node", "n", "bits", "shingle", "seen"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         known, held, count = set(), [], 0
 
         def hot():
             values, seen = np.unique(np.concatenate(held), return_counts=True)
             keep = seen >= LOCAL_HOT
             k = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 3 + [pa.array(values[keep].view(np.int64)), pa.array(seen[keep].astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 3 + [pa.nulls(k, pa.binary()), pa.array(values[keep].view(np.int64)), pa.array(seen[keep].astype(np.int64))], names)
 
         for ids, sets in _texts(batches):
             nodes = [set_hash(s) for s in sets]
@@ -72,25 +73,26 @@ def _describe(docs: DataFrame) -> DataFrame:
                     known.add(h)
                     held.append(s)
                     count += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([ids, nodes, [len(s) for s in sets]], kinds)] + [pa.nulls(len(ids), pa.int64())] * 2, names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([ids, nodes, [len(s) for s in sets], [_bitmap(s) if len(s) else None for s in sets]], kinds)] + [pa.nulls(len(ids), pa.int64())] * 2, names)
             if count > 4_000_000:
                 yield hot()
                 known, held, count = set(), [], 0
         if held:
             yield hot()
 
-    return materialize(docs.mapInArrow(describe, "doc_id long, node long, n long, shingle long, seen long"), "sets")
+    return materialize(docs.mapInArrow(describe, "doc_id long, node long, n long, bits binary, shingle long, seen long"), "sets")
 
 
 def _prefix_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(shingle, node, n): the prefix of each set in the order (frequent, hash)."""
+    """(shingle, node, n, most): the prefix of each set in the order (frequent, hash). A partner that meets the set
+    first at place i has at most (4 n - 7 i) / 3 shingles, else too few can be common."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def prefixes(batches):
         known: set[int] = set()
         frequent = held.value
         for _, sets in _texts(batches):
-            tokens, nodes, sizes = [], [], []
+            tokens, nodes, sizes, mosts = [], [], [], []
             for s in sets:
                 if not len(s) or (h := set_hash(s)) in known:
                     continue
@@ -107,115 +109,170 @@ def _prefix_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 tokens.append(p)
                 nodes.append(np.full(keep, h, np.int64))
                 sizes.append(np.full(keep, len(s), np.int32))
+                mosts.append(((4 * len(s) - 7 * np.arange(keep)) // 3).astype(np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], ["shingle", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(mosts))], ["shingle", "node", "n", "most"])
 
-    return materialize(docs.mapInArrow(prefixes, "shingle long, node long, n int"), "prefixes")
+    return docs.mapInArrow(prefixes, "shingle long, node long, n int, most int")
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """(shingle, node, n, most, lead, lead_n, lead_most): each further node of a shingle's group beside its first.
+    The sorted rows are streamed, so no group is held."""
+
+    def stream(batches):
+        last = None  # shingle, node and the leader's columns
+        for t in batches:
+            if not len(t):
+                continue
+            shingle, node, n, most = (t.column(c).to_numpy() for c in ("shingle", "node", "n", "most"))
+            new = np.concatenate([[last is None or shingle[0] != last[0]], shingle[1:] != shingle[:-1]])
+            again = ~new & (node == np.concatenate([[last[1] if last else 0], node[:-1]]))
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
+            cols = [np.where(lead >= 0, c[np.maximum(lead, 0)], old) for c, old in zip((node, n, most), last[2:] if last else (0, 0, 0))]
+            last = (shingle[-1], node[-1], *(c[-1] for c in cols))
+            keep = ~new & ~again
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep], k) for c, k in zip((shingle, node, n, most, *cols), kinds)], ["shingle", "node", "n", "most", "lead", "lead_n", "lead_most"])
+
+    ordered = rows.repartition("shingle").sortWithinPartitions("shingle", "node")
+    return materialize(ordered.mapInArrow(stream, "shingle long, node long, n int, most int, lead long, lead_n int, lead_most int"), "stars")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, n, bits, items) of the given nodes, from the texts of their first documents. Which texts are read
-    is told by a bounded table of hashed ids; what else it lets through is harmless."""
+    """(node, items): the sorted shingles of the given nodes, from the texts of their first documents. A bounded
+    table of hashed ids keeps most other texts out before the join does."""
     first = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = first.join(nodes, "node", "left_semi").select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).cast("int").alias("p")).distinct()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).cast("int")
+    wanted = materialize(first.join(nodes, "node", "left_semi").select("doc_id", place.alias("p")).distinct(), "wanted")
     flags = np.zeros(FILTER, bool)
-    for batch in wanted.toArrow().column("p").chunks:
-        flags[batch.to_numpy()] = True
+    for chunk in wanted.select("p").distinct().toArrow().column("p").chunks:
+        flags[chunk.to_numpy()] = True
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
 
-    def pick(batches):
+    def let_in(batches):
         on = np.unpackbits(held.value).astype(bool)
-        known: set[int] = set()
-
-        def wanted_only():
-            for batch in batches:
-                yield batch.filter(pa.array(on[batch.column("p").to_numpy()]))
+        for t in batches:
+            yield t.select(["doc_id", "text"]).filter(pa.array(on[t.column("p").to_numpy()]))
 
-        for _, sets in _texts(wanted_only()):
-            rows: list[tuple] = []
+    def items(batches):
+        known: set[int] = set()
+        for _, sets in _texts(batches):
+            fresh = []
             for s in sets:
                 if len(s) and (h := set_hash(s)) not in known:
                     known.add(h)
-                    rows.append((h, len(s), _bitmap(s), s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, [pa.int64(), pa.int32(), pa.binary(), pa.binary()])], ["node", "n", "bits", "items"])
+                    fresh.append((h, s.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in fresh], pa.int64()), pa.array([b for _, b in fresh], pa.binary())], ["node", "items"])
+
+    few = docs.where("doc_id is not null").select("doc_id", "text", place.alias("p")).mapInArrow(let_in, "doc_id long, text string")
+    return materialize(few.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(items, "node long, items binary"), "items")
+
 
-    keyed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).cast("int").alias("p"))
-    found = keyed.mapInArrow(pick, "node long, n int, bits binary, items binary")
-    return materialize(found.join(nodes, "node", "left_semi"), "items")
+def _bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
-def _linked(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: bitmap bound first, then the exact intersection of sorted arrays."""
-    small = items.select("node", "n", "bits").dropDuplicates(["node"])
-    left = small.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    right = small.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the bitmap bound lets pass. nodes: (node, n, bits)."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
 
     def bound(batches):
         for t in batches:
-            if not len(t):
-                continue
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(len(t), -1) for c in ("xa", "xb"))
+            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(len(t), BITS // 64) for c in ("xa", "xb"))
             na, nb = (t.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            keep = (na + nb - differ) // 2 >= needed(na, nb)
-            yield t.select(["a", "b"]).filter(pa.array(keep))
+            yield t.select(["a", "b"]).filter(pa.array((na + nb - _bits_apart(x, y)) // 2 >= needed(na, nb)))
+
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bound, "a long, b long"), "near")
+
 
-    near = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bound, "a long, b long"), "near")
+def _linked(near: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by the exact intersection of sorted arrays."""
+    nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    sets = _sets_of(docs, nodes, members)
 
     def exact(batches):
         for t in batches:
             keep = []
             for x, y in zip(t.column("ia"), t.column("ib")):
-                s, u = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                s, u = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(s, u, assume_unique=True))
                 keep.append(100 * both >= 75 * (len(s) + len(u) - both))
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = items.select("node", "items")
     full = near.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
     return materialize(full.select("a", "b", "ia", "ib").mapInArrow(exact, "a long, b long").distinct(), "links")
 
 
-def _tile_pairs(rows: DataFrame, items: DataFrame) -> DataFrame:
+def _tiles(rows: DataFrame) -> DataFrame:
+    """rows with a tile. A group of at most TILE rows is one tile. A larger one is cut into bands of sizes 4/3
+    apart and blocks of about TILE rows; a tile is a pair of blocks of one band or of neighbouring ones, and
+    each row goes to the tiles of its block only."""
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"))
+    sized = rows.join(counts, "shingle")
+    tile = lambda lo_band, i, up, j: F.struct(lo_band.cast("int").alias("band"), i.cast("int").alias("i"), up.cast("int").alias("up"), j.cast("int").alias("j"))
+    zero, one = F.lit(0), F.lit(1)
+    small = sized.where(F.col("rows") <= TILE).withColumn("tile", tile(zero, zero, zero, zero)).drop("rows")
+    banded = sized.where(F.col("rows") > TILE).drop("rows").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int"))
+    blocks = banded.groupBy("shingle", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("blocks"))
+    above = blocks.select("shingle", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    under = blocks.select("shingle", (F.col("band") + 1).alias("band"), F.col("blocks").alias("under"))
+    around = blocks.join(above, ["shingle", "band"], "left").join(under, ["shingle", "band"], "left")
+    placed = banded.join(around, ["shingle", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    span = lambda c: F.when(F.col(c) > 0, F.sequence(zero, F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    band, block = F.col("band"), F.col("block")
+    same = F.transform(span("blocks"), lambda j: tile(band, F.least(block, j), zero, F.greatest(block, j)))
+    up = F.transform(span("above"), lambda j: tile(band, block, one, j))
+    down = F.transform(span("under"), lambda j: tile(band - 1, j, one, block))
+    large = placed.withColumn("tile", F.explode(F.concat(same, up, down)))
+    return small.unionByName(large.select(*small.columns))
+
+
+def _tile_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) of different components that share a prefix shingle and pass the size and bitmap bounds.
 
-    rows: (shingle, node, n, component). Groups are cut into bands of sizes 4/3 apart and blocks of at most
-    about TILE rows; a tile is a pair of blocks of one band or of neighbouring ones, and each row goes to
-    the tiles of its block only.
+    rows: (shingle, node, n, most, component).
     """
-    banded = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int"))
-    counts = banded.groupBy("shingle", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("blocks"))
-    beside = counts.select("shingle", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    below = counts.select("shingle", (F.col("band") + 1).alias("band"), F.col("blocks").alias("under"))
-    around = counts.join(beside, ["shingle", "band"], "left").join(below, ["shingle", "band"], "left")
-    placed = banded.join(around, ["shingle", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    tile = lambda lo_band, i, hi_band, j: F.struct(lo_band.alias("band"), i.alias("i"), (hi_band - lo_band).alias("up"), j.alias("j"))
-    span = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    band, block = F.col("band"), F.col("block")
-    same = F.transform(span(F.col("blocks")), lambda j: tile(band, F.least(block, j), band, F.greatest(block, j)))
-    up = F.transform(span(F.coalesce(F.col("above"), F.lit(0))), lambda j: tile(band, block, band + 1, j))
-    down = F.transform(span(F.coalesce(F.col("under"), F.lit(0))), lambda j: tile(band - 1, j, band, block))
-    spread = placed.withColumn("tile", F.explode(F.concat(same, up, down)))
-    tiles = spread.join(items.select("node", "bits").dropDuplicates(["node"]), "node").select("shingle", "tile", "node", "n", "component", "bits")
-
-    def compare(t: pa.Table) -> pa.Table:
-        node, n, part = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "component"))
-        order = np.lexsort((node, n))
-        node, n, part = node[order], n[order], part[order]
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)[order]
-        found_a, found_b = [], []
-        for i in range(len(node)):
-            to = int(np.searchsorted(n, n[i] * 4 // 3, "right"))
-            j = np.flatnonzero(part[i + 1 : to] != part[i]) + i + 1
+    full = _tiles(rows).join(nodes.select("node", "bits"), "node").select("shingle", "tile", "node", "n", "most", "component", "bits")
+    ordered = full.repartition("shingle", "tile").sortWithinPartitions("shingle", "tile", "n").select("shingle", F.xxhash64("tile").alias("tile"), "node", "n", "most", "component", "bits")
+
+    def pairs_of(node, n, most, part, bits, out: set):
+        for i in range(len(node) - 1):
+            to = int(np.searchsorted(n, most[i], "right"))
+            if to <= i + 1:
+                continue
+            j = np.flatnonzero((part[i + 1 : to] != part[i]) & (most[i + 1 : to] >= n[i])) + i + 1
             if len(j):
-                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                j = j[(n[j] + n[i] - differ) // 2 >= needed(n[j], n[i])]
-                found_a.append(np.full(len(j), node[i]))
-                found_b.append(node[j])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                j = j[(n[j] + n[i] - _bits_apart(bits[j], bits[i])) // 2 >= needed(n[j], n[i])]
+                out.update((min(node[i], x), max(node[i], x)) for x in node[j].tolist())
+
+    def compare(batches):
+        held: list = []
+
+        def groups(whole: bool):
+            t = pa.Table.from_batches(held)
+            shingle, tile, node, n, most, part = (t.column(c).to_numpy().astype(np.int64) for c in ("shingle", "tile", "node", "n", "most", "component"))
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(node), BITS // 64)
+            edge = np.concatenate([[0], np.flatnonzero((shingle[1:] != shingle[:-1]) | (tile[1:] != tile[:-1])) + 1, [len(node)]])
+            if not whole:
+                edge = edge[:-1]  # the last group may go on
+            out: set = set()
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if b - a > 1 and (part[a:b] != part[a]).any():
+                    pairs_of(node[a:b], n[a:b], most[a:b], part[a:b], bits[a:b], out)
+            held[:] = t.slice(int(edge[-1])).to_batches() if not whole else []
+            return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+            if sum(map(len, held)) > 50_000:
+                yield groups(False)
+        if held:
+            yield groups(True)
 
-    return tiles.groupBy("shingle", "tile").applyInArrow(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return materialize(ordered.mapInArrow(compare, "a long, b long").distinct(), "tiles")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -229,31 +286,28 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     described = _describe(docs)
     members = described.where("n is not null").select("doc_id", "node", "n")
+    nodes = described.where("n > 0 and doc_id is not null").select("node", "n", "bits").dropDuplicates(["node"])
     frequent = described.where("seen is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= HOT)
     top = frequent.orderBy(F.col("seen").desc(), "shingle").limit(HOT_MOST).select("shingle").toArrow().column("shingle")
-    rows = _prefix_rows(docs.where("doc_id is not null"), np.sort(top.to_numpy().astype(np.int64).view(np.uint64)))
-
-    twice = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("shingle")
-    shared = materialize(rows.join(twice, "shingle", "left_semi").distinct(), "shared")
-    leaders = shared.groupBy("shingle").agg(F.min_by(F.struct("node", "n"), "node").alias("lead"), F.max("node").alias("last")).where("lead.node <> last")
-    star = shared.join(leaders, "shingle").where("node <> lead.node")
-    fits = (F.least("n", "lead.n") * 4) >= (F.greatest("n", "lead.n") * 3)
-    pairs = star.where(fits).select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
-    multi = materialize(shared.join(leaders.select("shingle"), "shingle", "left_semi"), "shared")
-    items = _sets_of(docs, multi.select("node").distinct(), members)
-    links = _linked(pairs, items)
+    stars = _stars(_prefix_rows(docs.where("doc_id is not null"), np.sort(top.to_numpy().astype(np.int64).view(np.uint64))))
 
+    pairs = stars.where("n <= lead_most and lead_n <= most").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    links = _linked(_bounded(pairs, nodes), docs, members)
     parts = connected_components(links)
-    label = multi.join(parts.withColumnRenamed("component", "c"), "node", "left").select("shingle", "node", "n", F.coalesce("c", "node").alias("component"))
-    mixed = label.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    rest = materialize(label.join(mixed, "shingle", "left_semi"), "mixed")
-    more = _linked(materialize(_tile_pairs(rest, items), "tiles"), items)
 
-    edges = links.select("a", "b").union(more.select("a", "b"))
+    # a group of two is settled; so is one whose nodes are all linked to the first
+    linked = links.select(F.col("a").alias("node"), F.col("b").alias("lead"), F.lit(1).alias("ok"))
+    open_groups = stars.join(linked, ["node", "lead"], "left").groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.count("ok").alias("oks")).where("rows > 1 and oks < rows").select("shingle")
+    rest = materialize(stars.join(open_groups, "shingle", "left_semi"), "open")
+    leads = rest.select("shingle", F.col("lead").alias("node"), F.col("lead_n").alias("n"), F.col("lead_most").alias("most")).distinct()
+    both = rest.select("shingle", "node", "n", "most").union(leads)
+    label = both.join(parts.withColumnRenamed("component", "c"), "node", "left").select("shingle", "node", "n", "most", F.coalesce("c", "node").alias("component"))
+    more = _linked(_bounded(_tile_pairs(label, nodes), nodes), docs, members)
+
     # rows of one doc_id are one document: tie its texts together
     ids = members.where("n > 0 and doc_id is not null").select("doc_id", "node").distinct()
     same = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
-    edges = edges.union(same.join(ids, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
+    edges = links.union(more).union(same.join(ids, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
     final = connected_components(edges)
     of_node = members.where("n > 0").select("node", "doc_id").join(final, "node", "left").withColumn("c", F.coalesce("component", "node"))
     lowest = of_node.groupBy("c").agg(F.min("doc_id").alias("component_id"))
