@@ -3,31 +3,68 @@
 Both vocabularies in use split text before they merge, and never across a boundary between a non-space
 character and a single space or line feed that a non-space character follows. So a text is cut there,
 each distinct piece is encoded once a worker (bounded memory), and the ids are joined. Texts with other
-white space next to white space, or with "<|" (special tokens), go to the tokenizer whole.
+white space, white space beside white space, or "<|" (special tokens) go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: Distinct pieces that a worker remembers; when full it starts anew, so memory stays bounded.
-REMEMBER = 400_000
-_WHOLE = re.compile(r"\s\s|^\s|\s$|<\||[\x0b-\x0d\x1c-\x1f\x85\xa0  -     　\t]")
-_PIECE = re.compile(r" ?[^ \n]+|\n")
+REMEMBER = 1_400_000
+_WHOLE = re.compile(r"\s\s|^\s|\s$|<\||[^\S \n]")
+#: Beyond these Latin letters, and at the one whose lower case is two, the tokenizer's own rules are asked.
+_BEYOND = re.compile("[\u0130\u0250-\U0010ffff]")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _open: dict[str, "Encoder"] = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as itself where that prints, and the others as the letters from 256 on."""
+    others = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+class _Pieces(dict):
+    """Piece to ids, as little-endian unsigned 32-bit bytes; looking up a new piece encodes it."""
+
+    def __init__(self, encoder: "Encoder", lead: str):
+        self.encoder, self.lead, self.letters = encoder, lead, _byte_letters()
+        self.lower, self.tokenize = encoder.lower, encoder.t.model.tokenize
+        self.mark = lead.translate(self.letters)
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > REMEMBER:
+            self.clear()
+        if "\n" in piece:  # byte level only; as good as unique, so not remembered
+            left, right = piece.split("\n", 1)
+            return self[left] + self.encoder.feed + self.encoder.first[right]
+        if piece.isalpha() and (piece.isascii() or not _BEYOND.search(piece)):
+            text = piece.lower() if self.lower else piece
+            if not piece.isascii():
+                text = text.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [x.id for x in self.tokenize(self.mark + text)]).tobytes()
+        elif (stem := piece.rstrip(_MARKS)) != piece and stem.isalpha():
+            ids = self[stem] + array("I", [x.id for x in self.tokenize(piece[len(stem) :])]).tobytes()
+        else:
+            ids = self.encoder.whole(self.lead + piece)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.spaced = self.t.normalizer is None  # byte level: the space before a word belongs to it
-        self.seen: dict[str, bytes] = {}
+        self.lower = self.t.normalizer is not None
+        # byte level: the space before a word belongs to it, and a line feed is a token
+        self.feed = b"" if self.lower else self.whole("\n")
+        self.first = _Pieces(self, "")
+        self.later = self.first if self.lower else _Pieces(self, " ")
 
     @classmethod
     def at(cls, path: str) -> "Encoder":
@@ -37,52 +74,22 @@ class Encoder:
         return _open[path]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.seen) + len(words) > REMEMBER:
-            self.seen.clear()
-        if self.spaced:
-            parts = [w if w[0] in " \n" else "\n" + w for w in words]
-            text = "".join(parts)
-        else:
-            text = self.t.normalizer.normalize_str(" ".join(words))
-            parts = [p + " " for p in text.split(" ")]
-            if len(parts) != len(words):
-                self.seen.update((w, self.whole(w)) for w in words)
-                return
-        ends = np.cumsum([len(p) for p in parts])
-        pieces = self.t.pre_tokenizer.pre_tokenize_str(text)
-        owner = np.searchsorted(ends, [a for _, (a, _) in pieces], "right")
-        ids: list[list[int]] = [[] for _ in words]
-        tokenize = self.t.model.tokenize
-        known: dict[str, list[int]] = {}
-        for (piece, _), k in zip(pieces, owner.tolist()):
-            if (got := known.get(piece)) is None:
-                got = known[piece] = [x.id for x in tokenize(piece)]
-            ids[k] += got
-        for w, got, part in zip(words, ids, parts):
-            if self.spaced and part is not w and part != w:
-                got = got[1:]  # the line feed put before it
-            self.seen[w] = np.array(got, "<u4").tobytes()
+        return array("I", self.t.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null has none."""
-        cut, new = [], set()
-        for text in texts:
-            if not text or _WHOLE.search(text):
-                cut.append(None)
-                continue
-            words = _PIECE.findall(text) if self.spaced else text.replace("\n", " ").split(" ")
-            cut.append(words)
-            new.update(words)
-        if missing := [w for w in new if w not in self.seen]:
-            if len(self.seen) + len(missing) > REMEMBER:
-                self.seen.clear()
-                missing = list(new)
-            self.learn(missing)
-        get = self.seen.__getitem__
-        return [b"".join(map(get, words)) if words is not None else self.whole(text) if text else b"" for text, words in zip(texts, cut)]
+        """Ids of each text; null has none."""
+        out = []
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif _WHOLE.search(t):
+                out.append(self.whole(t))
+            elif self.lower:
+                out.append(b"".join(map(self.first.__getitem__, t.replace("\n", " ").split(" "))))
+            else:
+                head, *rest = t.split(" ")
+                out.append(self.first[head] + b"".join(map(self.later.__getitem__, rest)))
+        return out
 
 
 def slices(texts: list[str | None], chars: int = 1 << 20):

@@ -27,44 +27,42 @@ PILOT = 1024
 LIMIT = float(1 << 22)
 
 
-def lists_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in ascending order of each dimension, and the sorted components."""
-    order = np.argsort(x, axis=0, kind="stable").T.astype(np.int32)
-    return order, np.take_along_axis(x.T, order, axis=1)
+def lists_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each dimension the sorted components (the list), each row's place in it, and the components by row.
+    With the places, one comparison takes in all entries of a list down to a depth."""
+    order = np.argsort(x, axis=0, kind="stable").T
+    place = np.empty(order.shape, np.uint16 if len(x) < 1 << 16 else np.uint32)
+    np.put_along_axis(place, order, np.arange(len(x), dtype=place.dtype)[None, :], axis=1)
+    return np.take_along_axis(x.T, order, axis=1), place, x.T.astype(np.float32)
 
 
-def read_lists(x: np.ndarray, order: np.ndarray, values: np.ndarray, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, float]:
+def read_lists(x: np.ndarray, lists: tuple, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, float]:
     """(rows, scores, share read): all rows that can be among the k best of x @ q, ties included.
 
     floor: a score that k rows elsewhere reach already.
     """
+    values, place, columns = lists
     n = len(x)
-    groups = [(np.flatnonzero(q > 0), True), (np.flatnonzero(q < 0), False)]
-    dims = np.concatenate([d for d, _ in groups])
-    falling = np.arange(len(dims)) < len(groups[0][0])
+    down, up = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+    dims, falling = np.concatenate([down, up]), np.arange(len(down) + len(up)) < len(down)
     w = q[dims]
     low = np.where(falling, values[dims, 0], values[dims, -1]) * w  # the worst entry of each list
     step = max(1, -(-n // STEPS))
-    sums, unread = np.zeros(n), np.ones((len(dims), n), np.float32)
     left, at = np.arange(n), 0
+    entries, of = columns[dims] * w[:, None].astype(np.float32), place[dims]
     while at < n and len(left) > max(FEW, k, n // 32):
-        to = min(n, at + step)
-        j = 0
-        for own, down in groups:
-            part = slice(n - to, n - at) if down else slice(at, to)
-            rows = order[own, part]
-            sums += np.bincount(rows.ravel(), (values[own, part] * q[own, None]).ravel(), n)
-            unread.ravel()[(rows + (np.arange(j, j + len(own)) * n)[:, None]).ravel()] = 0
-            j += len(own)
-        at = to
+        at = min(n, at + step)
         if at == n:
             break
+        read = np.concatenate([of[: len(down)] >= n - at, of[len(down) :] < at]).astype(np.float32)
         high = np.where(falling, values[dims, n - at - 1], values[dims, at]) * w  # the best unread entry
-        rest = unread if len(left) == n else unread[:, left]
-        slack = 1e-5 * (np.abs(high).sum() + np.abs(low).sum())  # of single precision below
-        lower, upper = sums[left] + low.astype(np.float32) @ rest - slack, sums[left] + high.astype(np.float32) @ rest + slack
+        slack = 2e-5 * (np.abs(high) + np.abs(low)).sum() + 2e-5 * np.abs(values[dims][:, [0, -1]] * w[:, None]).max(axis=1).sum()  # of single precision
+        seen = np.einsum("dn,dn->n", read, entries)
+        lower = seen + low.sum() - low.astype(np.float32) @ read - slack
+        upper = seen + high.sum() - high.astype(np.float32) @ read + slack
         kth = max(floor, float(np.partition(lower, len(left) - k)[len(left) - k]) if len(left) > k else -np.inf)
-        left = left[upper >= kth]
+        stay = upper >= kth
+        left, entries, of = left[stay], entries[:, stay], of[:, stay]
     return left, x[left] @ q, at / n
 
 
@@ -85,9 +83,9 @@ def top_products(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256
         lists = part.column("ids").to_pylist()
         x = np.array(part.column("v").to_pylist(), np.float64)
         offsets, ids = flatten(lists)
-        (order, values), (order1, values1) = lists_of(x[:PILOT]), lists_of(x[PILOT:])
         out = io.BytesIO()
-        np.savez(out, x=x, order=order, values=values, order1=order1, values1=values1, offsets=offsets, ids=ids)
+        parts = {f"{name}{part}": c for part, rows in enumerate((x[:PILOT], x[PILOT:])) if len(rows) for name, c in zip(("values", "place", "columns"), lists_of(rows))}
+        np.savez(out, x=x, offsets=offsets, ids=ids, **parts)
         return pa.table({"dim": pa.array([x.shape[1]], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "payload": pa.array([out.getvalue()], pa.binary())})
 
     index = placed.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, payload binary")
@@ -98,15 +96,15 @@ def top_products(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256
             for dim, ids, vectors, payload in zip(*(batch.column(c) for c in ("dim", "ids", "vectors", "payload"))):
                 z = np.load(io.BytesIO(payload.as_py()))
                 x, offsets, members = (z[c] for c in ("x", "offsets", "ids"))
-                parts = [(x[:PILOT], z["order"], z["values"], 0)] + ([(x[PILOT:], z["order1"], z["values1"], PILOT)] if len(x) > PILOT else [])
+                parts = [(rows, tuple(z[f"{name}{part}"] for name in ("values", "place", "columns")), part * PILOT) for part, rows in enumerate((x[:PILOT], x[PILOT:])) if len(rows)]
                 own = np.frombuffer(ids.as_py(), "<i8")
                 qs = np.frombuffer(vectors.as_py(), np.float64).reshape(len(own), dim.as_py())
                 out: list[list] = [[], [], []]
                 for q_id, q in zip(own.tolist(), qs):
                     # the query's own vector may fill a place, so one more is kept
                     found, floor = [], -np.inf
-                    for xs, order, values, base in parts:
-                        near, score, _ = read_lists(xs, order, values, q, k + 1, floor)
+                    for xs, lists, base in parts:
+                        near, score, _ = read_lists(xs, lists, q, k + 1, floor)
                         found.append((near + base, score))
                         if len(score) > k:
                             floor = float(np.partition(score, len(score) - k - 1)[len(score) - k - 1])
