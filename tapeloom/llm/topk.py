@@ -30,10 +30,11 @@ LIMIT = float(1 << 22)
 def lists_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each dimension the sorted components (the list), each row's place in it, and the components by row.
     With the places, one comparison takes in all entries of a list down to a depth."""
-    order = np.argsort(x, axis=0, kind="stable").T
+    by_dim = np.ascontiguousarray(x.T)
+    order = np.argsort(by_dim, axis=1, kind="stable")
     place = np.empty(order.shape, np.uint16 if len(x) < 1 << 16 else np.uint32)
     np.put_along_axis(place, order, np.arange(len(x), dtype=place.dtype)[None, :], axis=1)
-    return np.take_along_axis(x.T, order, axis=1), place, x.T.astype(np.float32)
+    return np.take_along_axis(by_dim, order, axis=1), place, by_dim.astype(np.float32)
 
 
 def read_lists(x: np.ndarray, lists: tuple, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, float]:
@@ -43,26 +44,29 @@ def read_lists(x: np.ndarray, lists: tuple, q: np.ndarray, k: int, floor: float
     """
     values, place, columns = lists
     n = len(x)
-    down, up = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-    dims, falling = np.concatenate([down, up]), np.arange(len(down) + len(up)) < len(down)
-    w = q[dims]
-    low = np.where(falling, values[dims, 0], values[dims, -1]) * w  # the worst entry of each list
+    rising = q < 0
+    first, last = values[:, 0], values[:, -1]
+    low = np.where(rising, last, first) * q  # the worst entry of each list
+    slack = 4e-5 * np.maximum(np.abs(first * q), np.abs(last * q)).sum()  # of the single precision below
     step = max(1, -(-n // STEPS))
-    left, at = np.arange(n), 0
-    entries, of = columns[dims] * w[:, None].astype(np.float32), place[dims]
-    while at < n and len(left) > max(FEW, k, n // 32):
+    left = held = np.arange(n)
+    at = 0
+    entries = columns * q[:, None].astype(np.float32)
+    while at < n and len(left) > max(FEW, k, n // 8):
         at = min(n, at + step)
         if at == n:
             break
-        read = np.concatenate([of[: len(down)] >= n - at, of[len(down) :] < at]).astype(np.float32)
-        high = np.where(falling, values[dims, n - at - 1], values[dims, at]) * w  # the best unread entry
-        slack = 2e-5 * (np.abs(high) + np.abs(low)).sum() + 2e-5 * np.abs(values[dims][:, [0, -1]] * w[:, None]).max(axis=1).sum()  # of single precision
+        border = np.where(rising, at, n - at).astype(place.dtype)[:, None]
+        read = ((place >= border) ^ rising[:, None]).astype(np.float32)
+        high = np.where(rising, values[:, min(at, n - 1)], values[:, n - at - 1]) * q  # the best unread entry
         seen = np.einsum("dn,dn->n", read, entries)
         lower = seen + low.sum() - low.astype(np.float32) @ read - slack
         upper = seen + high.sum() - high.astype(np.float32) @ read + slack
-        kth = max(floor, float(np.partition(lower, len(left) - k)[len(left) - k]) if len(left) > k else -np.inf)
-        stay = upper >= kth
-        left, entries, of = left[stay], entries[:, stay], of[:, stay]
+        kth = max(floor, float(np.partition(lower, len(held) - k)[len(held) - k]) if len(held) > k else -np.inf)
+        stay = np.flatnonzero(upper >= kth)
+        left = held[stay]
+        if 4 * len(left) < len(held):  # copying pays
+            held, entries, place = left, entries.take(stay, axis=1), place.take(stay, axis=1)
     return left, x[left] @ q, at / n
 
 
