@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from .tokens import slices
 LOCAL_HOT, HOT, HOT_MOST = 6, 48, 1 << 16
 BITS = 1024
 TILE = 4096
+#: Partners of a text that are compared in one task.
+SALT_ROWS = 4096
 #: Positions of the bounded filter that keeps unneeded texts from being read again.
 FILTER = 1 << 20
 
@@ -139,36 +142,6 @@ def _stars(rows: DataFrame) -> DataFrame:
     return materialize(ordered.mapInArrow(stream, "shingle long, node long, n int, most int, lead long, lead_n int, lead_most int"), "stars")
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, items): the sorted shingles of the given nodes, from the texts of their first documents. A bounded
-    table of hashed ids keeps most other texts out before the join does."""
-    first = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).cast("int")
-    wanted = materialize(first.join(nodes, "node", "left_semi").select("doc_id", place.alias("p")).distinct(), "wanted")
-    flags = np.zeros(FILTER, bool)
-    for chunk in wanted.select("p").distinct().toArrow().column("p").chunks:
-        flags[chunk.to_numpy()] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
-
-    def let_in(batches):
-        on = np.unpackbits(held.value).astype(bool)
-        for t in batches:
-            yield t.select(["doc_id", "text"]).filter(pa.array(on[t.column("p").to_numpy()]))
-
-    def items(batches):
-        known: set[int] = set()
-        for _, sets in _texts(batches):
-            fresh = []
-            for s in sets:
-                if len(s) and (h := set_hash(s)) not in known:
-                    known.add(h)
-                    fresh.append((h, s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in fresh], pa.int64()), pa.array([b for _, b in fresh], pa.binary())], ["node", "items"])
-
-    few = docs.where("doc_id is not null").select("doc_id", "text", place.alias("p")).mapInArrow(let_in, "doc_id long, text string")
-    return materialize(few.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(items, "node long, items binary"), "items")
-
-
 def _bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
@@ -187,22 +160,55 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bound, "a long, b long"), "near")
 
 
-def _linked(near: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by the exact intersection of sorted arrays."""
-    nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    sets = _sets_of(docs, nodes, members)
+def _linked(near: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by the exact intersection of sorted arrays.
 
-    def exact(batches):
+    Texts travel compressed and become sets where they meet: those of all a go to their b, and those of b
+    to each of its salts, so a text with very many partners is spread over tasks. A bounded table of hashed
+    ids keeps most other texts out before the joins do. nodes: (node, n, bits, doc_id).
+    """
+    first = nodes.select("node", "doc_id")
+    pairs = near.join(first.withColumnRenamed("node", "a").withColumnRenamed("doc_id", "da"), "a").join(first.withColumnRenamed("node", "b").withColumnRenamed("doc_id", "db"), "b")
+    pairs = materialize(pairs, "pairs")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER)).cast("int")
+    flags = np.zeros(FILTER, bool)
+    for chunk in pairs.select(F.explode(F.array(place("da"), place("db"))).alias("p")).distinct().toArrow().column("p").chunks:
+        flags[chunk.to_numpy()] = True
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
+
+    def let_in(batches):
+        on = np.unpackbits(held.value).astype(bool)
+        pack = zstandard.ZstdCompressor(3).compress
         for t in batches:
-            keep = []
-            for x, y in zip(t.column("ia"), t.column("ib")):
-                s, u = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, u, assume_unique=True))
-                keep.append(100 * both >= 75 * (len(s) + len(u) - both))
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            t = t.filter(pa.array(on[t.column("p").to_numpy()]))
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array([pack(x.encode("utf-8", "surrogatepass")) for x in t.column("text").to_pylist()], pa.binary())], ["doc_id", "z"])
 
-    full = near.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
-    return materialize(full.select("a", "b", "ia", "ib").mapInArrow(exact, "a long, b long").distinct(), "links")
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text", place("doc_id").alias("p")).mapInArrow(let_in, "doc_id long, z binary")
+    salts = pairs.groupBy("b").agg(F.first("db").alias("db"), F.ceil(F.count(F.lit(1)) / F.lit(SALT_ROWS)).cast("int").alias("salts"))
+    salted = pairs.join(salts.select("b", "salts"), "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    members = texts.join(salted, texts["doc_id"] == salted["da"]).select("b", "salt", "a", "z")
+    heads = texts.join(salts, texts["doc_id"] == salts["db"]).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "z")
+    together = heads.union(members).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+
+    def exact(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        head, own = None, np.zeros(0, np.uint64)
+        for t in batches:
+            found_a, found_b = [], []
+            for b, a, z in zip(t.column("b").to_pylist(), t.column("a").to_pylist(), t.column("z")):
+                s = shingle_sets([unpack(z.as_py()).decode("utf-8", "surrogatepass")])[0]
+                h = set_hash(s)
+                if a is None:
+                    if h == b:
+                        head, own = b, s
+                elif h == a and head == b:  # else another text of that doc_id
+                    both = len(np.intersect1d(s, own, assume_unique=True))
+                    if 100 * both >= 75 * (len(s) + len(own) - both):
+                        found_a.append(a)
+                        found_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+
+    return materialize(together.mapInArrow(exact, "a long, b long").distinct(), "links")
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
@@ -286,13 +292,14 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     described = _describe(docs)
     members = described.where("n is not null").select("doc_id", "node", "n")
-    nodes = described.where("n > 0 and doc_id is not null").select("node", "n", "bits").dropDuplicates(["node"])
+    known = described.where("n > 0 and doc_id is not null")
+    nodes = materialize(known.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")), "nodes")
     frequent = described.where("seen is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= HOT)
     top = frequent.orderBy(F.col("seen").desc(), "shingle").limit(HOT_MOST).select("shingle").toArrow().column("shingle")
     stars = _stars(_prefix_rows(docs.where("doc_id is not null"), np.sort(top.to_numpy().astype(np.int64).view(np.uint64))))
 
     pairs = stars.where("n <= lead_most and lead_n <= most").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    links = _linked(_bounded(pairs, nodes), docs, members)
+    links = _linked(_bounded(pairs, nodes), docs, nodes)
     parts = connected_components(links)
 
     # a group of two is settled; so is one whose nodes are all linked to the first
@@ -302,7 +309,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     leads = rest.select("shingle", F.col("lead").alias("node"), F.col("lead_n").alias("n"), F.col("lead_most").alias("most")).distinct()
     both = rest.select("shingle", "node", "n", "most").union(leads)
     label = both.join(parts.withColumnRenamed("component", "c"), "node", "left").select("shingle", "node", "n", "most", F.coalesce("c", "node").alias("component"))
-    more = _linked(_bounded(_tile_pairs(label, nodes), nodes), docs, members)
+    more = _linked(_bounded(_tile_pairs(label, nodes), nodes), docs, nodes)
 
     # rows of one doc_id are one document: tie its texts together
     ids = members.where("n > 0 and doc_id is not null").select("doc_id", "node").distinct()
