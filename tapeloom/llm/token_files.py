@@ -33,6 +33,32 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.where(values > 0, np.floor(np.log2(np.maximum(values, 1))).astype(np.int64) + 1, 0)
 
 
+def _to_bits(rows: np.ndarray, w: int) -> np.ndarray:
+    """Values of w bits in big-endian bit order: eight of them take w bytes."""
+    eight = rows.reshape(-1, 8)
+    out = np.zeros((len(eight), w), np.uint8)
+    for k in range(8):
+        byte, bit = divmod(k * w, 8)
+        span = (bit + w + 7) // 8
+        v = eight[:, k].astype(np.uint64) << np.uint64(8 * span - bit - w)
+        for j in range(span):
+            out[:, byte + j] |= (v >> np.uint64(8 * (span - 1 - j))).astype(np.uint8)
+    return out.reshape(len(rows), -1)
+
+
+def _from_bits(data: np.ndarray, w: int) -> np.ndarray:
+    eight = data.reshape(-1, w)
+    out = np.empty((len(eight), 8), np.uint32)
+    for k in range(8):
+        byte, bit = divmod(k * w, 8)
+        span = (bit + w + 7) // 8
+        v = eight[:, byte].astype(np.uint32 if span <= 4 else np.uint64)
+        for j in range(1, span):
+            v = (v << v.dtype.type(8)) | eight[:, byte + j]
+        out[:, k] = (v >> v.dtype.type(8 * span - bit - w)) & v.dtype.type((1 << w) - 1)
+    return out.reshape(len(data), -1)
+
+
 def pack_ids(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     """Header (count, blocks, exceptions), minima, widths, exception counts, block starts, packed bits, exceptions."""
     n = len(ids)
@@ -53,9 +79,7 @@ def pack_ids(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     for w in np.unique(width):
         if w:
             at = np.flatnonzero(width == w)
-            kind, size = (">u2", 16) if w <= 16 else (">u4", 32)
-            bits = np.unpackbits(np.ascontiguousarray(kept[at]).astype(kind).view(np.uint8).reshape(-1, size // 8), axis=1)[:, size - w :]
-            packed[(starts[at][:, None] + np.arange(w * BLOCK // 8)).ravel()] = np.packbits(bits.reshape(len(at), -1), axis=1).ravel()
+            packed[starts[at][:, None] + np.arange(w * BLOCK // 8)] = _to_bits(kept[at], int(w))
     where = np.nonzero(over)
     head = struct.pack("<4sQII", MAGIC, n, blocks, len(where[0]))
     return b"".join([head, low.astype("<u4").tobytes(), width.astype(np.uint8).tobytes(), over.sum(axis=1).astype(np.uint8).tobytes(), starts.astype("<u4").tobytes(), packed.tobytes(), where[1].astype(np.uint8).tobytes(), diff[where].astype("<u4").tobytes()])
@@ -80,10 +104,7 @@ def unpack_ids(data: bytes) -> np.ndarray:
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
-            kind, size = (">u2", 16) if w <= 16 else (">u4", 32)
-            bits = np.zeros((len(rows) * BLOCK, size), np.uint8)
-            bits[:, size - w :] = np.unpackbits(packed[starts[rows][:, None] + np.arange(int(w) * BLOCK // 8)], axis=1).reshape(-1, w)
-            diff[rows] = np.packbits(bits, axis=1).view(kind).reshape(len(rows), BLOCK)
+            diff[rows] = _from_bits(packed[starts[rows][:, None] + np.arange(int(w) * BLOCK // 8)], int(w))
     diff[np.repeat(np.arange(blocks), extra), place] = value
     return (diff + low[:, None]).ravel()[:n]
 

@@ -14,7 +14,10 @@ from array import array
 
 #: Distinct pieces that a worker remembers; when full it starts anew, so memory stays bounded.
 REMEMBER = 1_400_000
-_WHOLE = re.compile(r"\s\s|^\s|\s$|<\||[^\S \n]")
+#: White space other than a single space or line feed between words.
+_ODD = ("  ", " \n", "\n ", "\n\n", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+#: Separators that Python's split() takes for white space and the vocabularies' patterns do not.
+_UNLIKE = "\x1c\x1d\x1e\x1f"
 #: Beyond these Latin letters, and at the one whose lower case is two, the tokenizer's own rules are asked.
 _BEYOND = re.compile("[\u0130\u0250-\U0010ffff]")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -34,6 +37,9 @@ class _Pieces(dict):
         self.encoder, self.lead, self.letters = encoder, lead, _byte_letters()
         self.lower, self.tokenize = encoder.lower, encoder.t.model.tokenize
         self.mark = lead.translate(self.letters)
+        # a Latin letter as the letters of its UTF-8 bytes
+        self.latin = {c: "".join(chr(self.letters.get(x, x)) for x in chr(c).encode()) for c in range(0x80, 0x250)}
+        self.tails: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) > REMEMBER:
@@ -44,16 +50,24 @@ class _Pieces(dict):
         if piece.isalpha() and (piece.isascii() or not _BEYOND.search(piece)):
             text = piece.lower() if self.lower else piece
             if not piece.isascii():
-                text = text.encode().decode("latin-1").translate(self.letters)
+                text = text.translate(self.latin)
             ids = array("I", [x.id for x in self.tokenize(self.mark + text)]).tobytes()
         elif (stem := piece.rstrip(_MARKS)) != piece and stem.isalpha():
-            ids = self[stem] + array("I", [x.id for x in self.tokenize(piece[len(stem) :])]).tobytes()
+            ids = self[stem] + self.tail(piece[len(stem) :])
         else:
             ids = self.encoder.whole(self.lead + piece)
         self[piece] = ids
         return ids
 
 
+    def tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[marks] = array("I", [x.id for x in self.tokenize(marks)]).tobytes()
+        return self.tails[marks]
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,10 +96,10 @@ class Encoder:
         for t in texts:
             if not t:
                 out.append(b"")
-            elif _WHOLE.search(t):
+            elif "<|" in t or any(c in t for c in (_UNLIKE if self.lower else _ODD)) or (not self.lower and (t[0] in " \n" or t[-1] in " \n")):
                 out.append(self.whole(t))
             elif self.lower:
-                out.append(b"".join(map(self.first.__getitem__, t.replace("\n", " ").split(" "))))
+                out.append(b"".join(map(self.first.__getitem__, t.split())))
             else:
                 head, *rest = t.split(" ")
                 out.append(self.first[head] + b"".join(map(self.later.__getitem__, rest)))
