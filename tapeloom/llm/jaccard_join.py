@@ -42,9 +42,17 @@ def needed(a, b):
     return -(-(3 * (a + b)) // 7)
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    """Parity of the number of shingles that fall on each bit."""
-    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+def _bitmaps(s: np.ndarray) -> tuple[bytes, bytes]:
+    """Parity of the number of shingles that fall on each bit: of BITS bits, and of at least four a shingle. As the
+    sizes are powers of two, halves laid over each other by exclusive or give the next smaller one."""
+    size = max(BITS, 1 << (4 * len(s) - 1).bit_length())
+    parity = np.bincount((s >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
+    wide = np.packbits(parity.astype(np.uint8)).view(np.uint64)
+    return _folded(wide, BITS // 64).tobytes(), wide.tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0) if len(bits) > words else bits
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):
@@ -56,18 +64,18 @@ def _texts(batches: Iterator[pa.RecordBatch]):
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """One pass: (doc_id, node, n, bits) of every document, and (shingle, seen) of locally frequent ones."""
+    """One pass: (doc_id, node, n, bits, wide) of every document, and (shingle, seen) of locally frequent ones."""
 
     def describe(batches):
-        names = ["doc_id", "node", "n", "bits", "shingle", "seen"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["doc_id", "node", "n", "bits", "wide", "shingle", "seen"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         known, held, count = set(), [], 0
 
         def hot():
             values, seen = np.unique(np.concatenate(held), return_counts=True)
             keep = seen >= LOCAL_HOT
             k = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 3 + [pa.nulls(k, pa.binary()), pa.array(values[keep].view(np.int64)), pa.array(seen[keep].astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 3 + [pa.nulls(k, pa.binary())] * 2 + [pa.array(values[keep].view(np.int64)), pa.array(seen[keep].astype(np.int64))], names)
 
         for ids, sets in _texts(batches):
             nodes = [set_hash(s) for s in sets]
@@ -76,14 +84,15 @@ def _describe(docs: DataFrame) -> DataFrame:
                     known.add(h)
                     held.append(s)
                     count += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([ids, nodes, [len(s) for s in sets], [_bitmap(s) if len(s) else None for s in sets]], kinds)] + [pa.nulls(len(ids), pa.int64())] * 2, names)
+            maps = [_bitmaps(s) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([ids, nodes, [len(s) for s in sets], [m[0] for m in maps], [m[1] for m in maps]], kinds)] + [pa.nulls(len(ids), pa.int64())] * 2, names)
             if count > 4_000_000:
                 yield hot()
                 known, held, count = set(), [], 0
         if held:
             yield hot()
 
-    return materialize(docs.mapInArrow(describe, "doc_id long, node long, n long, bits binary, shingle long, seen long"), "sets")
+    return materialize(docs.mapInArrow(describe, "doc_id long, node long, n long, bits binary, wide binary, shingle long, seen long"), "sets")
 
 
 def _prefix_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -120,8 +129,8 @@ def _prefix_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """(shingle, node, n, most, lead, lead_n, lead_most): each further node of a shingle's group beside its first.
-    The sorted rows are streamed, so no group is held."""
+    """(shingle, node, n, most, lead, lead_n, lead_most): each further node of a shingle's group beside its first,
+    which is the one that admits the largest partners. The sorted rows are streamed, so no group is held."""
 
     def stream(batches):
         last = None  # shingle, node and the leader's columns
@@ -138,7 +147,7 @@ def _stars(rows: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c[keep], k) for c, k in zip((shingle, node, n, most, *cols), kinds)], ["shingle", "node", "n", "most", "lead", "lead_n", "lead_most"])
 
-    ordered = rows.repartition("shingle").sortWithinPartitions("shingle", "node")
+    ordered = rows.repartition("shingle").sortWithinPartitions("shingle", F.col("most").desc(), "node")
     return materialize(ordered.mapInArrow(stream, "shingle long, node long, n int, most int, lead long, lead_n int, lead_most int"), "stars")
 
 
@@ -147,15 +156,19 @@ def _bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the bitmap bound lets pass. nodes: (node, n, bits)."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    """The pairs (a, b) that the bitmap bound lets pass. nodes: (node, n, wide)."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("xa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("xb"))
 
     def bound(batches):
         for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(len(t), BITS // 64) for c in ("xa", "xb"))
             na, nb = (t.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            yield t.select(["a", "b"]).filter(pa.array((na + nb - _bits_apart(x, y)) // 2 >= needed(na, nb)))
+            differ = np.zeros(len(t), np.int64)
+            for k, (x, y) in enumerate(zip(t.column("xa"), t.column("xb"))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                words = min(len(x), len(y))
+                differ[k] = _bits_apart(_folded(x, words), _folded(y, words))
+            yield t.select(["a", "b"]).filter(pa.array((na + nb - differ) // 2 >= needed(na, nb)))
 
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bound, "a long, b long"), "near")
 
@@ -165,7 +178,7 @@ def _linked(near: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Texts travel compressed and become sets where they meet: those of all a go to their b, and those of b
     to each of its salts, so a text with very many partners is spread over tasks. A bounded table of hashed
-    ids keeps most other texts out before the joins do. nodes: (node, n, bits, doc_id).
+    ids keeps most other texts out before the joins do. nodes: (node, n, bits, wide, doc_id).
     """
     first = nodes.select("node", "doc_id")
     pairs = near.join(first.withColumnRenamed("node", "a").withColumnRenamed("doc_id", "da"), "a").join(first.withColumnRenamed("node", "b").withColumnRenamed("doc_id", "db"), "b")
@@ -293,7 +306,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     described = _describe(docs)
     members = described.where("n is not null").select("doc_id", "node", "n")
     known = described.where("n > 0 and doc_id is not null")
-    nodes = materialize(known.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")), "nodes")
+    nodes = materialize(known.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.min("doc_id").alias("doc_id")), "nodes")
     frequent = described.where("seen is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= HOT)
     top = frequent.orderBy(F.col("seen").desc(), "shingle").limit(HOT_MOST).select("shingle").toArrow().column("shingle")
     stars = _stars(_prefix_rows(docs.where("doc_id is not null"), np.sort(top.to_numpy().astype(np.int64).view(np.uint64))))
