@@ -29,7 +29,7 @@ from .tokens import slices
 
 #: Shingles in so many distinct sets of one batch are reported; of those in so many overall, the most frequent come last.
 LOCAL_HOT, HOT, HOT_MOST = 6, 48, 1 << 16
-BITS = 1024
+BITS = 512
 TILE = 4096
 #: Partners of a text that are compared in one task.
 SALT_ROWS = 4096
@@ -43,9 +43,9 @@ def needed(a, b):
 
 
 def _bitmaps(s: np.ndarray) -> tuple[bytes, bytes]:
-    """Parity of the number of shingles that fall on each bit: of BITS bits, and of at least four a shingle. As the
+    """Parity of the number of shingles that fall on each bit: of BITS bits, and of at least two a shingle. As the
     sizes are powers of two, halves laid over each other by exclusive or give the next smaller one."""
-    size = max(BITS, 1 << (4 * len(s) - 1).bit_length())
+    size = max(BITS, 1 << (2 * len(s) - 1).bit_length())
     parity = np.bincount((s >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
     wide = np.packbits(parity.astype(np.uint8)).view(np.uint64)
     return _folded(wide, BITS // 64).tobytes(), wide.tobytes()
