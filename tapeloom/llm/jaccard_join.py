@@ -199,8 +199,9 @@ def _linked(near: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text", place("doc_id").alias("p")).mapInArrow(let_in, "doc_id long, z binary")
     salts = pairs.groupBy("b").agg(F.first("db").alias("db"), F.ceil(F.count(F.lit(1)) / F.lit(SALT_ROWS)).cast("int").alias("salts"))
     salted = pairs.join(salts.select("b", "salts"), "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-    members = texts.join(salted, texts["doc_id"] == salted["da"]).select("b", "salt", "a", "z")
-    heads = texts.join(salts, texts["doc_id"] == salts["db"]).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "z")
+    # shuffled at any size: a plan that broadcasts while pairs are few would move more only as they grow
+    members = texts.join(salted.hint("shuffle_hash"), texts["doc_id"] == salted["da"]).select("b", "salt", "a", "z")
+    heads = texts.join(salts.hint("shuffle_hash"), texts["doc_id"] == salts["db"]).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "z")
     together = heads.union(members).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def exact(batches):
