@@ -24,7 +24,7 @@ def forward_returns(starts: DataFrame, minutes: DataFrame, horizons=HORIZONS) ->
     exploded offsets instead of one join a horizon."""
     close = minutes.select("symbol", F.col("bar_us").alias("at"), F.col("close").cast("double").alias("c"))
     keyed = starts.select("symbol", "entry_us").distinct()
-    want = keyed.select("symbol", "entry_us", F.explode(F.array(*[F.lit(h) for h in (0, *horizons)])).alias("h")).withColumn("at", F.col("entry_us") + F.col("h") * MINUTE)
+    want = keyed.select("symbol", "entry_us", F.explode(F.array(*[F.lit(h) for h in (0, *horizons)])).alias("h")).withColumn("at", F.col("entry_us") + F.col("h").cast("long") * MINUTE)
     got = want.join(close, ["symbol", "at"], "left").groupBy("symbol", "entry_us").agg(*[F.max(F.when(F.col("h") == h, F.col("c"))).alias(f"c{h}") for h in (0, *horizons)])
     rets = got.select("symbol", "entry_us", *[((F.col(f"c{h}") / F.col("c0") - 1) * 100).alias(f"ret_{h}m") for h in horizons])
     return starts.join(rets, ["symbol", "entry_us"], "left")
@@ -32,7 +32,7 @@ def forward_returns(starts: DataFrame, minutes: DataFrame, horizons=HORIZONS) ->
 
 def control_pool(minutes: DataFrame, alerts: DataFrame, around: int = 60) -> DataFrame:
     """Minutes of a symbol with no alert within an hour. An exploded equi anti-join, not a range join."""
-    busy = alerts.select("symbol", F.explode(F.sequence(F.lit(-around), F.lit(around))).alias("m"), floor_to(F.col("detected_us"), MINUTE).alias("t")).select("symbol", (F.col("t") + F.col("m") * MINUTE).alias("bar_us")).distinct()
+    busy = alerts.select("symbol", F.explode(F.sequence(F.lit(-around), F.lit(around))).alias("m"), floor_to(F.col("detected_us"), MINUTE).alias("t")).select("symbol", (F.col("t") + F.col("m").cast("long") * MINUTE).alias("bar_us")).distinct()
     return minutes.select("symbol", "bar_us").join(busy, ["symbol", "bar_us"], "left_anti")
 
 
