@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import time
+from collections import Counter
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import latest
+from ..sources.store import Store, latest
 
 #: Calls to a model a day, failed ones included.
 CALLS_A_DAY = 3
@@ -76,3 +78,56 @@ def briefing_status(incidents: int, calls_today: int, answer: dict | None) -> st
     if incidents == 0:
         return "quiet"
     return "written" if answer is not None and calls_today < CALLS_A_DAY else "awaiting_analyst"
+
+
+def problems(noted: list[int], expected: list[int]) -> list[str]:
+    """What validated() finds, for one answer on the driver."""
+    out = [f"unknown incident {n}" for n in sorted(set(noted) - set(expected))]
+    out += [f"missing incident {n}" for n in sorted(set(expected) - set(noted))]
+    return out + [f"incident {n} noted twice" for n, k in sorted(Counter(noted).items()) if k > 1]
+
+
+def write_briefing(store: Store, day: date, run_id: str, evidence: DataFrame, ask: Callable[[str, dict], dict], models: list[str], wait_s: float = 1.0) -> str:
+    """Stores the briefing of a run and the notes on its incidents; returns its status. evidence has one row an incident of
+    the day, which is what a model is shown."""
+    spark, shown = store.spark, [json.loads(x) for x in evidence.toJSON().collect()]
+    expected = [r["incident_no"] for r in shown]
+    calls = store.read("ops/llm_calls").where(F.to_date("called_at") == F.current_date()).count()
+
+    def log(model: str, status: str, error: str | None) -> None:
+        store.append("ops/llm_calls", spark.createDataFrame([(datetime.now(), day, model, status, error)], "called_at timestamp, trade_date date, model string, status string, error string"))
+
+    def checked(model: str, what: dict) -> dict:
+        answer = ask(model, what)
+        if found := problems([n["incident_no"] for n in answer.get("notes", [])], expected):
+            raise ValueError("; ".join(found))
+        return answer
+
+    answer = answered(checked, models, {"trade_date": day.isoformat(), "incidents": shown}, log, CALLS_A_DAY - calls, wait_s=wait_s) if shown else None
+    status = briefing_status(len(shown), calls, answer)
+    text = answer["summary"] if status == "written" else f"{len(shown)} incidents on {day}" + ("" if status == "quiet" else ", waiting for an analyst")
+    row = (day, run_id, status, text, json.dumps(shown), datetime.now())
+    store.append("gold/daily_briefings", spark.createDataFrame([row], "trade_date date, run_id string, status string, summary string, evidence string, created_at timestamp"))
+    if status == "written":
+        wide = {r["incident_no"]: "market_wide" if r.get("overlapping") else "single_asset" for r in shown}
+        notes = [(run_id, n["incident_no"], n.get("headline", ""), n.get("note", ""), wide[n["incident_no"]]) for n in answer.get("notes", [])]
+        store.replace("gold/incident_briefs", spark.createDataFrame(notes, "run_id string, incident_no long, headline string, note string, scope string"))
+    return status
+
+
+def catch_up(store: Store, evidence_of: Callable[[str], DataFrame], ask: Callable[[str, dict], dict], models: list[str], wait_s: float = 1.0) -> list[tuple[date, str]]:
+    """Briefs official runs that lack a final briefing, newest first, and stops at the first that must wait."""
+    done = []
+    for r in without_briefing(official_runs(store.read("ops/daily_runs")), store.read("gold/daily_briefings")).collect():
+        done.append((r.trade_date, write_briefing(store, r.trade_date, r.run_id, evidence_of(r.run_id), ask, models, wait_s)))
+        if done[-1][1] not in TERMINAL:
+            break
+    return done
+
+
+def publish_research(store: Store, rows: DataFrame) -> int:
+    """Appends a study as the next version of the snapshot table."""
+    last = store.read("gold/signal_research").agg(F.max("version")).first()[0]
+    version = (last or 0) + 1
+    store.append("gold/signal_research", rows.withColumn("version", F.lit(version)))
+    return version

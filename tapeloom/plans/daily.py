@@ -13,7 +13,7 @@ from ..functions.columns import MINUTE, SECOND
 from ..operators import bars as B
 from ..operators import features as X
 from ..operators import replay, rules
-from ..sources.store import Store
+from ..sources.store import Store, latest
 from .briefing import official_runs, retention_candidates
 
 
@@ -25,17 +25,31 @@ def _micros(day: date) -> int:
     return int(datetime(day.year, day.month, day.day, tzinfo=UTC).timestamp()) * SECOND
 
 
+def register(store: Store, run_id: str, day: date, status: str, purged_at: datetime | None = None) -> None:
+    """A row a change of a run's state; the latest one counts."""
+    now = datetime.now()
+    row = store.spark.createDataFrame([(run_id, day, status, now, purged_at)], "run_id string, trade_date date, status string, written_at timestamp, bronze_purged_at timestamp")
+    store.append("bronze/replay_runs", row)
+
+
+def runs(store: Store) -> DataFrame:
+    return latest(store.read("bronze/replay_runs"), ["run_id"], "written_at")
+
+
 def run_day(spark: SparkSession, store: Store, day: date, load: Callable[[date], DataFrame], profile: DataFrame, book: rules.RuleBook, lateness_s: float = 10.0, tick_s: float = 10.0, force: bool = False) -> str:
     """completed, skipped (an official run exists), source_missing or failed; the reason goes to the audit row."""
     if not force and official_runs(store.read("ops/daily_runs")).where(F.col("trade_date") == F.lit(day)).take(1):
         return "skipped"
     run_id, status, detail = new_run_id(), "completed", None
+    register(store, run_id, day, "running")
     try:
         trades = load(day)
         batches = replay.batched(replay.arrivals(trades, late_permille=0), tick_s)
         store.replace("bronze/trade_events", batches.select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("ingested_at"), *batches.columns))
-        landed = store.read("bronze/trade_events").where(F.col("run_id") == run_id).withColumnRenamed("arrival_us", "a").withColumn("arrival_us", F.col("a"))
-        batches = replay.batched(landed.drop("batch_id", "a"), tick_s)
+        landed = store.read("bronze/trade_events").where(F.col("run_id") == run_id)
+        sent = replay.delivery(trades, landed).first()
+        detail = None if sent.ok else f"emitted {sent.emitted}, landed {sent.landed}, distinct {sent.distinct_rows}"
+        batches = replay.batched(landed.drop("batch_id"), tick_s)
         base = B.base_bars(batches, lateness_s, SECOND)
         minutes = B.rolled_up(base, batches, lateness_s, MINUTE)
         for step, rows in ((1, base), (60, minutes)):
@@ -55,6 +69,7 @@ def run_day(spark: SparkSession, store: Store, day: date, load: Callable[[date],
         status, detail = "source_missing", str(e)[:500]
     except Exception as e:  # the audit row must tell; the next day's job goes on
         status, detail = "failed", str(e)[-2000:]
+    register(store, run_id, day, status)
     audit = spark.createDataFrame([(day, run_id, status, datetime.now(), detail)], "trade_date date, run_id string, status string, finished_at timestamp, detail string")
     store.append("ops/daily_runs", audit)
     return status
@@ -67,7 +82,9 @@ def due_days(today: date, heal: int = 7, first: date | None = None) -> list[date
 
 
 def purge_old(store: Store, today: date, days: int = 7) -> int:
-    """Drops raw trades of runs past retention; returns the rows gone."""
-    old = [r[0] for r in retention_candidates(store.read("bronze/replay_runs"), today, days).select("run_id").collect()]
-    gone = store.purge("bronze/trade_events", "run_id", old) if old else 0
+    """Drops raw trades of runs past retention and stamps those runs; returns the rows gone. One row a run is read."""
+    old = retention_candidates(runs(store), today, days).select("run_id", "trade_date", "status").collect()
+    gone = store.purge("bronze/trade_events", "run_id", [r.run_id for r in old]) if old else 0
+    for r in old:
+        register(store, r.run_id, r.trade_date, r.status, datetime.now())
     return gone

@@ -192,6 +192,16 @@ def test_daily_job(spark, tmp_path):
     assert daily.run_day(spark, store, date(2024, 1, 15), load, profile, book) == "completed"
     assert daily.run_day(spark, store, date(2024, 1, 15), load, profile, book) == "skipped"
     assert store.read("silver/bars").where("step_s = 1").count() == 200
+    inc = store.read("ops/incidents").select("incident_no", "symbol", F.lit(None).cast("array<int>").alias("overlapping"))
+    ask = lambda model, shown: {"summary": "calm", "notes": [{"incident_no": r["incident_no"], "note": "n"} for r in shown["incidents"]]}
+    n = inc.count()
+    assert briefing.catch_up(store, lambda run: inc, ask, ["m"], 0) == [(date(2024, 1, 15), "written" if n else "quiet")]
+    assert briefing.catch_up(store, lambda run: inc, ask, ["m"], 0) == [] and store.read("gold/incident_briefs").count() == n
+    one = spark.createDataFrame([(7, "x")], "incident_no int, symbol string")
+    assert briefing.write_briefing(store, date(2024, 1, 14), "r", one, lambda m, e: {"summary": "", "notes": []}, ["m"], 0) == "awaiting_analyst"
+    assert briefing.publish_research(store, spark.createDataFrame([("size", 5)], "section string, horizon int")) == 1
+    assert briefing.publish_research(store, spark.createDataFrame([("size", 5)], "section string, horizon int")) == 2
+    assert daily.purge_old(store, date(2024, 1, 30)) == 200 and daily.purge_old(store, date(2024, 1, 30)) == 0
 
     def gone(day):
         raise FileNotFoundError("no file")
