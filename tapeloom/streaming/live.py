@@ -64,3 +64,10 @@ def stream_alerts(conditions: DataFrame, clear_after_s: int = 60) -> DataFrame:
         yield pd.DataFrame({"symbol": [key[0]] * len(fired), "rule": [key[1]] * len(fired), "fired_us": fired})
 
     return conditions.groupBy("symbol", "rule").applyInPandasWithState(step, "symbol string, rule string, fired_us long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def start_live(spark: SparkSession, folder: str, checkpoint: str, write_bars: Callable[[DataFrame, int], None], write_alerts: Callable[[DataFrame, int], None], conditions_of: Callable[[DataFrame], DataFrame], lateness_s: float = 10.0) -> list:
+    """Bars and alerts of one tape as two running queries of a session; stop() ends them at a batch's border."""
+    bars = stream_to_store(stream_bars(trade_stream(spark, folder), lateness_s), write_bars, f"{checkpoint}/bars")
+    found = stream_to_store(stream_alerts(conditions_of(trade_stream(spark, folder))), write_alerts, f"{checkpoint}/alerts")
+    return [bars, found]
