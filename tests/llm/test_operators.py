@@ -267,7 +267,8 @@ def test_lines(spark, docs):
 
 def test_simhash_counts_bits(spark):
     d = spark.createDataFrame([(i, [f"{WORDS[k * 7 % 125]}{k % 11}" for k in range(n)], n) for i, n in enumerate((8, 50, 255, 256, 700))], "id int, words array<string>, n int")
-    for r in line_dedup._simhashes(line_dedup._counted(d, "words")).join(d.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("h")), "id").collect():
+    hashed = d.select("n", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    for r in hashed.select("h", line_dedup._simhash(F.col("h"), F.col("n")).alias("sim")).collect():
         want = sum(1 << (8 * b + j) for j in range(8) for b in range(7) if 2 * sum(((h % (1 << 64)) >> (8 * b + j)) & 1 for h in r.h) > len(r.h))
         assert r.sim == want
 
