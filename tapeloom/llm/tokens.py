@@ -13,7 +13,7 @@ import re
 from array import array
 
 #: Distinct pieces that a worker remembers; when full it starts anew, so memory stays bounded.
-REMEMBER = 1_400_000
+REMEMBER = 600_000
 #: White space other than a single space or line feed between words.
 _ODD = ("  ", " \n", "\n ", "\n\n", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 #: Separators that Python's split() takes for white space and the vocabularies' patterns do not.
