@@ -382,3 +382,47 @@ def test_pipeline_stages(spark):
     after = jaccard_join.jaccard_groups(kept["ngram_jaccard"])
     assert after.where("component_id <> doc_id").count() == 0
     assert docs.agg(F.sum("length")).first()[0] == docs.select("doc_id", "doc_tokens").distinct().join(kept["mixing"].groupBy("doc_id").count(), "doc_id").agg(F.sum(F.col("doc_tokens") * F.col("count"))).first()[0]
+
+
+def edit_similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        diagonal, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            diagonal, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, diagonal + (x != y))
+    return 1 - row[-1] / max(len(a), len(b), 1)
+
+
+def lines_left(texts):
+    """Word lists of lines kept by linking all pairs of distinct lines by edit similarity, in order."""
+    words = [re.findall(r"[^\W\d_]+", t.lower()) for t in texts]
+    group = list(range(len(words)))
+    for i, j in itertools.combinations(range(len(words)), 2):
+        n = max(len(words[i]), len(words[j]))
+        if group[i] != group[j] and abs(len(words[i]) - len(words[j])) <= n // 10 and edit_similarity(words[i], words[j]) >= 0.9 - 1e-9:
+            old, new = max(group[i], group[j]), min(group[i], group[j])
+            group = [new if g == old else g for g in group]
+    return [t for i, t in enumerate(texts) if group[i] == i]
+
+
+def test_lines_equal_all_pairs(spark):
+    """Edited copies of lines of many lengths, some with a common passage, against all pairs by edit similarity."""
+    rng = np.random.default_rng(3)
+    passage = text_of(99, 30).split()
+    texts = []
+    for k in range(70):
+        line = text_of(1000 + k, int(rng.integers(10, 130))).split()
+        if k % 5 == 0:
+            line[3:3] = passage
+        texts.append(" ".join(line))
+        for _ in range(3):
+            edited = list(line)
+            for _ in range(int(rng.integers(1, max(2, len(line) // 8 + 1)))):
+                at, kind = int(rng.integers(0, len(edited))), rng.integers(0, 3)
+                edited[at : at + (kind != 1)] = [] if kind == 0 else [WORDS[int(rng.integers(0, len(WORDS)))]]
+            texts.append(" ".join(edited))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_removed = 0").orderBy("doc_id").collect()
+    want = lines_left(texts)
+    assert [r.text for r in out] == want and len(want) < len(texts) - 100
