@@ -426,3 +426,10 @@ def test_lines_equal_all_pairs(spark):
     out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_removed = 0").orderBy("doc_id").collect()
     want = lines_left(texts)
     assert [r.text for r in out] == want and len(want) < len(texts) - 100
+
+
+def test_lines_keep_numbers(spark):
+    """Lines that differ in numbers only are not one line; equal ones are."""
+    rows = [(1, "Sales in 2019 were 4,112 units"), (2, "Sales in 2020 were 977 units"), (3, "sales in 2019: were 4.112 units!")]
+    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: 0, 2: 0, 3: 1}
