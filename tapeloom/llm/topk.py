@@ -23,8 +23,9 @@ SHARD_ROWS = 16384
 STEPS, FEW = 4, 64
 #: Rows of a shard that are searched first, so that the rest starts from their k-th best score.
 PILOT = 1024
-#: Components are held within this, so that sums stay exact in double precision.
-LIMIT = float(1 << 22)
+#: Sums under the first are exact in double precision; components and sums under the second fit single precision, in
+#: which the lists are read.
+EXACT, SINGLE = float(1 << 53), 1e30
 
 
 def lists_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,17 +71,28 @@ def read_lists(x: np.ndarray, lists: tuple, q: np.ndarray, k: int, floor: float
     return left, x[left] @ q, at / n
 
 
+def resolved(x: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """x[rows] @ q of integers held as doubles: as integers of any size where doubles could be off."""
+    if (np.abs(x[rows]) @ np.abs(q)).max(initial=0) < EXACT:
+        return x[rows] @ q
+    own = [int(c) for c in q.tolist()]
+    out = np.empty(len(rows), object)
+    out[:] = [sum(int(a) * b for a, b in zip(row, own)) for row in x[rows].tolist()]
+    return out
+
+
 def top_products(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each row whose vec_id is divisible
     by `every` with all other rows, components being floor(scale * x).
 
     Equal integer vectors are kept once with their smallest ids. Vectors null, empty or with null or
-    non-finite components take no part, zero vectors do; components are held within 2^22 either way;
-    vectors meet those of their own length only; fewer candidates than k give fewer rows; an empty table
+    non-finite components take no part, zero vectors do; scores are exact integers, and components or
+    scores of the result beyond 64 bits are an error, as in SQL; vectors meet those of their own length only; fewer candidates than k give fewer rows; an empty table
     gives none. Extra columns are not read.
     """
-    whole = F.transform("v", lambda x: F.least(F.lit(LIMIT), F.greatest(F.lit(-LIMIT), F.floor(x * F.lit(float(scale))).cast("double"))))
-    rows = clean(table).where(F.forall("v", lambda x: F.abs(x) < 1e15)).select("vec_id", whole.alias("v"))
+    fits = lambda x: F.abs(x * F.lit(float(scale))) < F.lit(float(1 << 63))
+    whole = F.transform("v", lambda x: F.when(fits(x), F.floor(x * F.lit(float(scale))).cast("double")).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("double")))
+    rows = clean(table).select("vec_id", whole.alias("v"))
     placed, counts = shards(materialize(distinct_vectors(rows, k + 1), "integers"), shard_rows)
 
     def build(key: tuple, part: pa.Table) -> pa.Table:
@@ -100,18 +112,20 @@ def top_products(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256
             for dim, ids, vectors, payload in zip(*(batch.column(c) for c in ("dim", "ids", "vectors", "payload"))):
                 z = np.load(io.BytesIO(payload.as_py()))
                 x, offsets, members = (z[c] for c in ("x", "offsets", "ids"))
-                parts = [(rows, tuple(z[f"{name}{part}"] for name in ("values", "place", "columns")), part * PILOT) for part, rows in enumerate((x[:PILOT], x[PILOT:])) if len(rows)]
+                parts = [(rows, np.abs(rows).max(axis=0), tuple(z[f"{name}{part}"] for name in ("values", "place", "columns")), part * PILOT) for part, rows in enumerate((x[:PILOT], x[PILOT:])) if len(rows)]
                 own = np.frombuffer(ids.as_py(), "<i8")
                 qs = np.frombuffer(vectors.as_py(), np.float64).reshape(len(own), dim.as_py())
                 out: list[list] = [[], [], []]
                 for q_id, q in zip(own.tolist(), qs):
                     # the query's own vector may fill a place, so one more is kept
                     found, floor = [], -np.inf
-                    for xs, lists, base in parts:
-                        near, score, _ = read_lists(xs, lists, q, k + 1, floor)
+                    for xs, most, lists, base in parts:
+                        fit = max(most.max(), np.abs(q).max(), most @ np.abs(q)) < SINGLE
+                        near = read_lists(xs, lists, q, k + 1, floor)[0] if fit else np.arange(len(xs))
+                        score = resolved(xs, near, q)
                         found.append((near + base, score))
                         if len(score) > k:
-                            floor = float(np.partition(score, len(score) - k - 1)[len(score) - k - 1])
+                            floor = max(floor, float(sorted(score.tolist())[-k - 1]))
                     rows, score = (np.concatenate(c) for c in zip(*found))
                     for vec, s in pick(score, rows, offsets, members, q_id, k, False):
                         out[0].append(q_id)

@@ -433,3 +433,12 @@ def test_lines_keep_numbers(spark):
     rows = [(1, "Sales in 2019 were 4,112 units"), (2, "Sales in 2020 were 977 units"), (3, "sales in 2019: were 4.112 units!")]
     out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: 0, 2: 0, 3: 1}
+
+
+def test_top_products_of_large_components(spark):
+    """Components over 2^22 and 1e15, and scores that doubles cannot tell apart."""
+    x = [[1 / 64, 1.0, 0.5], [20000.0, 3.0, 1.0], [4e15, 1.0, 0.0], [4e15, 1.0, -0.25], [-30000.0, 2.0, 7.0], [2e5, -9.0, 3.0], [4e15, 1.25, 0.0]]
+    got = topk.top_products(spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), k=6).orderBy("rank").collect()
+    z = [[math.floor(256 * c) for c in v] for v in x]
+    want = sorted(((-sum(a * b for a, b in zip(z[0], v)), i) for i, v in enumerate(z) if i), key=lambda p: p)
+    assert [(r.vec_id, r.score) for r in got] == [(i, -s) for s, i in want]
