@@ -442,3 +442,10 @@ def test_top_products_of_large_components(spark):
     z = [[math.floor(256 * c) for c in v] for v in x]
     want = sorted(((-sum(a * b for a, b in zip(z[0], v)), i) for i, v in enumerate(z) if i), key=lambda p: p)
     assert [(r.vec_id, r.score) for r in got] == [(i, -s) for s, i in want]
+
+
+def test_pipeline_keeps_token_ids(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    out = corpus_pipeline.packing_stage(spark, spark.read.parquet(f"{d}/documents.parquet").limit(20), d).collect()
+    assert out and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in out)
