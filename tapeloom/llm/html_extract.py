@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -166,9 +167,10 @@ class Page:
         total = max(1.0, float(whole[0]))
         place, brothers, alike = np.zeros(n), np.ones(n), np.ones(n)
         for group in children:
+            same = Counter(self.tag[e] for e in group)
             for k, e in enumerate(group):
                 place[e], brothers[e] = k / len(group), len(group)
-                alike[e] = sum(self.tag[x] == self.tag[e] for x in group) / len(group) if len(group) < 200 else 1.0
+                alike[e] = same[self.tag[e]] / len(group)
         kind = np.array([[t in g for g in GROUPS] for t in self.tag], float)
         tokens = np.array([[bool(a & MAIN_TOKENS), bool(a & SIDE_TOKENS)] for a in self.attributes], float)
         measures = np.stack([depth, np.log1p(own), np.log1p(whole), link / np.maximum(whole, 1), whole / tags, mark / np.maximum(whole, 1), whole / total, before / total, place, np.log(brothers), alike, np.array([len(c) for c in children], float)], axis=1)

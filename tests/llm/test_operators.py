@@ -449,3 +449,11 @@ def test_pipeline_keeps_token_ids(spark):
     d = "/root/testdata/sf0.001"
     out = corpus_pipeline.packing_stage(spark, spark.read.parquet(f"{d}/documents.parquet").limit(20), d).collect()
     assert out and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in out)
+
+
+def test_long_flat_pages_count_tags():
+    """Shares of equal tags among siblings, past 200 of them as under it."""
+    for n in (50, 400):
+        page = html_extract.Page("<body>" + "<p>a</p>" * n + "<div>b</div>" * n + "</body>")
+        alike = page.features()[:, -2]
+        assert [alike[e] for e in range(len(page.tag)) if page.tag[e] in ("p", "div")] == [0.5] * (2 * n)
