@@ -14,9 +14,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """Folder that all executors share: spark.checkpoint.dir. Where that is unset, local sessions get a folder of
+    their own, and on a cluster, whose executors would not see it, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tapeloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -26,12 +29,31 @@ def new_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+#: Drops the shuffle files of a write once it has ended, rather than at the driver's next garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors,
     and later readers take only the columns that they need."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = new_path(spark, label), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote, once all that is made of them is written."""
+    for table in tables:
+        jvm, spark = table.sparkSession._jvm, table.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text: Column) -> Column:
@@ -62,7 +84,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low1 = e1.groupBy("a").agg(F.min("b").alias("m"))
         small = e1.join(low1, "a")
         nxt = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low1.select("a", F.col("m").alias("b"))).distinct()
-        e = materialize(nxt, "cc")
+        old, e = e, materialize(nxt, "cc")
+        discard(old)
         mark = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen:
             break

@@ -261,15 +261,78 @@ def test_lines(spark, docs):
     out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
     assert out[1].text == rows[1][1] and out[3].text == "keep this here line\n\nhi" and out[3].n_removed == 1 and out[3].n_lines == 4
     assert out[2].text == long and out[4].text == "" and out[4].n_removed == 1
-    assert out[5].text is None and out[6].text == "" and out[None].text == "" and out[7].text == "hi\nhi"
+    assert out[5].text is None and out[6].text == "" and out[None].text == "" and out[7].text == "" and out[7].n_removed == 2
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, min_words=3).collect()}
+    assert kept[7] == "hi\nhi" and kept[4] == ""
     assert line_dedup.dedup_lines(docs).count() == docs.count() and line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_simhash_counts_bits(spark):
-    d = spark.createDataFrame([(i, [f"{WORDS[k * 7 % 125]}{k % 11}" for k in range(n)], n) for i, n in enumerate((8, 50, 255, 256, 700))], "id int, words array<string>, n int")
-    for r in line_dedup._simhashes(line_dedup._counted(d, "words")).join(d.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("h")), "id").collect():
-        want = sum(1 << (8 * b + j) for j in range(8) for b in range(7) if 2 * sum(((h % (1 << 64)) >> (8 * b + j)) & 1 for h in r.h) > len(r.h))
-        assert r.sim == want
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def line_near(a, b):
+    """Brute force: edit similarity of 0.9, in characters where the longer line has under LONG words."""
+    n = max(len(a.split()), len(b.split()))
+    if min(len(a.split()), len(b.split())) < line_dedup.FUZZY_WORDS:
+        return a == b
+    x, y = (a.split(), b.split()) if n >= line_dedup.LONG else (a, b)
+    longer = max(len(x), len(y))
+    return abs(len(x) - len(y)) * 10 <= longer and edits(x, y) * 10 <= longer
+
+
+def test_lines_against_all_pairs(spark):
+    """Planted edits of a letter, a word, and a tenth of the words: all found, and no line more than all pairs link."""
+    import random
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    rows, planted = [], []
+    for n in (3, 5, 9, 10, 12, 20, 31, 32, 33, 40, 60):
+        for kind in range(3):
+            for _ in range(6):
+                words = [rng.choice(vocabulary) for _ in range(n)]
+                new = list(words)
+                if kind == 0:
+                    i = rng.randrange(n)
+                    new[i] = new[i][:-1] + "q"
+                else:
+                    for i in rng.sample(range(n), 1 if kind == 1 else max(1, n // 10)):
+                        new[i] = rng.choice(vocabulary)
+                planted.append((len(rows), len(rows) + 1))
+                rows += [" ".join(words), " ".join(new)]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if abs(len(rows[i]) - len(rows[j])) < 60 and len({*rows[i].split()} & {*rows[j].split()}) * 3 >= len(rows[i].split()) - 3 and line_near(rows[i], rows[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    want = {i for i in range(len(rows)) if root(i) != i}
+    assert len(want) > len(planted) / 2
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = line_dedup.dedup_lines(df).collect()
+    assert {r.doc_id for r in out if r.n_removed} == want
+    assert all(r.text == ("" if r.doc_id in want else rows[r.doc_id]) for r in out)
+
+
+def test_lines_of_numbers_marks_and_unspaced_scripts(spark):
+    thai = "\u0e01\u0e02\u0e03\u0e04\u0e05\u0e06\u0e07\u0e08\u0e09\u0e0a\u0e0b\u0e0c\u0e0d\u0e0e\u0e0f\u0e10\u0e11\u0e12\u0e13\u0e14"
+    rows = [(1, "invoice 1001 is 25 dollars"), (2, "invoice 2002 is 99 dollars"), (3, thai), (4, thai[:7] + "\u0e2e" + thai[8:]), (5, "Odd -- marks, here!"), (6, "odd marks (here)"), (7, "***"), (8, "***\n***"), (9, "odd \u2014 marks here\u2026")]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k, r in out.items() if r.n_removed} == {4, 6, 9}
+    assert out[8].text == "***\n***"
 
 
 def test_pages(spark):
