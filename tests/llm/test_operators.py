@@ -267,16 +267,6 @@ def test_lines(spark, docs):
     assert line_dedup.dedup_lines(docs).count() == docs.count() and line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
-def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
 def line_near(a, b):
     """Brute force: edit similarity of 0.9, in characters where the longer line has under LONG words."""
     n = max(len(a.split()), len(b.split()))
@@ -284,7 +274,7 @@ def line_near(a, b):
         return a == b
     x, y = (a.split(), b.split()) if n >= line_dedup.LONG else (a, b)
     longer = max(len(x), len(y))
-    return abs(len(x) - len(y)) * 10 <= longer and edits(x, y) * 10 <= longer
+    return abs(len(x) - len(y)) * 10 <= longer and edit_similarity(x, y) >= 0.9 - 1e-9
 
 
 def test_lines_against_all_pairs(spark):
@@ -457,12 +447,10 @@ def edit_similarity(a, b):
 
 
 def lines_left(texts):
-    """Word lists of lines kept by linking all pairs of distinct lines by edit similarity, in order."""
-    words = [re.findall(r"[^\W\d_]+", t.lower()) for t in texts]
-    group = list(range(len(words)))
-    for i, j in itertools.combinations(range(len(words)), 2):
-        n = max(len(words[i]), len(words[j]))
-        if group[i] != group[j] and abs(len(words[i]) - len(words[j])) <= n // 10 and edit_similarity(words[i], words[j]) >= 0.9 - 1e-9:
+    """Lines kept by linking all pairs of distinct lines by edit similarity, in order."""
+    group = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if group[i] != group[j] and abs(len(texts[i]) - len(texts[j])) <= 90 and line_near(texts[i], texts[j]):
             old, new = max(group[i], group[j]), min(group[i], group[j])
             group = [new if g == old else g for g in group]
     return [t for i, t in enumerate(texts) if group[i] == i]
