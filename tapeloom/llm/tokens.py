@@ -12,8 +12,10 @@ import os
 import re
 from array import array
 
-#: Distinct pieces that a worker remembers; when full it starts anew, so memory stays bounded.
-REMEMBER = 600_000
+#: Bytes of pieces and ids that a worker remembers at most, in each of two generations.
+REMEMBER = 24 << 20
+#: What a remembered piece takes besides its characters and ids.
+_ENTRY = 200
 #: White space other than a single space or line feed between words.
 _ODD = ("  ", " \n", "\n ", "\n\n", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 #: Separators that Python's split() takes for white space and the vocabularies' patterns do not.
@@ -40,10 +42,16 @@ class _Pieces(dict):
         # a Latin letter as the letters of its UTF-8 bytes
         self.latin = {c: "".join(chr(self.letters.get(x, x)) for x in chr(c).encode()) for c in range(0x80, 0x250)}
         self.tails: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the generation before: what is asked for again comes over
+        self.held = 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > REMEMBER:
+        if self.held > REMEMBER:
+            self.old = dict(self)
             self.clear()
+            self.held = 0
+        if (ids := self.old.get(piece)) is not None:
+            return self.keep(piece, ids)
         if "\n" in piece:  # byte level only; as good as unique, so not remembered
             left, right = piece.split("\n", 1)
             return self[left] + self.encoder.feed + self.encoder.first[right]
@@ -52,14 +60,17 @@ class _Pieces(dict):
             if not piece.isascii():
                 text = text.translate(self.latin)
             ids = array("I", [x.id for x in self.tokenize(self.mark + text)]).tobytes()
-        elif (stem := piece.rstrip(_MARKS)) != piece and stem.isalpha():
+        elif (stem := piece.rstrip(_MARKS)) != piece and stem.isalpha() and not _BEYOND.search(stem):
             ids = self[stem] + self.tail(piece[len(stem) :])
         else:
             ids = self.encoder.whole(self.lead + piece)
+        return self.keep(piece, ids)
+
+    def keep(self, piece: str, ids: bytes) -> bytes:
         self[piece] = ids
+        self.held += _ENTRY + len(piece) + len(ids)
         return ids
 
-
     def tail(self, marks: str) -> bytes:
         if marks not in self.tails:
             if len(self.tails) > 10_000:
