@@ -109,6 +109,32 @@ def unpack_ids(data: bytes) -> np.ndarray:
     return (diff + low[:, None]).ravel()[:n]
 
 
+def read_ids(data: memoryview | bytes, start: int, count: int) -> np.ndarray:
+    """Ids start to start + count of pack_ids' bytes: only the blocks that hold them are unpacked, found by their starts."""
+    magic, n, blocks, outliers = struct.unpack_from("<4sQII", data)
+    if magic != MAGIC:
+        raise ValueError("not a token segment")
+    start, end = max(0, start), min(n, start + count)
+    if start >= end:
+        return np.zeros(0, np.uint32)
+    first, last = start // BLOCK, -(-end // BLOCK)
+    at = struct.calcsize("<4sQII")
+    low = np.frombuffer(data, "<u4", last - first, at + 4 * first)
+    width = np.frombuffer(data, "u1", last - first, at + 4 * blocks + first)
+    extra = np.frombuffer(data, "u1", last, at + 5 * blocks).astype(np.int64)
+    starts = np.frombuffer(data, "<u4", blocks + 1, at + 6 * blocks)
+    bits = at + 6 * blocks + 4 * (blocks + 1)
+    skip, own = int(extra[:first].sum()), extra[first:]
+    place = np.frombuffer(data, "u1", int(own.sum()), bits + int(starts[-1]) + skip)
+    value = np.frombuffer(data, "<u4", int(own.sum()), bits + int(starts[-1]) + outliers + 4 * skip)
+    diff = np.zeros((last - first, BLOCK), np.uint32)
+    for k, w in enumerate(width.tolist()):
+        if w:
+            diff[k] = _from_bits(np.frombuffer(data, "u1", w * BLOCK // 8, bits + int(starts[first + k]))[None, :], w)[0]
+    diff[np.repeat(np.arange(last - first), own), place] = value
+    return (diff + low[:, None]).ravel()[start - first * BLOCK : end - first * BLOCK]
+
+
 def _segment(ids: list[int | None], streams: list[bytes]) -> bytes:
     """Document table (ids, null flags, lengths), then the packed ids."""
     lengths = np.array([len(s) // 4 for s in streams], "<u4")
@@ -126,7 +152,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encodes every document, appends end_id and writes segments in ascending doc_id order (null first).
 
     One range-partitioned sort by doc_id; a worker holds one segment. Null or empty text: only the end id.
-    Rows of equal doc_id follow each other, by text. A very long text makes a segment of its own.
+    Rows of equal doc_id follow each other, by text; an empty table gives no segment; other columns are not
+    read. A very long text makes a segment of its own.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,3 +201,47 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", name)
+
+
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame, start: int = 0, count: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids) of the documents whose doc_id is in wanted, or of ids start to start + count of each.
+
+    The segments' document tables say which segment holds a document; in it, the table and the block starts lead
+    to the blocks to unpack. Documents that were written twice come twice; a
+    null doc_id finds nothing.
+    """
+    files = spark.read.schema(SEGMENT).parquet(path)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[], [], []]
+            for part, segment, payload in zip(batch.column("part").to_pylist(), batch.column("segment").to_pylist(), batch.column("payload")):
+                data = payload.as_buffer()
+                (n,) = struct.unpack_from("<I", data)
+                ids, null = np.frombuffer(data, "<i8", n, 4), np.frombuffer(data, "u1", n, 4 + 8 * n)
+                for doc in np.unique(ids[null == 0]).tolist():
+                    for row, x in zip(rows, (part, segment, doc)):
+                        row.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, (pa.int32(), pa.int32(), pa.int64()))], ["part", "segment", "doc_id"])
+
+    places = files.select("part", "segment", "payload").mapInArrow(ends, "part int, segment int, doc_id long")
+    asked = places.join(wanted.select("doc_id").distinct(), "doc_id").groupBy("part", "segment").agg(F.collect_list("doc_id").alias("asked"))
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, sizes, found = [], [], []
+            for payload, ask in zip(batch.column("payload"), batch.column("asked").to_pylist()):
+                data = payload.as_buffer()
+                (n,) = struct.unpack_from("<I", data)
+                ids, null, lengths = np.frombuffer(data, "<i8", n, 4), np.frombuffer(data, "u1", n, 4 + 8 * n), np.frombuffer(data, "<u4", n, 4 + 9 * n).astype(np.int64)
+                before = np.cumsum(lengths) - lengths
+                body = memoryview(data)[4 + 13 * n :]
+                for k in np.flatnonzero(np.isin(ids, ask) & (null == 0)).tolist():
+                    size = int(lengths[k])
+                    most = max(0, size - start) if count is None else min(count, max(0, size - start))
+                    docs.append(int(ids[k]))
+                    sizes.append(size)
+                    found.append(read_ids(body, int(before[k]) + start, most).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+    return files.join(asked, ["part", "segment"]).select("payload", "asked").mapInArrow(seek, "doc_id long, n_tokens long, ids binary")

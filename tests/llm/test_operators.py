@@ -106,6 +106,54 @@ def test_encoder_equals_tokenizer(path, real):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts] + [[], []]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_fuzz(path, monkeypatch):
+    """Marks, combining characters, odd letters and every kind of white space, with a small memory."""
+    monkeypatch.setattr(tokens, "REMEMBER", 20_000)
+    rng = np.random.default_rng(8)
+    letters = list("abcdefgXYZ") + list("\u0130\u0131\u00df\u00e9\u0301\u0307\u01c4\u0149\u03a3\u03c2\u4e2d\u0e01\u1e9e\ufb01\u200d") + list("0123.,!?'-_()<|>") + [" "] * 6 + list("\n\t\r\x0b\x1c\x85\xa0\u2003\u3000")
+    texts = ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(50_000)] + ["B\u0130. M\u0130!"]
+    t = Tokenizer.from_file(path)
+    got = tokens.Encoder(path).encode(texts)
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [i for i, (g, w) in enumerate(zip(got, want)) if np.frombuffer(g, "<u4").tolist() != w] == []
+
+
+def test_packed_pieces_equal_tokenizer(spark, docs):
+    """Every piece's ids and checksum against the tokenizer's own ids, and buckets of one length."""
+    t = Tokenizer.from_file(BYTE)
+    one = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
+    want = {r.doc_id: t.encode(r.text or "", add_special_tokens=False).ids + [0] for r in one.collect()}
+    packed = common.materialize(packing.pack_documents(one, BYTE, longest=64), "test-packed")
+    crc = {r.sequence_id: r.ids_crc32 for r in packing.packed_digest(packed).collect()}
+    seen = Counter()
+    for r in packed.collect():
+        ids = np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()
+        assert r.ids == ids and crc[r.sequence_id] == zlib.crc32(ids) and r.doc_tokens == len(want[r.doc_id]) and 1 << r.bucket == r.length
+        seen[r.doc_id] += r.length
+    assert seen == {k: len(v) for k, v in want.items()}
+    path = common.new_path(spark, "test-buckets")
+    packing.write_buckets(packed, path)
+    assert {r.length for r in spark.read.parquet(f"{path}/bucket=5").collect()} == {32}
+    with pytest.raises(ValueError):
+        packing.pack_documents(docs, BYTE, longest=1 << 16)
+
+
+def test_token_files_seek(spark, docs, monkeypatch):
+    t = Tokenizer.from_file(WORD)
+    path = common.new_path(spark, "test-seek")
+    token_files.write_token_files(docs, path, WORD)
+    some = docs.where("doc_id % 3 = 0").select("doc_id")
+    want = Counter((r.doc_id, tuple((t.encode(r.text or "", add_special_tokens=False).ids + [1])[5:205])) for r in docs.where("doc_id % 3 = 0").collect())
+    got = token_files.read_documents(spark, path, some, 5, 200).collect()
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 1 << 20, 1000, dtype=np.uint64).astype(np.uint32)
+    data = token_files.pack_ids(ids)
+    for start, count in ((0, 1000), (127, 2), (128, 128), (990, 50), (1000, 5), (3, 0)):
+        assert token_files.read_ids(data, start, count).tolist() == ids[start : start + count].tolist()
+
+
 def test_packing_covers_every_id_once(docs):
     t = Tokenizer.from_file(BYTE)
     want = Counter()
