@@ -1,9 +1,11 @@
 """Exact top-k by inner product with no-random-access aggregation over sorted lists.
 
-Each shard holds one list for each dimension, sorted by component. A query reads the lists in step from the
-end that its own component favours. Every candidate has a lower and an upper bound: what has been read of
-it, plus the worst or the best that the unread rest of each list allows. Candidates whose upper bound falls
-under the k-th best lower bound are out; reading stops when few are left, whose scores are then resolved."""
+Each shard holds one list for each dimension, sorted by component. A query reads the lists in step, a run of
+entries at a time, from the end that its own component favours. A row that has been met has a lower and an
+upper bound: what was read of it, plus the worst or the best that the rest of each list it was not met in
+allows. Rows not met yet share one threshold, the sum of the best unread entries. Reading stops when the
+threshold and all but a few upper bounds are under the k-th best lower bound; the few are resolved by reading
+on for their entries alone."""
 
 from __future__ import annotations
 
@@ -19,56 +21,73 @@ from .common import materialize
 from .vectors import best, clean, distinct_vectors, flatten, pick, query_blocks, shards
 
 SHARD_ROWS = 16384
-#: Parts of the lists that are read between two looks at the bounds; candidates left at which reading stops.
-STEPS, FEW = 4, 64
+#: Runs that a list is read in; candidates left at which reading for all rows stops.
+STEPS, FEW = 16, 64
 #: Rows of a shard that are searched first, so that the rest starts from their k-th best score.
 PILOT = 1024
-#: Sums under the first are exact in double precision; components and sums under the second fit single precision, in
-#: which the lists are read.
-EXACT, SINGLE = float(1 << 53), 1e30
+#: Sums under this are exact in double precision, in which the lists are read.
+EXACT = float(1 << 53)
 
 
-def lists_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each dimension the sorted components (the list), each row's place in it, and the components by row.
-    With the places, one comparison takes in all entries of a list down to a depth."""
+def lists_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each dimension the rows in rising order of their components, and these components."""
     by_dim = np.ascontiguousarray(x.T)
     order = np.argsort(by_dim, axis=1, kind="stable")
-    place = np.empty(order.shape, np.uint16 if len(x) < 1 << 16 else np.uint32)
-    np.put_along_axis(place, order, np.arange(len(x), dtype=place.dtype)[None, :], axis=1)
-    return np.take_along_axis(by_dim, order, axis=1), place, by_dim.astype(np.float32)
+    return order.astype(np.uint16 if len(x) <= 1 << 16 else np.uint32), np.take_along_axis(by_dim, order, axis=1)
 
 
-def read_lists(x: np.ndarray, lists: tuple, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, float]:
-    """(rows, scores, share read): all rows that can be among the k best of x @ q, ties included.
+def read_lists(lists: tuple[np.ndarray, np.ndarray], q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rows, scores, entries read before the stop): all rows that can be among the k best products with q, ties
+    included, with their exact scores. Lists in which q is zero are not read.
 
     floor: a score that k rows elsewhere reach already.
     """
-    values, place, columns = lists
-    n = len(x)
-    rising = q < 0
-    first, last = values[:, 0], values[:, -1]
-    low = np.where(rising, last, first) * q  # the worst entry of each list
-    slack = 4e-5 * np.maximum(np.abs(first * q), np.abs(last * q)).sum()  # of the single precision below
-    step = max(1, -(-n // STEPS))
-    left = held = np.arange(n)
-    at = 0
-    entries = columns * q[:, None].astype(np.float32)
-    while at < n and len(left) > max(FEW, k, n // 8):
-        at = min(n, at + step)
+    used = np.flatnonzero(q)
+    order, values = lists[0][used], lists[1][used]
+    q, rising = q[used], q[used] < 0
+    d, n = len(used), lists[0].shape[1]
+    if not d or n <= max(FEW, k):
+        return np.arange(n), _rest(order, values, q, np.arange(n), np.zeros(n), np.zeros(d, np.int64), np.full(d, n)), d * n
+    worst = np.where(rising, values[:, -1], values[:, 0]) * q  # the last entry of each list
+    got, met = np.zeros(n), np.zeros((n, d), bool)
+    left = None  # candidates, once no row outside of what was met can be one
+    step, at = max(1, -(-n // STEPS)), 0
+    lines = np.arange(d)[:, None]
+    while at < n:
+        to = min(n, at + step)
+        run = np.arange(at, to)
+        place = np.where(rising[:, None], run, n - 1 - run)
+        rows = order[lines, place].astype(np.int64)
+        got += np.bincount(rows.ravel(), (values[lines, place] * q[:, None]).ravel(), n)
+        met[rows, lines] = True
+        at = to
         if at == n:
             break
-        border = np.where(rising, at, n - at).astype(place.dtype)[:, None]
-        read = ((place >= border) ^ rising[:, None]).astype(np.float32)
-        high = np.where(rising, values[:, min(at, n - 1)], values[:, n - at - 1]) * q  # the best unread entry
-        seen = np.einsum("dn,dn->n", read, entries)
-        lower = seen + low.sum() - low.astype(np.float32) @ read - slack
-        upper = seen + high.sum() - high.astype(np.float32) @ read + slack
-        kth = max(floor, float(np.partition(lower, len(held) - k)[len(held) - k]) if len(held) > k else -np.inf)
-        stay = np.flatnonzero(upper >= kth)
-        left = held[stay]
-        if 4 * len(left) < len(held):  # copying pays
-            held, entries, place = left, entries.take(stay, axis=1), place.take(stay, axis=1)
-    return left, x[left] @ q, at / n
+        best = np.where(rising, values[:, at], values[:, n - 1 - at]) * q  # the best unread entries
+        if left is None and best.sum() >= floor and 3 * at < n:
+            continue  # rows that were not met may still be anywhere
+        held = np.flatnonzero(met.any(axis=1)) if left is None else left
+        unmet = ~met[held]
+        lower, upper = got[held] + unmet @ worst, got[held] + unmet @ best
+        kth = max(floor, float(np.partition(lower, len(held) - k)[len(held) - k]) if len(held) >= k else -np.inf)
+        if left is not None or best.sum() < kth:
+            left = held[upper >= kth]
+            if len(left) <= max(FEW, k):
+                break
+    rows = np.arange(n) if left is None else left
+    ends = np.where(rising, at, 0), np.where(rising, n, n - at)
+    return rows, _rest(order, values, q, rows, got, *ends), at * d
+
+
+def _rest(order: np.ndarray, values: np.ndarray, q: np.ndarray, rows: np.ndarray, got: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """got of the rows, completed by reading each list on, from start to end, for the entries of these rows."""
+    wanted = np.zeros(order.shape[1] if len(order) else len(got), bool)
+    wanted[rows] = True
+    total = got.copy()
+    for line, x, c, a, b in zip(order, values, q, start, end):
+        hits = np.flatnonzero(wanted[line[a:b]]) + a
+        total[line[hits]] += x[hits] * c
+    return total[rows]
 
 
 def resolved(x: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -100,7 +119,7 @@ def top_products(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256
         x = np.array(part.column("v").to_pylist(), np.float64)
         offsets, ids = flatten(lists)
         out = io.BytesIO()
-        parts = {f"{name}{part}": c for part, rows in enumerate((x[:PILOT], x[PILOT:])) if len(rows) for name, c in zip(("values", "place", "columns"), lists_of(rows))}
+        parts = {f"{name}{part}": c for part, rows in enumerate((x[:PILOT], x[PILOT:])) if len(rows) for name, c in zip(("order", "values"), lists_of(rows))}
         np.savez(out, x=x, offsets=offsets, ids=ids, **parts)
         return pa.table({"dim": pa.array([x.shape[1]], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "payload": pa.array([out.getvalue()], pa.binary())})
 
@@ -112,7 +131,7 @@ def top_products(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256
             for dim, ids, vectors, payload in zip(*(batch.column(c) for c in ("dim", "ids", "vectors", "payload"))):
                 z = np.load(io.BytesIO(payload.as_py()))
                 x, offsets, members = (z[c] for c in ("x", "offsets", "ids"))
-                parts = [(rows, np.abs(rows).max(axis=0), tuple(z[f"{name}{part}"] for name in ("values", "place", "columns")), part * PILOT) for part, rows in enumerate((x[:PILOT], x[PILOT:])) if len(rows)]
+                parts = [(rows, np.abs(rows).max(axis=0), tuple(z[f"{name}{part}"] for name in ("order", "values")), part * PILOT) for part, rows in enumerate((x[:PILOT], x[PILOT:])) if len(rows)]
                 own = np.frombuffer(ids.as_py(), "<i8")
                 qs = np.frombuffer(vectors.as_py(), np.float64).reshape(len(own), dim.as_py())
                 out: list[list] = [[], [], []]
@@ -120,9 +139,11 @@ def top_products(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256
                     # the query's own vector may fill a place, so one more is kept
                     found, floor = [], -np.inf
                     for xs, most, lists, base in parts:
-                        fit = max(most.max(), np.abs(q).max(), most @ np.abs(q)) < SINGLE
-                        near = read_lists(xs, lists, q, k + 1, floor)[0] if fit else np.arange(len(xs))
-                        score = resolved(xs, near, q)
+                        if most @ np.abs(q) < EXACT:
+                            near, score, _ = read_lists(lists, q, k + 1, floor)
+                        else:  # beyond double precision: each row's sum by integers of any size
+                            near = np.arange(len(xs))
+                            score = resolved(xs, near, q)
                         found.append((near + base, score))
                         if len(score) > k:
                             floor = max(floor, float(sorted(score.tolist())[-k - 1]))
