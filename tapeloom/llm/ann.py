@@ -22,11 +22,14 @@ LINKS, BUILD_WIDTH, SEARCH_WIDTH = 12, 64, 192
 
 
 class Graph:
-    """vectors (float32), top level of each node, and for each level an array of neighbours (-1: none)."""
+    """vectors, top level of each node, and for each level an array of neighbours (-1: none).
+
+    Distances are squares of differences in double precision, of vectors moved to their mean and scaled, so
+    that neither an offset nor the size of the components costs digits.
+    """
 
     def __init__(self, vectors: np.ndarray, links: int = LINKS, seed: int = 7):
-        self.v = np.ascontiguousarray(vectors, np.float32)
-        self.norm = (self.v * self.v).sum(axis=1)
+        self._centre(vectors)
         n = len(self.v)
         u = np.random.default_rng(seed).random(n)
         self.top = np.minimum((-np.log(1 - u) / math.log(links)).astype(np.int32), 12)
@@ -35,13 +38,19 @@ class Graph:
         self._index()
         self.entry = -1
 
+    def _centre(self, vectors: np.ndarray) -> None:
+        self.scale = max(float(np.abs(vectors).max(initial=0)), 1e-300)
+        self.mean = (vectors / self.scale).mean(axis=0) if len(vectors) else 0.0
+        self.v = np.ascontiguousarray(vectors / self.scale - self.mean)
+
     def _index(self) -> None:
         """Row of each node in each level's array."""
         self.row = [np.where(self.top >= lv, np.cumsum(self.top >= lv) - 1, -1) for lv in range(len(self.near))]
         self.stamp, self.now = np.zeros(len(self.v), np.int64), 0
 
     def _distance(self, nodes: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return self.norm[nodes] - 2 * (self.v[nodes] @ q)
+        apart = self.v[nodes] - q
+        return np.einsum("ij,ij->i", apart, apart)
 
     def _layer(self, q: np.ndarray, start: list[tuple[float, int]], width: int, lv: int) -> list[tuple[float, int]]:
         """The `width` nearest nodes found on a level, nearest first."""
@@ -75,9 +84,10 @@ class Graph:
         nodes = np.array([i for _, i in found])
         if len(nodes) <= most:
             return nodes.tolist()
-        v, norm = self.v[nodes], self.norm[nodes]
+        v = self.v[nodes]
+        norm = (v * v).sum(axis=1)
         between = norm[:, None] + norm[None, :] - 2 * (v @ v.T)
-        own = np.array([x for x, _ in found]) + self._q2  # distances here lack the node's own square
+        own = np.array([x for x, _ in found])
         kept: list[int] = []
         closest = np.full(len(nodes), np.inf)
         for k in range(len(nodes)):
@@ -97,7 +107,6 @@ class Graph:
             self.entry = i
             return
         q = self.v[i]
-        self._q2 = float(self.norm[i])
         at = [(float(self._distance(np.array([self.entry]), q)[0]), self.entry)]
         for lv in range(int(self.top[self.entry]), -1, -1):
             if lv > lv_i:
@@ -116,9 +125,7 @@ class Graph:
                     all_of = np.append(line, i)
                     d = self._distance(all_of, self.v[j])
                     order = np.argsort(d)
-                    q2, self._q2 = self._q2, float(self.norm[j])
                     keep = self._spread([(float(d[k]), int(all_of[k])) for k in order], len(line))
-                    self._q2 = q2
                     line[:] = -1
                     line[: len(keep)] = keep
         if lv_i > int(self.top[self.entry]):
@@ -132,7 +139,7 @@ class Graph:
         return g
 
     def search(self, q: np.ndarray, width: int = SEARCH_WIDTH) -> np.ndarray:
-        q = q.astype(np.float32)
+        q = q / self.scale - self.mean
         at = [(float(self._distance(np.array([self.entry]), q)[0]), self.entry)]
         for lv in range(int(self.top[self.entry]), 0, -1):
             at = self._layer(q, at, 1, lv)[:1]
@@ -148,8 +155,8 @@ class Graph:
     def load(cls, data: bytes) -> tuple["Graph", np.ndarray, np.ndarray, np.ndarray]:
         z = np.load(io.BytesIO(data))
         g = cls.__new__(cls)
-        g.v = z["vectors"].astype(np.float32)
-        g.norm, g.top, g.entry, g.links = (g.v * g.v).sum(axis=1), z["top"], int(z["entry"]), LINKS
+        g._centre(z["vectors"])
+        g.top, g.entry, g.links = z["top"], int(z["entry"]), LINKS
         g.near = [z[f"near{k}"] for k in range(int(g.top.max(initial=0)) + 1)]
         g._index()
         return g, z["vectors"], z["offsets"], z["ids"]
@@ -164,7 +171,7 @@ def build_index(table: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS) ->
         order = np.argsort([x[0] for x in part.column("ids").to_pylist()], kind="stable")
         vectors = np.array(part.column("v").to_pylist(), np.float64)[order]
         lists = part.column("ids").to_pylist()
-        graph = Graph.build(vectors.astype(np.float32))
+        graph = Graph.build(vectors)
         payload = graph.dump(vectors, *flatten([lists[i] for i in order]))
         return pa.table({"dim": pa.array([vectors.shape[1]], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "payload": pa.array([payload], pa.binary())})
 

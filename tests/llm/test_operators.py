@@ -444,6 +444,26 @@ def test_nearest_recall_and_ties(spark):
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.where("vec_id in (0, 1)")).count() == 1
 
 
+@pytest.mark.parametrize("shape", ["offset", "far clusters", "near copies", "large"])
+def test_graph_recall_on_shapes(shape):
+    """Recall of one shard's graph against brute force where differences are small beside the components."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 24))
+    if shape == "offset":
+        x += 1e4
+    elif shape == "far clusters":
+        x += rng.integers(-3, 4, (1500, 1)) * 1e5
+    elif shape == "near copies":
+        x = x[rng.integers(0, 100, 1500)] + rng.normal(size=x.shape) * 1e-3
+    else:
+        x *= 1e30
+    graph, hit = ann.Graph.build(x), 0
+    for q in range(0, 1500, 50):
+        want = np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[:10]
+        hit += len(set(want.tolist()) & set(graph.search(x[q]).tolist()))
+    assert hit >= 0.9 * 10 * 30
+
+
 def test_top_products_equal_brute_force(spark):
     df, x = vectors(spark)
     z = np.vstack([np.floor(256 * x), np.zeros((101, 16))])
@@ -462,9 +482,14 @@ def test_top_products_equal_brute_force(spark):
 def test_lists_stop_early():
     rng = np.random.default_rng(0)
     x = np.floor(rng.normal(size=(2000, 4)) * 50)
-    rows, score, read = topk.read_lists(x, topk.lists_of(x), x[3], 6)
+    rows, score, read = topk.read_lists(topk.lists_of(x), x[3], 6)
     want = np.sort(x @ x[3])[::-1][:6]
-    assert read < 1 and np.sort(score)[::-1][:6].tolist() == want.tolist()
+    assert read < x.size / 2 and np.sort(score)[::-1][:6].tolist() == want.tolist() and score.tolist() == (x[rows] @ x[3]).tolist()
+    for q in (x[3] * [1, 0, -1, 0], x[9] * 0, -x[7]):
+        for n in (3, 64, 2000):
+            rows, score, _ = topk.read_lists(topk.lists_of(x[:n]), q, 6)
+            every = x[:n] @ q
+            assert score.tolist() == every[rows].tolist() and set(np.flatnonzero(every >= np.sort(every)[-6:][0])) <= set(rows.tolist())
 
 
 def test_pipeline_stages(spark):
