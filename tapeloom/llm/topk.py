@@ -3,7 +3,7 @@
 Each shard holds one list for each dimension, sorted by component. A query reads the lists in step, a run of
 entries at a time, from the end that its own component favours. A row that has been met has a lower and an
 upper bound: what was read of it, plus the worst or the best that the rest of each list it was not met in
-allows. Rows not met yet share one threshold, the sum of the best unread entries. Reading stops when the
+allows. Rows that were met nowhere share one threshold, the sum of the best unread entries. Reading stops when the
 threshold and all but a few upper bounds are under the k-th best lower bound; the few are resolved by reading
 on for their entries alone."""
 
@@ -49,29 +49,37 @@ def read_lists(lists: tuple[np.ndarray, np.ndarray], q: np.ndarray, k: int, floo
     if not d or n <= max(FEW, k):
         return np.arange(n), _rest(order, values, q, np.arange(n), np.zeros(n), np.zeros(d, np.int64), np.full(d, n)), d * n
     worst = np.where(rising, values[:, -1], values[:, 0]) * q  # the last entry of each list
-    got, met = np.zeros(n), np.zeros((n, d), bool)
+    # of the bounds' single precision
+    slack = 1e-4 * np.maximum(np.abs(values[:, 0] * q), np.abs(values[:, -1] * q)).sum()
+    up, down = np.flatnonzero(rising), np.flatnonzero(~rising)
+    lines = np.concatenate([up, down])[:, None]
+    got, met = np.zeros(n), np.zeros((d, n), bool)
     left = None  # candidates, once no row outside of what was met can be one
     step, at = max(1, -(-n // STEPS)), 0
-    lines = np.arange(d)[:, None]
     while at < n:
         to = min(n, at + step)
-        run = np.arange(at, to)
-        place = np.where(rising[:, None], run, n - 1 - run)
-        rows = order[lines, place].astype(np.int64)
-        got += np.bincount(rows.ravel(), (values[lines, place] * q[:, None]).ravel(), n)
-        met[rows, lines] = True
+        run = lambda part: np.concatenate([part[up, at:to], part[down, n - to : n - at]])
+        rows = run(order).astype(np.int64)
+        got += np.bincount(rows.ravel(), (run(values) * q[lines]).ravel(), n)
+        met[lines, rows] = True
         at = to
         if at == n:
             break
-        best = np.where(rising, values[:, at], values[:, n - 1 - at]) * q  # the best unread entries
-        if left is None and best.sum() >= floor and 3 * at < n:
-            continue  # rows that were not met may still be anywhere
-        held = np.flatnonzero(met.any(axis=1)) if left is None else left
-        unmet = ~met[held]
-        lower, upper = got[held] + unmet @ worst, got[held] + unmet @ best
-        kth = max(floor, float(np.partition(lower, len(held) - k)[len(held) - k]) if len(held) >= k else -np.inf)
+        best = np.where(rising, values[:, min(at, n - 1)], values[:, n - 1 - at]) * q  # the best unread entries
+        if left is None and best.sum() >= floor and (floor > -np.inf or at // step % 4):
+            continue  # rows that were not met may be anywhere
+        kth = floor
+        if left is None:
+            held, part = slice(None), met
+        else:
+            held, part = left, met[:, left]
+        part = part.astype(np.float32)
+        reach = got[held] + best.sum() - best.astype(np.float32) @ part + slack
+        if floor == -np.inf:  # the least bounds of the rows met give the k-th best
+            lower = got[held] + worst.sum() - worst.astype(np.float32) @ part - slack
+            kth = float(np.partition(lower, len(lower) - k)[len(lower) - k])
         if left is not None or best.sum() < kth:
-            left = held[upper >= kth]
+            left = np.flatnonzero(reach >= kth) if left is None else left[reach >= kth]
             if len(left) <= max(FEW, k):
                 break
     rows = np.arange(n) if left is None else left
