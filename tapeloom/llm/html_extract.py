@@ -1,5 +1,5 @@
 """Main text of web pages: gradient-boosted trees score every block element of the page's tree from its density,
-attribute tokens, depth and siblings; a decoding over the tree keeps the best set in which no kept element
+hashed attribute tokens, tags above it, depth and siblings; a decoding over the tree keeps the best set in which no kept element
 has a dropped ancestor.
 
 Trees are trained by Spark's GBTClassifier on a bounded sample of pages (SAMPLE_PAGES) that mark their main
@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -31,7 +33,6 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 UNSEEN = set("script style noscript template head title select option button textarea svg iframe object canvas audio video math datalist".split())
 RAW = set("script style textarea title".split())
 GROUPS = [set(g.split()) for g in ("p", "h1 h2 h3 h4 h5 h6", "li dt dd", "ul ol dl", "div section", "article main", "nav menu", "header", "footer", "aside", "form fieldset dialog", "table tr td th tbody thead tfoot caption", "blockquote pre figure figcaption address details summary")]
-MAIN_TOKENS = set("article articlebody content post entry main story maincontent text body".split())
 SIDE_TOKENS = set("nav navbar navigation menu footer foot header masthead topbar sidebar side aside ad ads advert adverts advertisement sponsored sponsor promo banner comment comments reply replies disqus cookie cookies consent gdpr notice alert newsletter subscribe signup share sharing social related recommended breadcrumb breadcrumbs pagination pager widget copyright legal login search popup modal overlay toolbar skip form".split())
 #: An open element of the first kind ends where one of the second begins.
 _CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -42,6 +43,10 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _MARK = re.compile(r"[.,;:!?]")
+#: What may stand in a head: any other start tag ends it. Fixed by HTML.
+_HEAD = set("html head base link meta title style script noscript template".split())
+#: Buckets that attribute tokens are hashed to.
+BUCKETS = 32
 
 
 class Page:
@@ -101,6 +106,11 @@ class Page:
                 if name == "hr":
                     self.stream.append((-1, ""))
                 continue
+            if name not in _HEAD and len(open_tags) > 1 and any(t == "head" for t, _ in open_tags):  # its end tag may be left out
+                k = next(k for k, (t, _) in enumerate(open_tags) if t == "head")
+                if all(t in _HEAD for t, _ in open_tags[k:]):
+                    hidden -= sum(t in UNSEEN for t, _ in open_tags[k:])
+                    del open_tags[k:]
             if name in _CLOSES_P or name in _SELF_CLOSING:
                 ends = _SELF_CLOSING.get(name) or {"p"}
                 for k in range(len(open_tags) - 1, 0, -1):
@@ -135,7 +145,8 @@ class Page:
             self.links[element] += len(text)
 
     def features(self) -> np.ndarray:
-        """One row for each element: tag group, own and inherited attribute tokens, depth, text, density, siblings."""
+        """One row for each element: tag group and hashed attribute tokens, its own and those around it, depth, text,
+        density, siblings."""
         n = len(self.tag)
         own, marks, before = np.zeros(n), np.zeros(n), np.zeros(n)
         seen = np.zeros(n, bool)
@@ -149,13 +160,15 @@ class Page:
                 so_far += size
         whole, link, mark, tags, depth = own.copy(), np.array(self.links, float), marks, np.ones(n), np.zeros(n)
         children: list[list[int]] = [[] for _ in range(n)]
-        main, side = np.zeros(n), np.zeros(n)
+        kind = np.array([[t in g for g in GROUPS] for t in self.tag], float)
+        tokens = np.array([_buckets(a) for a in self.attributes], float)
+        marks_of = np.concatenate([kind, tokens], axis=1)
+        above = np.zeros_like(marks_of)  # of the elements around
         for e in range(1, n):
             p = self.parent[e]
             children[p].append(e)
             depth[e] = depth[p] + 1
-            main[e] = main[p] or bool(self.attributes[e] & MAIN_TOKENS) or self.tag[e] in GROUPS[5]
-            side[e] = side[p] or bool(self.attributes[e] & SIDE_TOKENS) or any(self.tag[e] in GROUPS[g] for g in (6, 7, 8, 9, 10))
+            above[e] = np.maximum(above[p], marks_of[p])
         for e in range(n - 1, 0, -1):
             p = self.parent[e]
             whole[p] += whole[e]
@@ -171,19 +184,22 @@ class Page:
             for k, e in enumerate(group):
                 place[e], brothers[e] = k / len(group), len(group)
                 alike[e] = same[self.tag[e]] / len(group)
-        kind = np.array([[t in g for g in GROUPS] for t in self.tag], float)
-        tokens = np.array([[bool(a & MAIN_TOKENS), bool(a & SIDE_TOKENS)] for a in self.attributes], float)
         measures = np.stack([depth, np.log1p(own), np.log1p(whole), link / np.maximum(whole, 1), whole / tags, mark / np.maximum(whole, 1), whole / total, before / total, place, np.log(brothers), alike, np.array([len(c) for c in children], float)], axis=1)
-        return np.concatenate([kind, tokens, main[:, None], side[:, None], measures], axis=1)
+        return np.concatenate([marks_of, above, measures], axis=1)
 
-    def labels(self) -> np.ndarray | None:
-        """1 for elements that hold or are marked main text, 0 for others; None if the page marks none."""
+    def inside(self) -> np.ndarray:
+        """Elements that the page itself marks as main text: in an article or the like, and in no side part of it."""
         n = len(self.tag)
         inside = np.zeros(n, bool)
         for e in range(1, n):
             starts = self.tag[e] in GROUPS[5] or "articlebody" in self.attributes[e]
             out = bool(self.attributes[e] & SIDE_TOKENS) or any(self.tag[e] in GROUPS[g] for g in (6, 8, 9, 10)) or self.tag[e] in UNSEEN
             inside[e] = (inside[self.parent[e]] or starts) and not out
+        return inside
+
+    def labels(self) -> np.ndarray | None:
+        """1 for elements that hold or are marked main text, 0 for others; None if the page marks none."""
+        n, inside = len(self.tag), self.inside()
         if not inside.any():
             return None
         y = inside.copy()
@@ -220,7 +236,21 @@ class Page:
         return "\n".join(blocks)
 
 
-PLAIN = len(GROUPS) + 4  # features before this come from tags and attributes
+PLAIN = 2 * (len(GROUPS) + BUCKETS)  # features before this come from tags and attributes
+
+
+@lru_cache(maxsize=4096)
+def _buckets(tokens: frozenset[str]) -> tuple[bool, ...]:
+    held = {zlib.crc32(t.encode()) % BUCKETS for t in tokens}
+    return tuple(k in held for k in range(BUCKETS))
+
+
+def main_text(page: Page, score: np.ndarray) -> str:
+    """Text of the decoded elements. A page whose own marks hold text is never empty: where the trees keep nothing of
+    it, as may be with a single short paragraph, what it marks is kept."""
+    if (text := page.text(page.decode(score))) or not (inside := page.inside()).any():
+        return text
+    return page.text(inside)
 
 
 class Forest:
@@ -261,7 +291,9 @@ class Forest:
 
 def rule(x: np.ndarray) -> np.ndarray:
     """Log odds where no page marks its main text: unlinked text outside of side parts."""
-    side, link, whole = x[:, PLAIN - 1], x[:, PLAIN + 3], x[:, PLAIN + 2]
+    around = len(GROUPS) + BUCKETS
+    side = np.maximum(x[:, 6:11], x[:, around + 6 : around + 11]).max(axis=1)
+    link, whole = x[:, PLAIN + 3], x[:, PLAIN + 2]
     return np.where((side > 0) | (link > 0.5), -2.0, np.where(whole > math.log1p(20), 1.0, 0.2))
 
 
@@ -271,7 +303,8 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Forest | None:
     from pyspark.ml.functions import array_to_vector
 
     few = pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
-    sample = pages.where("html is not null").join(F.broadcast(few), "page_id").select("html")
+    # one page for each of at most sample_pages ids, whatever repeats
+    sample = pages.where("html is not null").join(F.broadcast(few), "page_id").groupBy("page_id").agg(F.max("html").alias("html")).select("html")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,7 +318,7 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Forest | None:
                 both, w = np.concatenate([x, bare]), np.repeat([1.0, 0.25], len(x))
                 yield pa.RecordBatch.from_arrays([pa.array(both.tolist(), pa.list_(pa.float64())), pa.array(np.tile(y, 2)), pa.array(w)], ["x", "label", "weight"])
 
-    data = sample.mapInArrow(rows, "x array<double>, label double, weight double").select(array_to_vector("x").alias("features"), "label", "weight").coalesce(8).cache()
+    data = sample.mapInArrow(rows, "x array<double>, label double, weight double").select(array_to_vector("x").alias("features"), "label", "weight").coalesce(8).cache()  # of at most sample_pages pages
     try:
         kinds = data.agg(F.countDistinct("label")).first()[0]
         if kinds < 2:
@@ -300,7 +333,8 @@ def extract_main_text(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Dat
     """(page_id, url, text, n_chars) of every page: its main text, blocks joined by line feeds.
 
     Null or empty html, or a page without main text: empty text of length 0. Broken markup is read as
-    browsers do in the common cases (unclosed elements, tags cut off at the end). Rows repeat as in pages;
+    browsers do in the common cases (unclosed elements, a head without its end tag, tags cut off at the end).
+    Very long pages are read whole. Rows repeat as in pages;
     an empty table gives none; other columns are not read.
     """
     pages = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string"))
@@ -316,7 +350,7 @@ def extract_main_text(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Dat
                 all_x = np.concatenate(x)
                 score = forest.margin(all_x) if forest else rule(all_x)
                 ends = np.cumsum([len(r) for r in x])
-                texts = [p.text(p.decode(s)) for p, s in zip(parsed, np.split(score, ends[:-1]))]
+                texts = [main_text(p, s) for p, s in zip(parsed, np.split(score, ends[:-1]))]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -391,6 +391,22 @@ def test_pages(spark):
     assert html_extract.extract_main_text(rows.limit(0)).count() == 0
 
 
+def test_pages_without_marks_or_end_tags(spark):
+    sample = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    body = "".join(f"<p>Paragraph {k} of the text has {k} words, and some more of them to read on.</p>" for k in range(8))
+    want = "\n".join(f"Paragraph {k} of the text has {k} words, and some more of them to read on." for k in range(8))
+    long = "".join(f"<p>Line {k} of a very long page, with enough words to be text.</p>" for k in range(3000))
+    rows = [
+        (-1, f"<html><head><title>T</title><body><article>{body}</article></body></html>"),
+        (-2, f"<html><head><meta charset=utf-8><article>{body}</article>"),
+        (-3, "<html><body><nav><a href=/>Home</a><a href=/b>More</a></nav><article><p>Short.</p></article><footer>Foot</footer></body></html>"),
+        (-4, f"<html><body><article>{long}</article></body></html>"),
+    ]
+    given = sample.union(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string"))
+    out = {r.page_id: r.text for r in html_extract.extract_main_text(given).where("page_id < 0").collect()}
+    assert out[-1] == want and out[-2] == want and out[-3] == "Short." and out[-4].count("\n") == 2999
+
+
 def test_toxicity_held_out(spark, docs):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
@@ -581,3 +597,22 @@ def test_long_flat_pages_count_tags():
         page = html_extract.Page("<body>" + "<p>a</p>" * n + "<div>b</div>" * n + "</body>")
         alike = page.features()[:, -2]
         assert [alike[e] for e in range(len(page.tag)) if page.tag[e] in ("p", "div")] == [0.5] * (2 * n)
+
+
+def test_pipeline_stages_on_awkward_tables(spark):
+    """Nulls, empty and very long texts, repeated rows, and columns that operators use for themselves."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    line = text_of(41, 40)
+    texts = [(1, line), (2, line), (2, line), (3, None), (4, ""), (None, text_of(42, 20)), (5, "word " * 60_000), (6, text_of(43, 30)), (6, text_of(43, 30))]
+    rows = [(i, t, None if i == 4 else "web", 7, f"s{k}", k, "e", 0.5) for k, (i, t) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, score string, n_lines long, `evidence` string, predicted double")
+    docs = df
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), d).count() == 0
+        out = common.materialize(stage(spark, docs, d), "test-stage")
+        if name in ("toxicity", "line_dedup", "ngram_jaccard"):
+            assert out.schema.simpleString() == df.schema.simpleString()
+            assert {r.score: (r.n_lines, r.evidence, r.predicted) for r in out.collect()}.items() <= {f"s{k}": (k, "e", 0.5) for k in range(len(rows))}.items()
+        docs = out
+    assert {r.doc_id for r in docs.collect()} >= {1, 5}
