@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import MINUTE, SECOND, floor_to, ratio, rounded
+from ..functions.columns import DAY, MINUTE, SECOND, floor_to, ratio, rounded
 
 
 def windows(inc: DataFrame) -> DataFrame:
@@ -62,10 +62,14 @@ def trade_sizes(win: DataFrame, trades: DataFrame) -> DataFrame:
 
 
 def day_summary(minutes: DataFrame, profile: DataFrame) -> DataFrame:
-    normal = profile.groupBy("symbol").agg(F.sum(F.col("volume_median") * 60).alias("normal"))
+    """Each symbol's days: prices, range, and volume against the normal one of the day's own profile."""
+    keys = ["symbol", "day"]
+    normal = profile.groupBy(*keys).agg(F.sum(F.col("volume_median") * 60).alias("normal"))
     o, c = F.min_by("open", "bar_us").cast("double"), F.max_by("close", "bar_us").cast("double")
-    g = minutes.groupBy("symbol").agg(o.alias("open"), c.alias("close"), F.max("high").cast("double").alias("high"), F.min("low").cast("double").alias("low"), F.sum("volume").cast("double").alias("volume")).join(normal, "symbol", "left")
-    return g.select("symbol", "open", "close", rounded((F.col("close") / F.col("open") - 1) * 100, 2).alias("day_return_pct"), rounded((F.col("high") / F.col("low") - 1) * 100, 2).alias("range_pct"), rounded(ratio(F.col("volume"), F.col("normal")), 2).alias("volume_vs_normal_x"))
+    days = minutes.withColumn("day", F.floor(F.col("bar_us") / DAY)).groupBy(*keys)
+    g = days.agg(o.alias("open"), c.alias("close"), F.max("high").cast("double").alias("high"), F.min("low").cast("double").alias("low"), F.sum("volume").cast("double").alias("volume")).join(normal, keys, "left")
+    moved, spread = rounded((F.col("close") / F.col("open") - 1) * 100, 2), rounded((F.col("high") / F.col("low") - 1) * 100, 2)
+    return g.select(*keys, "open", "close", moved.alias("day_return_pct"), spread.alias("range_pct"), rounded(ratio(F.col("volume"), F.col("normal")), 2).alias("volume_vs_normal_x"))
 
 
 def alerts_by_rule(with_incident: DataFrame) -> DataFrame:

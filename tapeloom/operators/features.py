@@ -23,6 +23,18 @@ def hour_profile(candles: DataFrame, from_us: int, to_us: int) -> DataFrame:
     return rows.groupBy("symbol", "hour").agg(F.countDistinct("day").alias("days"), F.count(F.lit(1)).alias("bars"), F.median("volume").alias("volume_median"), F.stddev_samp("ret").alias("ret_std"))
 
 
+def daily_profiles(candles: DataFrame, from_us: int, to_us: int, back: int = 7) -> DataFrame:
+    """(symbol, day, hour, days, bars, volume_median, ret_std): for each day from from_us to to_us the profile of the `back`
+    days before it. Each candle counts for the days that follow it, so all days are one aggregation; returns cross
+    gaps and days, and only a symbol's very first is null."""
+    ret = F.col("close").cast("double") / F.lag(F.col("close").cast("double")).over(Window.partitionBy("symbol").orderBy("bar_us")) - 1
+    own = F.floor(F.col("bar_us") / DAY)
+    rows = candles.select("symbol", hour_of(F.col("bar_us")).alias("hour"), own.alias("own"), F.col("volume").cast("double").alias("volume"), ret.alias("ret"))
+    first, last = F.greatest(F.col("own") + 1, F.lit(from_us // DAY)), F.least(F.col("own") + back, F.lit(to_us // DAY - 1))
+    rows = rows.where(first <= last).withColumn("day", F.explode(F.sequence(first, last)))
+    return rows.groupBy("symbol", "day", "hour").agg(F.countDistinct("own").alias("days"), F.count(F.lit(1)).alias("bars"), F.median("volume").alias("volume_median"), F.stddev_samp("ret").alias("ret_std"))
+
+
 def reconciled(bars: DataFrame, official: DataFrame) -> DataFrame:
     """Counts of bars that equal the official candles in prices, volume, buy volume and everything."""
     o = official.select("symbol", "bar_us", *[F.col(c).alias(f"o_{c}") for c in ("open", "high", "low", "close", "volume", "sell_volume")])
@@ -63,14 +75,17 @@ def _full(name: str, rows: int, order) -> Column:
 def features(grid: DataFrame, profile: DataFrame) -> DataFrame:
     """ret_60, vol_60, vol_120, sell_share_120 and their measures against the hour's profile.
 
-    A missing hour gives null. A profile of zero gives infinity, so that a rule on it fires. The windows are
+    A profile with days goes by day and hour, one without by hour. A missing hour gives null. A profile of zero gives infinity, so that a rule on it fires. The windows are
     bounded row frames of a symbol; the profile is a small table that Spark may broadcast by its size.
     """
     order = Window.partitionBy("symbol").orderBy("bar_us")
     f = grid.withColumn("ret_60", ratio(F.col("close"), F.lag("close", 60).over(order)) - 1)
     f = f.withColumn("vol_60", _full("volume", 60, order)).withColumn("vol_120", _full("volume", 120, order)).withColumn("sell_120", _full("sell_volume", 120, order))
     f = f.withColumn("sell_share_120", ratio(F.col("sell_120"), F.col("vol_120"))).withColumn("hour", hour_of(F.col("bar_us")))
-    f = f.join(profile.select("symbol", "hour", "volume_median", "ret_std"), ["symbol", "hour"], "left")
+    keys = ["symbol", "hour"]
+    if "day" in profile.columns:
+        f, keys = f.withColumn("day", F.floor(F.col("bar_us") / DAY)), ["symbol", "hour", "day"]
+    f = f.join(profile.select(*keys, "volume_median", "ret_std"), keys, "left")
     f = f.withColumn("ret_60_ref_z", ratio_or_infinite(F.col("ret_60"), F.col("ret_std"))).withColumn("vol_60_ref_ratio", ratio_or_infinite(F.col("vol_60"), F.col("volume_median")))
     return f.withColumn("vol_120_ref_ratio", ratio_or_infinite(F.col("vol_120"), 2 * F.col("volume_median")))
 

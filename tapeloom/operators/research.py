@@ -36,14 +36,27 @@ def control_pool(minutes: DataFrame, alerts: DataFrame, around: int = 60) -> Dat
     return minutes.select("symbol", "bar_us").join(busy, ["symbol", "bar_us"], "left_anti")
 
 
+def _number(key: Column) -> Column:
+    """A number of 52 bits from the md5 of a key."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 13), 16, 10).cast("long")
+
+
 def sampled_controls(events: DataFrame, pool: DataFrame, most: int = CONTROLS, seed: int | None = None) -> DataFrame:
-    """(event_id, symbol, entry_us) of up to `most` pool minutes of the same symbol and hour on other days for each event,
-    by a hash of both (or at random by a seed)."""
-    e = events.select("event_id", "symbol", hour_of(F.col("entry_us")).alias("hour"), F.floor(F.col("entry_us") / DAY).alias("day"))
+    """(event_id, symbol, entry_us) of up to `most` pool minutes of the same symbol and hour on other days for each event.
+
+    The pool's minutes of a symbol and hour stand in one hashed (or, with a seed, random) order; an event takes
+    them from a place of its own on. An hour has 60 minutes of the event's day at most, so most + 60 places are
+    enough, and no event meets all of the pool.
+    """
+    order = F.rand(seed) if seed is not None else F.md5(F.col("entry_us").cast("string"))
     p = pool.select("symbol", F.col("bar_us").alias("entry_us"), hour_of(F.col("bar_us")).alias("hour"), F.floor(F.col("bar_us") / DAY).alias("p_day"))
-    order = F.rand(seed) if seed is not None else F.md5(F.concat_ws(":", F.col("event_id").cast("string"), F.col("entry_us").cast("string")))
-    j = e.join(p, ["symbol", "hour"]).where("day <> p_day")
-    return j.withColumn("k", F.row_number().over(Window.partitionBy("event_id").orderBy(order))).where(F.col("k") <= most).select("event_id", "symbol", "entry_us")
+    p = p.withColumn("at", F.row_number().over(Window.partitionBy("symbol", "hour").orderBy(order, "entry_us")) - 1)
+    sizes = p.groupBy("symbol", "hour").agg(F.count(F.lit(1)).alias("n"))
+    e = events.select("event_id", "symbol", hour_of(F.col("entry_us")).alias("hour"), F.floor(F.col("entry_us") / DAY).alias("day")).join(sizes, ["symbol", "hour"])
+    places = e.select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(most + 60)).cast("int") - 1)).alias("step"))
+    places = places.withColumn("at", F.pmod(_number(F.col("event_id")) + F.col("step"), F.col("n")).cast("int"))
+    j = places.join(p, ["symbol", "hour", "at"]).where("day <> p_day")
+    return j.withColumn("k", F.row_number().over(Window.partitionBy("event_id").orderBy("step"))).where(F.col("k") <= most).select("event_id", "symbol", "entry_us")
 
 
 def study(rows: DataFrame, keys: list[str], sign: Column | None = None, horizons=HORIZONS) -> DataFrame:

@@ -57,13 +57,14 @@ def conditions(featured: DataFrame, book: RuleBook) -> DataFrame:
 
 
 def alerts(true_rows: DataFrame, horizon_us: int, tick_us: int = SECOND) -> DataFrame:
-    """Episodes: true steps no more than clear_after apart are one alert. cleared_us is null while it may go on."""
+    """Episodes: true steps no more than clear_after apart are one alert. cleared_us is null while it may go on.
+    detected_us: the end of the step that fired, before which nobody could know of it."""
     by = Window.partitionBy("symbol", "rule").orderBy("t_us")
     gap = F.col("t_us") - F.lag("t_us").over(by) > F.col("clear_us")
     rows = true_rows.withColumn("episode", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(by))
     e = rows.groupBy("symbol", "rule", "place", "clear_us", "opens", "severity", "episode").agg(F.min("t_us").alias("fired_us"), F.max("t_us").alias("last_us"))
     end = F.col("last_us") + F.col("clear_us")
-    e = e.withColumn("cleared_us", F.when(end <= horizon_us, end)).withColumn("active_until", F.least(end - tick_us, F.lit(horizon_us)))
+    e = e.withColumn("cleared_us", F.when(end <= horizon_us, end)).withColumn("active_until", F.least(end - tick_us, F.lit(horizon_us))).withColumn("detected_us", F.col("fired_us") + tick_us)
     # one row an alert: the numbering is over alerts, not steps
     return e.withColumn("alert_no", F.row_number().over(Window.orderBy("fired_us", "symbol", "place"))).drop("episode", "clear_us", "last_us")
 
@@ -75,7 +76,7 @@ def incidents(found: DataFrame, book: RuleBook, horizon_us: int) -> DataFrame:
     before = F.max("active_until").over(by.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce(F.col("fired_us") > before + quiet, F.lit(True))
     rows = found.where("opens").withColumn("n", F.sum(new.cast("int")).over(by))
-    inc = rows.groupBy("symbol", "n").agg(F.min("fired_us").alias("opened_us"), F.max("active_until").alias("last_active_us"))
+    inc = rows.groupBy("symbol", "n").agg(F.min("fired_us").alias("opened_us"), F.max("active_until").alias("last_active_us"), F.min("detected_us").alias("detected_us"), F.count(F.lit(1)).alias("opening_alerts"))
     end = F.col("last_active_us") + quiet
     inc = inc.withColumn("resolved_us", F.when(end <= horizon_us, end)).withColumn("status", F.when(end <= horizon_us, "resolved").otherwise("open"))
     return inc.withColumn("incident_no", F.row_number().over(Window.orderBy("opened_us", "symbol"))).drop("n")
@@ -111,8 +112,9 @@ def events(inc: DataFrame, with_incident: DataFrame) -> DataFrame:
 
 
 def rules_of_incidents(inc: DataFrame, with_incident: DataFrame) -> DataFrame:
-    """(incident_no, rules): alerts before the opening newest first, then the opener, then later ones."""
+    """(incident_no, rules): alerts before the opening newest first, then the opener, then later ones; each rule once, where
+    it comes first."""
     j = with_incident.where("incident_no is not null").join(inc.select("incident_no", "opened_us"), "incident_no")
     early = F.col("fired_us") < F.col("opened_us")
     order = F.struct((~early).alias("late"), F.when(early, -F.col("fired_us")).otherwise(F.col("fired_us")).alias("at"), F.when(early, -F.col("place")).otherwise(F.col("place")).alias("place"), F.col("rule").alias("rule"))
-    return j.groupBy("incident_no").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["rule"]).alias("rules"))
+    return j.groupBy("incident_no").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["rule"])).alias("rules"))

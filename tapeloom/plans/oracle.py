@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import DAY, DAY0, HORIZON, MINUTE, PROFILE_FROM, PROFILE_TO, SCORED_TO, SECOND, SETTINGS
+from .queries import DAY, DAY0, HORIZON, MINUTE, SCORED_FROM, SCORED_TO, SECOND, SETTINGS
 
 _CTE: dict[str, str] = {}
 _CTE["ta"] = """SELECT event_type AS symbol, event_id AS agg_trade_id, CAST(1000 + value AS DECIMAL(18,8)) AS price,
@@ -39,10 +39,10 @@ def _silver(lateness: float) -> dict[str, str]:
 _OHLCV_A = """arg_min(price, agg_trade_id) AS open, max(price) AS high, min(price) AS low, arg_max(price, agg_trade_id) AS close, sum(quantity)::DECIMAL(24,8) AS volume,
     sum(price::DECIMAL(19,8) * quantity::DECIMAL(19,8))::DECIMAL(28,8) AS quote_volume, sum(CASE WHEN is_buyer_maker THEN quantity ELSE 0 END)::DECIMAL(24,8) AS sell_volume, count(*) AS trade_count"""
 _CTE["ma"] = f"SELECT symbol, event_us - event_us % {MINUTE} AS bar_us, {_OHLCV_A} FROM ta GROUP BY 1, 2"
-_CTE["scored"] = f"SELECT * FROM ma WHERE bar_us >= {PROFILE_TO} AND bar_us < {SCORED_TO}"
-_CTE["prof"] = f"""SELECT symbol, hour, count(DISTINCT day) AS days, count(*) AS bars, median(volume) AS volume_median, stddev_samp(ret) AS ret_std FROM (
-    SELECT symbol, (bar_us % {DAY} // 3600000000)::INTEGER AS hour, bar_us // {DAY} AS day, volume::DOUBLE AS volume, close::DOUBLE / lag(close::DOUBLE) OVER (PARTITION BY symbol ORDER BY bar_us) - 1 AS ret
-    FROM ma WHERE bar_us >= {PROFILE_FROM} AND bar_us < {PROFILE_TO}) GROUP BY symbol, hour"""
+_CTE["scored"] = f"SELECT * FROM ma WHERE bar_us >= {SCORED_FROM} AND bar_us < {SCORED_TO}"
+_CTE["prof"] = f"""SELECT symbol, day, hour, count(DISTINCT own) AS days, count(*) AS bars, median(volume) AS volume_median, stddev_samp(ret) AS ret_std FROM (
+    SELECT symbol, (bar_us % {DAY} // 3600000000)::INTEGER AS hour, bar_us // {DAY} AS own, volume::DOUBLE AS volume, close::DOUBLE / lag(close::DOUBLE) OVER (PARTITION BY symbol ORDER BY bar_us) - 1 AS ret
+    FROM ma) JOIN (SELECT unnest(generate_series({SCORED_FROM // DAY}, {SCORED_TO // DAY - 1})) AS day) ON day - own BETWEEN 1 AND 7 GROUP BY symbol, day, hour"""
 _CTE["grid"] = f"""SELECT g.symbol, g.bar_us, (last_value(s.close IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.bar_us ROWS UNBOUNDED PRECEDING))::DOUBLE AS close,
     coalesce(s.volume, 0) AS volume, coalesce(s.sell_volume, 0) AS sell_volume FROM (SELECT symbol, unnest(generate_series(min(bar_us), {HORIZON}, {MINUTE})) AS bar_us FROM scored GROUP BY symbol) g LEFT JOIN scored s USING (symbol, bar_us)"""
 _CTE["f0"] = """SELECT *, close / lag(close, 60) OVER w - 1 AS ret_60, CASE WHEN count(*) OVER (w ROWS 59 PRECEDING) >= 60 THEN (sum(volume) OVER (w ROWS 59 PRECEDING))::DOUBLE END AS vol_60,
@@ -51,15 +51,15 @@ _CTE["f0"] = """SELECT *, close / lag(close, 60) OVER w - 1 AS ret_60, CASE WHEN
 _INF = "CASE WHEN {b} = 0 THEN CASE WHEN {a} > 0 THEN 'infinity'::DOUBLE WHEN {a} < 0 THEN '-infinity'::DOUBLE END ELSE {a} / {b} END"
 _CTE["feat"] = f"""SELECT f0.*, CASE WHEN vol_120 <> 0 THEN sell_120 / vol_120 END AS sell_share_120, {_INF.format(a='ret_60', b='ret_std')} AS ret_60_ref_z,
     {_INF.format(a='vol_60', b='volume_median')} AS vol_60_ref_ratio, {_INF.format(a='vol_120', b='(2 * volume_median)')} AS vol_120_ref_ratio
-    FROM f0 LEFT JOIN prof ON f0.symbol = prof.symbol AND (f0.bar_us % {DAY} // 3600000000) = prof.hour"""
+    FROM f0 LEFT JOIN prof ON f0.symbol = prof.symbol AND (f0.bar_us % {DAY} // 3600000000) = prof.hour AND f0.bar_us // {DAY} = prof.day"""
 _CTE["cond"] = """SELECT symbol, bar_us AS t_us, 'price_shock' AS rule, 0 AS place, 'high' AS severity, true AS opens FROM feat WHERE abs(ret_60_ref_z) > 4
     UNION ALL SELECT symbol, bar_us, 'volume_burst', 1, 'medium', false FROM feat WHERE vol_60_ref_ratio > 4
     UNION ALL SELECT symbol, bar_us, 'one_sided_flow', 2, 'medium', false FROM feat WHERE (sell_share_120 > 0.8 OR sell_share_120 < 0.2) AND vol_120_ref_ratio > 2"""
 _CTE["al"] = f"""SELECT *, row_number() OVER (ORDER BY fired_us, symbol, place)::INTEGER AS alert_no FROM (
-    SELECT symbol, rule, place, severity, opens, min(t_us) AS fired_us, CASE WHEN max(t_us) + 300000000 <= {HORIZON} THEN max(t_us) + 300000000 END AS cleared_us, least(max(t_us) + 300000000 - {MINUTE}, {HORIZON}) AS active_until FROM (
+    SELECT symbol, rule, place, severity, opens, min(t_us) AS fired_us, min(t_us) + {MINUTE} AS detected_us, CASE WHEN max(t_us) + 300000000 <= {HORIZON} THEN max(t_us) + 300000000 END AS cleared_us, least(max(t_us) + 300000000 - {MINUTE}, {HORIZON}) AS active_until FROM (
     SELECT *, sum(CASE WHEN gap IS NULL OR gap > 300000000 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, rule ORDER BY t_us) AS ep FROM (
     SELECT *, t_us - lag(t_us) OVER (PARTITION BY symbol, rule ORDER BY t_us) AS gap FROM cond)) GROUP BY symbol, rule, place, severity, opens, ep)"""
-_CTE["inc"] = f"""SELECT symbol, min(fired_us) AS opened_us, max(active_until) AS last_active_us, CASE WHEN max(active_until) + 900000000 <= {HORIZON} THEN max(active_until) + 900000000 END AS resolved_us,
+_CTE["inc"] = f"""SELECT symbol, min(fired_us) AS opened_us, max(active_until) AS last_active_us, min(detected_us) AS detected_us, count(*) AS opening_alerts, CASE WHEN max(active_until) + 900000000 <= {HORIZON} THEN max(active_until) + 900000000 END AS resolved_us,
     CASE WHEN max(active_until) + 900000000 <= {HORIZON} THEN 'resolved' ELSE 'open' END AS status, row_number() OVER (ORDER BY min(fired_us), symbol)::INTEGER AS incident_no FROM (
     SELECT *, sum(CASE WHEN before IS NULL OR fired_us > before + 900000000 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY fired_us, place) AS n FROM (
     SELECT *, max(active_until) OVER (PARTITION BY symbol ORDER BY fired_us, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM al WHERE opens)) GROUP BY symbol, n"""
@@ -73,10 +73,11 @@ _CTE["ext"] = """SELECT i.*, a.price_at_open, x.* EXCLUDE (incident_no) FROM inc
 _CTE["size"] = """SELECT incident_no, floor(max(q) / sum(q) * 100 * 100 + 0.5) / 100 AS largest_trade_pct, floor(sum(CASE WHEN r <= 10 THEN q END) / sum(q) * 100 * 10 + 0.5) / 10 AS top10_pct, median(q) AS median_trade_size FROM (
     SELECT incident_no, quantity::DOUBLE AS q, row_number() OVER (PARTITION BY incident_no ORDER BY quantity DESC, agg_trade_id) AS r FROM win JOIN ta USING (symbol) WHERE event_us BETWEEN w0 AND w1) GROUP BY 1"""
 _CTE["ov"] = "SELECT a.incident_no, list(b.incident_no ORDER BY b.incident_no) AS o FROM win a JOIN win b ON a.symbol <> b.symbol AND b.w0 <= a.w1 + 300000000 AND b.w1 >= a.w0 - 300000000 GROUP BY 1"
-_CTE["ev"] = f"SELECT alert_no AS event_id, symbol, rule, fired_us AS detected_us, fired_us - fired_us % {MINUTE} + {MINUTE} AS entry_us FROM linked"
+_CTE["ev"] = f"SELECT alert_no AS event_id, symbol, rule, fired_us, detected_us, detected_us - detected_us % {MINUTE} + {MINUTE} AS entry_us FROM linked"
 _CTE["ret"] = "SELECT ev.*, " + ", ".join(f"(g{h}.close / g0.close - 1) * 100 AS ret_{h}m" for h in (5, 15, 60)) + " FROM ev LEFT JOIN grid g0 ON g0.symbol = ev.symbol AND g0.bar_us = entry_us " + " ".join(f"LEFT JOIN grid g{h} ON g{h}.symbol = ev.symbol AND g{h}.bar_us = entry_us + {h * MINUTE}" for h in (5, 15, 60))
 _CTE["pool"] = f"SELECT symbol, bar_us FROM grid g WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.symbol = g.symbol AND g.bar_us BETWEEN detected_us - detected_us % {MINUTE} - {60 * MINUTE} AND detected_us - detected_us % {MINUTE} + {60 * MINUTE})"
 _CTE["runs"] = "SELECT * FROM (VALUES (DATE '2024-01-15', 'r1', 'completed', TIMESTAMP '2024-01-16 01:00:00'), (DATE '2024-01-15', 'r2', 'completed', TIMESTAMP '2024-01-16 02:00:00'), (DATE '2024-01-16', 'r3', 'failed', TIMESTAMP '2024-01-17 01:00:00'), (DATE '2024-01-17', 'r4', 'completed', TIMESTAMP '2024-01-18 01:00:00')) t(trade_date, run_id, status, finished_at)"
+_CTE["briefs"] = "SELECT * FROM (VALUES (DATE '2024-01-15', 'r1', 'written', TIMESTAMP '2024-01-16 03:00:00'), (DATE '2024-01-15', 'r2', 'awaiting_analyst', TIMESTAMP '2024-01-16 04:00:00'), (DATE '2024-01-17', 'r4', 'quiet', TIMESTAMP '2024-01-18 03:00:00')) t(trade_date, run_id, status, created_at)"
 _CTE["off"] = "SELECT trade_date, arg_max(run_id, finished_at) AS run_id FROM runs WHERE status = 'completed' GROUP BY 1"
 
 _A = ["ta", "ma", "scored", "prof", "grid", "f0", "feat", "cond", "al", "inc", "linked", "win", "flow", "ext", "size", "ov", "ev", "ret", "pool"]
@@ -100,7 +101,7 @@ def _d(*names: str) -> str:
 _P = _d("open", "high", "low", "close", "volume", "quote_volume", "sell_volume")
 _TO = {name: _A[: _A.index(name) + 1] for name in _A}
 _STUDY = f"count(x) AS n, {_r('avg(x)', 6, 'mean')}, {_r('avg(CASE WHEN x > 0 THEN 100.0::DOUBLE ELSE 0 END)', 6, 'hit_rate')}, {_r('avg(CASE WHEN x > 0 THEN 100.0::DOUBLE WHEN x IS NOT NULL THEN 0 END)', 6, 'hit_rate_known')}"
-_SET = f"CASE WHEN entry_us < {PROFILE_TO + 2 * DAY} THEN 'discovery' ELSE 'holdout' END AS dataset"
+_SET = f"CASE WHEN entry_us // {DAY} < (SELECT list_sort(list(DISTINCT bar_us // {DAY}))[(count(DISTINCT bar_us // {DAY}) * 2) // 3 + 1] FROM scored) THEN 'discovery' ELSE 'holdout' END AS dataset"
 
 
 def _long(rows: str, sign: str) -> str:
@@ -131,23 +132,23 @@ SQL: dict[str, str] = {
     "lateness_sweep": _sweep(),
     "bar_delay": _sql(f"SELECT {_r('quantile_cont(d, 0.5)', 4, 'p50_s')}, {_r('quantile_cont(d, 0.95)', 4, 'p95_s')} FROM (SELECT (emitted_us - bar_us - {SECOND}) / 1e6::DOUBLE AS d FROM base)", lateness=10),
     "klines": _sql(f"SELECT symbol, bar_us, {_d('open', 'high', 'low', 'close', 'volume', 'quote_volume')}, trade_count, (volume - sell_volume)::DOUBLE AS taker_buy_volume FROM ma", "ta", "ma"),
-    "hour_profile": _sql(f"SELECT symbol, hour, days, bars, volume_median, {_r('ret_std')} FROM prof", *_TO["prof"]),
+    "hour_profile": _sql(f"SELECT symbol, day, hour, days, bars, volume_median, {_r('ret_std')} FROM prof", *_TO["prof"]),
     "returns_lag": _sql(f"SELECT symbol, bar_us, {_r('ret', 9)} FROM (SELECT symbol, bar_us, close::DOUBLE / lag(close::DOUBLE) OVER (PARTITION BY symbol ORDER BY bar_us) - 1 AS ret FROM ma)", "ta", "ma"),
     "bars_vs_klines": _sql("SELECT count(*) AS bars, count(*) FILTER (WHERE p) AS prices_equal, count(*) FILTER (WHERE v) AS volume_equal, count(*) FILTER (WHERE bb) AS buy_volume_equal, count(*) FILTER (WHERE p AND v AND bb) AS all_equal FROM (SELECT r.open = t.open AND r.high = t.high AND r.low = t.low AND r.close = t.close AS p, r.volume = t.volume AS v, r.volume - r.sell_volume = t.volume - t.sell_volume AS bb FROM roll r JOIN truth t USING (symbol, bar_us))", lateness=2),
-    "profile_missing_days": "SELECT s AS symbol, d::VARCHAR AS day FROM (VALUES ('click'), ('error'), ('view')) a(s), (SELECT (DATE '2024-01-12' - i::INTEGER)::DATE AS d FROM range(1, 8) t(i)) WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_type = s AND ts::DATE = d AND (event_type <> 'error' OR dayofmonth(ts) % 3 <> 0))",
+    "profile_missing_days": "SELECT s AS symbol, d::VARCHAR AS day FROM (VALUES ('click'), ('error'), ('view')) a(s), (SELECT (DATE '2024-01-05' - i::INTEGER)::DATE AS d FROM range(1, 8) t(i)) WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_type = s AND ts::DATE = d)",
     "dense_grid": _sql(f"SELECT symbol, bar_us, close, {_d('volume', 'sell_volume')} FROM grid", *[n for n in _TO["grid"] if n != "prof"]),
-    "known_at": _sql(f"""SELECT g.symbol, g.bar_us, k.known_us FROM (SELECT symbol, unnest(generate_series(min(bar_us), (SELECT max(bar_us) FROM base WHERE bar_us < {DAY0 + 600 * SECOND}), {SECOND})) AS bar_us FROM base WHERE bar_us < {DAY0 + 600 * SECOND} GROUP BY symbol) g
-    JOIN (SELECT t.bar_us, first_value(e IGNORE NULLS) OVER (ORDER BY t.bar_us ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS known_us FROM (SELECT unnest(generate_series(min(bar_us), max(bar_us), {SECOND})) AS bar_us FROM base WHERE bar_us < {DAY0 + 600 * SECOND}) t
-    LEFT JOIN (SELECT bar_us, min(emitted_us) AS e FROM base WHERE bar_us < {DAY0 + 600 * SECOND} GROUP BY 1) m ON m.bar_us = t.bar_us) k ON k.bar_us = g.bar_us""", lateness=10),
+    "known_at": _sql(f"""SELECT g.symbol, g.bar_us, k.known_us FROM (SELECT symbol, unnest(generate_series(min(bar_us), (SELECT max(bar_us) FROM base), {SECOND})) AS bar_us FROM base GROUP BY symbol) g
+    JOIN (SELECT t.bar_us, first_value(e IGNORE NULLS) OVER (ORDER BY t.bar_us ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS known_us FROM (SELECT unnest(generate_series(min(bar_us), max(bar_us), {SECOND})) AS bar_us FROM base) t
+    LEFT JOIN (SELECT bar_us, min(emitted_us) AS e FROM base GROUP BY 1) m ON m.bar_us = t.bar_us) k ON k.bar_us = g.bar_us""", lateness=10),
     "features_ref": _sql(f"SELECT symbol, bar_us, {_r('ret_60', 9)}, vol_60, vol_120, {_r('sell_share_120')}, {_r('ret_60_ref_z', 4)}, {_r('vol_60_ref_ratio', 4)}, {_r('vol_120_ref_ratio', 4)} FROM feat", *_TO["feat"]),
     "features_rolling": _sql(f"""SELECT symbol, bar_us, {_r('ret_60 / nullif(z, 0)', 4, 'ret_60_z')}, {_r('vol_60 / nullif(m60, 0)', 4, 'vol_60_ratio')}, {_r('vol_120 / nullif(m120, 0)', 4, 'vol_120_ratio')} FROM (SELECT *,
     CASE WHEN count(ret_60) OVER a >= 600 THEN stddev_samp(ret_60) OVER a END AS z, CASE WHEN count(vol_60) OVER a >= 600 THEN quantile_cont(vol_60, 0.5) OVER a END AS m60, CASE WHEN count(vol_120) OVER b >= 600 THEN quantile_cont(vol_120, 0.5) OVER b END AS m120
     FROM feat WINDOW a AS (PARTITION BY symbol ORDER BY bar_us ROWS BETWEEN 1859 PRECEDING AND 60 PRECEDING), b AS (PARTITION BY symbol ORDER BY bar_us ROWS BETWEEN 1919 PRECEDING AND 120 PRECEDING))""", *_TO["feat"]),
     "rule_conditions": _sql("SELECT symbol, t_us, rule FROM cond", *_TO["cond"]),
-    "alerts": _sql("SELECT alert_no, symbol, rule, severity, fired_us, cleared_us, incident_no FROM linked", *_TO["linked"]),
-    "incidents": _sql("SELECT incident_no, symbol, opened_us, last_active_us, resolved_us, status FROM inc", *_TO["inc"]),
+    "alerts": _sql("SELECT alert_no, symbol, rule, severity, fired_us, detected_us, cleared_us, incident_no FROM linked", *_TO["linked"]),
+    "incidents": _sql("SELECT incident_no, symbol, opened_us, last_active_us, detected_us, opening_alerts, resolved_us, status FROM inc", *_TO["inc"]),
     "incident_events": _sql("SELECT incident_no, opened_us AS at_us, 'opened' AS event, NULL::INTEGER AS alert_no FROM inc UNION ALL SELECT incident_no, fired_us, 'alert_attached', alert_no FROM linked WHERE incident_no IS NOT NULL UNION ALL SELECT incident_no, resolved_us, 'resolved', NULL FROM inc WHERE resolved_us IS NOT NULL", *_TO["linked"]),
-    "incident_rules": _sql("SELECT incident_no, string_agg(rule, ',' ORDER BY late, k, p, rule) AS rules FROM (SELECT l.incident_no, rule, fired_us >= opened_us AS late, CASE WHEN fired_us < opened_us THEN -fired_us ELSE fired_us END AS k, CASE WHEN fired_us < opened_us THEN -place ELSE place END AS p FROM linked l JOIN inc USING (incident_no)) GROUP BY 1", *_TO["linked"]),
+    "incident_rules": _sql("SELECT incident_no, string_agg(rule, ',' ORDER BY late, k, p, rule) AS rules FROM (SELECT *, row_number() OVER (PARTITION BY incident_no, rule ORDER BY late, k, p) AS nth FROM (SELECT l.incident_no, rule, fired_us >= opened_us AS late, CASE WHEN fired_us < opened_us THEN -fired_us ELSE fired_us END AS k, CASE WHEN fired_us < opened_us THEN -place ELSE place END AS p FROM linked l JOIN inc USING (incident_no))) WHERE nth = 1 GROUP BY 1", *_TO["linked"]),
     "incident_extremes": _sql(f"SELECT incident_no, {_r('price_at_open')}, price_low, price_high, price_last, {_r('max_z', 4, 'max_abs_ret_60_ref_z')}, {_r('max_v', 4, 'max_vol_60_ref_ratio')}, {_r('max_s', 6, 'max_sell_share')}, {_r('min_s', 6, 'min_sell_share')} FROM ext", *_TO["ext"]),
     "incident_flow": _sql(f"SELECT incident_no, volume, {_r('sell_share')}, trades, price_at_end FROM flow", *_TO["flow"]),
     "price_after": _sql(f"SELECT incident_no, a.close AS price_30m_after, b.close AS price_60m_after FROM win LEFT JOIN grid a ON a.symbol = win.symbol AND a.bar_us = w1 - w1 % {MINUTE} + {30 * MINUTE} LEFT JOIN grid b ON b.symbol = win.symbol AND b.bar_us = w1 - w1 % {MINUTE} + {60 * MINUTE}", *_TO["win"]),
@@ -158,21 +159,31 @@ SQL: dict[str, str] = {
     floor((price_at_end / price_at_open - 1) * 100 * 100 + 0.5) / 100 AS move_at_end_pct, floor(sell_share * 100 * 10 + 0.5) / 10 AS sell_pct, volume, trades, coalesce(len(o), 0)::INTEGER AS n_overlapping,
     CASE WHEN coalesce(len(o), 0) > 0 THEN 'market_wide' ELSE 'single_asset' END AS scope, largest_trade_pct, top10_pct, median_trade_size FROM ext e LEFT JOIN flow USING (incident_no) LEFT JOIN ov USING (incident_no) LEFT JOIN size USING (incident_no)""", *_TO["ov"]),
     "trade_concentration": _sql("SELECT * FROM size", "ta", *[n for n in _TO["win"] if n != "ta"], "size"),
-    "day_summary": _sql(f"""SELECT symbol, o AS open, c AS close, floor((c / o - 1) * 100 * 100 + 0.5) / 100 AS day_return_pct, floor((h / l - 1) * 100 * 100 + 0.5) / 100 AS range_pct, floor(v / normal * 100 + 0.5) / 100 AS volume_vs_normal_x FROM (
-    SELECT symbol, arg_min(open, bar_us)::DOUBLE AS o, arg_max(close, bar_us)::DOUBLE AS c, max(high)::DOUBLE AS h, min(low)::DOUBLE AS l, sum(volume)::DOUBLE AS v FROM ma WHERE bar_us >= {PROFILE_TO} AND bar_us < {PROFILE_TO + DAY} GROUP BY 1) LEFT JOIN (SELECT symbol, sum(volume_median * 60) AS normal FROM prof GROUP BY 1) USING (symbol)""", *_TO["prof"]),
+    "day_summary": _sql(f"""SELECT symbol, day, o AS open, c AS close, floor((c / o - 1) * 100 * 100 + 0.5) / 100 AS day_return_pct, floor((h / l - 1) * 100 * 100 + 0.5) / 100 AS range_pct, floor(v / normal * 100 + 0.5) / 100 AS volume_vs_normal_x FROM (
+    SELECT symbol, bar_us // {DAY} AS day, arg_min(open, bar_us)::DOUBLE AS o, arg_max(close, bar_us)::DOUBLE AS c, max(high)::DOUBLE AS h, min(low)::DOUBLE AS l, sum(volume)::DOUBLE AS v FROM scored GROUP BY 1, 2) LEFT JOIN (SELECT symbol, day, sum(volume_median * 60) AS normal FROM prof GROUP BY 1, 2) USING (symbol, day)""", *_TO["prof"]),
     "alerts_by_rule": _sql("SELECT rule, count(*) AS alerts, count(*) FILTER (WHERE incident_no IS NULL) AS not_in_any_incident FROM linked GROUP BY 1", *_TO["linked"]),
     "official_runs": _sql("SELECT trade_date::VARCHAR AS trade_date, run_id FROM off", "runs", "off"),
     "audit_list": _sql("SELECT run_id, status FROM runs ORDER BY finished_at DESC LIMIT 3", "runs"),
     "retention_candidates": "SELECT run_id FROM (VALUES ('a', DATE '2024-01-01', NULL), ('b', DATE '2024-01-01', TIMESTAMP '2024-01-09 00:00:00'), ('c', DATE '2024-01-08', NULL)) t(run_id, d, p) WHERE d < DATE '2024-01-15' - 7 AND p IS NULL",
-    "catchup_days": _sql("SELECT trade_date::VARCHAR AS trade_date, run_id FROM off WHERE (run_id NOT IN ('r4'))", "runs", "off"),
+    "catchup_days": _sql("SELECT trade_date::VARCHAR AS trade_date, run_id FROM off WHERE NOT EXISTS (SELECT 1 FROM (SELECT run_id, arg_max(status, created_at) AS status FROM briefs GROUP BY 1) b WHERE b.run_id = off.run_id AND b.status IN ('written', 'quiet'))", "runs", "briefs", "off"),
     "briefs_join": _sql("SELECT incident_no, symbol, note FROM inc LEFT JOIN (VALUES (1, 'sharp move'), (2, 'thin book')) t(n, note) ON n = incident_no", *_TO["inc"]),
-    "briefing_validation": "SELECT * FROM (VALUES (1, '', '', ''), (2, '9', '2', '1'), (3, '', '1', ''), (4, '', '5', '')) t(briefing_id, unknown, missing, duplicate)",
+    "briefing_validation": """WITH a AS (SELECT * FROM (VALUES (1, [1, 2]), (2, [1, 1, 9]), (3, [2])) t(briefing_id, noted)),
+    w AS (SELECT * FROM (VALUES (1, [1, 2]), (2, [1, 2]), (3, [1, 2]), (4, [5])) t(briefing_id, incidents)),
+    j AS (SELECT w.briefing_id, incidents, coalesce(noted, []) AS noted FROM w LEFT JOIN a USING (briefing_id)),
+    n AS (SELECT briefing_id, x, count(*) AS times FROM (SELECT briefing_id, unnest(noted) AS x FROM j) GROUP BY 1, 2)
+    SELECT j.briefing_id, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM n WHERE n.briefing_id = j.briefing_id AND NOT list_contains(j.incidents, x)), '') AS unknown,
+    array_to_string(list_sort(list_filter(j.incidents, lambda i: NOT list_contains(j.noted, i))), ',') AS missing,
+    coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM n WHERE n.briefing_id = j.briefing_id AND times > 1), '') AS duplicate FROM j""",
     "scope_of": _sql("SELECT inc.incident_no, CASE WHEN o IS NULL THEN 'single_asset' ELSE 'market_wide' END AS scope FROM inc LEFT JOIN ov USING (incident_no)", *_TO["win"], "ov"),
     "quiet_summary": "SELECT d::VARCHAR AS trade_date, CASE WHEN i = 0 THEN 'No incidents on ' || d::VARCHAR || ' for ' || array_to_string(s, ', ') || '; ' || a || ' context alerts.' ELSE i || ' incidents on ' || d::VARCHAR || ' for ' || array_to_string(s, ', ') || ' await an analyst.' END AS summary FROM (VALUES (DATE '2024-01-15', ['click', 'view'], 0, 4), (DATE '2024-01-16', ['click'], 2, 9)) t(d, s, i, a)",
     "forward_returns": _sql(f"SELECT event_id, symbol, rule, entry_us, {_r('ret_5m', 9)}, {_r('ret_15m', 9)}, {_r('ret_60m', 9)} FROM ret", *_TO["linked"], "ev", "ret"),
     "control_pool": _sql("SELECT symbol, bar_us FROM pool", *_TO["linked"], "ev", "pool"),
-    "controls_sample": _sql(f"SELECT event_id, symbol, entry_us FROM (SELECT event_id, ev.symbol, p.bar_us AS entry_us, row_number() OVER (PARTITION BY event_id ORDER BY md5(event_id::VARCHAR || ':' || p.bar_us::VARCHAR)) AS k FROM ev JOIN pool p ON p.symbol = ev.symbol AND ev.entry_us % {DAY} // 3600000000 = p.bar_us % {DAY} // 3600000000 AND ev.entry_us // {DAY} <> p.bar_us // {DAY}) WHERE k <= 20", *_TO["linked"], "ev", "pool"),
+    "controls_sample": _sql(f"""SELECT event_id, symbol, entry_us FROM (SELECT event_id, e.symbol, p.bar_us AS entry_us, row_number() OVER (PARTITION BY event_id ORDER BY step) AS k
+    FROM (SELECT *, unnest(generate_series(0, least(n, 80) - 1)) AS step FROM (SELECT event_id, ev.symbol, entry_us % {DAY} // 3600000000 AS hour, entry_us // {DAY} AS day, ('0x' || substring(md5(event_id::VARCHAR), 1, 13))::BIGINT AS start FROM ev) JOIN
+      (SELECT symbol, bar_us % {DAY} // 3600000000 AS hour, count(*) AS n FROM pool GROUP BY 1, 2) USING (symbol, hour)) e
+    JOIN (SELECT symbol, bar_us, bar_us % {DAY} // 3600000000 AS hour, row_number() OVER (PARTITION BY symbol, bar_us % {DAY} // 3600000000 ORDER BY md5(bar_us::VARCHAR), bar_us) - 1 AS at FROM pool) p
+    ON p.symbol = e.symbol AND p.hour = e.hour AND p.at = (e.start + e.step) % e.n WHERE e.day <> p.bar_us // {DAY}) WHERE k <= 20""", *_TO["linked"], "ev", "pool"),
     "study_size": _sql(f"SELECT rule, dataset, horizon, {_STUDY} FROM ({_long(f'SELECT rule, {_SET}, ret_5m, ret_15m, ret_60m FROM ret', 'abs({x})')}) GROUP BY 1, 2, 3", *_TO["linked"], "ev", "ret"),
-    "study_direction": _sql(f"SELECT dataset, horizon, {_STUDY} FROM ({_long(f'SELECT {_SET}, ret_5m, ret_15m, ret_60m, CASE WHEN sell_share_120 < 0.5 THEN 1 ELSE -1 END AS sg FROM ret LEFT JOIN feat f ON f.symbol = ret.symbol AND f.bar_us = detected_us WHERE rule = ' + chr(39) + 'one_sided_flow' + chr(39), 'sg * {x}')}) GROUP BY 1, 2", *_TO["linked"], "ev", "ret"),
-    "study_shock": _sql(f"SELECT dataset, horizon, {_STUDY} FROM ({_long(f'SELECT {_SET}, ret_5m, ret_15m, ret_60m, sign(ret_60) AS sg FROM ret LEFT JOIN feat f ON f.symbol = ret.symbol AND f.bar_us = detected_us WHERE rule = ' + chr(39) + 'price_shock' + chr(39), 'sg * {x}')}) GROUP BY 1, 2", *_TO["linked"], "ev", "ret"),
+    "study_direction": _sql(f"SELECT dataset, horizon, {_STUDY} FROM ({_long(f'SELECT {_SET}, ret_5m, ret_15m, ret_60m, CASE WHEN sell_share_120 < 0.5 THEN 1 ELSE -1 END AS sg FROM ret LEFT JOIN feat f ON f.symbol = ret.symbol AND f.bar_us = fired_us WHERE rule = ' + chr(39) + 'one_sided_flow' + chr(39), 'sg * {x}')}) GROUP BY 1, 2", *_TO["linked"], "ev", "ret"),
+    "study_shock": _sql(f"SELECT dataset, horizon, {_STUDY} FROM ({_long(f'SELECT {_SET}, ret_5m, ret_15m, ret_60m, sign(ret_60) AS sg FROM ret LEFT JOIN feat f ON f.symbol = ret.symbol AND f.bar_us = fired_us WHERE rule = ' + chr(39) + 'price_shock' + chr(39), 'sg * {x}')}) GROUP BY 1, 2", *_TO["linked"], "ev", "ret"),
 }

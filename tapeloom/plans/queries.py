@@ -21,7 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 LATENESS, SETTINGS = 10.0, (0.0, 2.0, 5.0, 10.0, 20.0, 30.0, 60.0)
 DAY0 = tape.ORIGIN_US
-PROFILE_FROM, PROFILE_TO, SCORED_TO = DAY0 + 7 * DAY, DAY0 + 14 * DAY, DAY0 + 17 * DAY
+#: Days that have seven days before them; each is scored against these.
+SCORED_FROM, SCORED_TO = DAY0 + 7 * DAY, DAY0 + 30 * DAY
 HORIZON = SCORED_TO - MINUTE
 #: Thresholds and times at which rules fire on the test tape.
 TAPE_RULES = """
@@ -59,10 +60,10 @@ class Tape:
         return B.trade_bars(self.native, MINUTE)
 
     def scored(self) -> DataFrame:
-        return self.minutes().where((F.col("bar_us") >= PROFILE_TO) & (F.col("bar_us") < SCORED_TO))
+        return self.minutes().where((F.col("bar_us") >= SCORED_FROM) & (F.col("bar_us") < SCORED_TO))
 
     def profile(self) -> DataFrame:
-        return X.hour_profile(self.minutes(), PROFILE_FROM, PROFILE_TO)
+        return X.daily_profiles(self.minutes(), SCORED_FROM, SCORED_TO)
 
     def grid(self) -> DataFrame:
         return X.dense_grid(self.scored(), MINUTE, HORIZON)
@@ -83,7 +84,7 @@ class Tape:
         return E.windows(self.incidents())
 
     def study_events(self) -> DataFrame:
-        a = self.linked().select(F.col("alert_no").alias("event_id"), "symbol", "rule", F.col("fired_us").alias("detected_us"))
+        a = self.linked().select(F.col("alert_no").alias("event_id"), "symbol", "rule", "fired_us", "detected_us")
         return a.withColumn("entry_us", research.entry_minute(F.col("detected_us")))
 
     def returns(self) -> DataFrame:
@@ -169,7 +170,7 @@ def klines(spark, d):
 
 
 def hour_profile(spark, d):
-    return Tape(spark, d).profile().select("symbol", "hour", "days", "bars", "volume_median", _near("ret_std"))
+    return Tape(spark, d).profile().select("symbol", "day", "hour", "days", "bars", "volume_median", _near("ret_std"))
 
 
 def returns_lag(spark, d):
@@ -186,9 +187,8 @@ def bars_vs_klines(spark, d):
 
 
 def profile_missing_days(spark, d):
-    e = events(spark, d).where("event_type <> 'error' or dayofmonth(ts) % 3 <> 0")
-    present = e.select(F.col("event_type").alias("symbol"), F.to_date("ts").alias("day"))
-    return tape.missing_days(present, ["click", "error", "view"], date(2024, 1, 12)).select("symbol", F.col("day").cast("string"))
+    present = events(spark, d).select(F.col("event_type").alias("symbol"), F.to_date("ts").alias("day"))
+    return tape.missing_days(present, ["click", "error", "view"], date(2024, 1, 5)).select("symbol", F.col("day").cast("string"))
 
 
 def dense_grid(spark, d):
@@ -197,7 +197,7 @@ def dense_grid(spark, d):
 
 def known_at(spark, d):
     t = Tape(spark, d)
-    base = t.base().where(F.col("bar_us") < DAY0 + 600 * SECOND)
+    base = t.base()
     return X.known_at(X.dense_grid(base, SECOND), base).select("symbol", "bar_us", "known_us")
 
 
@@ -215,11 +215,11 @@ def rule_conditions(spark, d):
 
 
 def alerts(spark, d):
-    return Tape(spark, d).linked().select("alert_no", "symbol", "rule", "severity", "fired_us", "cleared_us", "incident_no")
+    return Tape(spark, d).linked().select("alert_no", "symbol", "rule", "severity", "fired_us", "detected_us", "cleared_us", "incident_no")
 
 
 def incidents(spark, d):
-    return Tape(spark, d).incidents().select("incident_no", "symbol", "opened_us", "last_active_us", "resolved_us", "status")
+    return Tape(spark, d).incidents().select("incident_no", "symbol", "opened_us", "last_active_us", "detected_us", "opening_alerts", "resolved_us", "status")
 
 
 def incident_events(spark, d):
@@ -276,8 +276,7 @@ def trade_concentration(spark, d):
 
 def day_summary(spark, d):
     t = Tape(spark, d)
-    day = t.minutes().where((F.col("bar_us") >= PROFILE_TO) & (F.col("bar_us") < PROFILE_TO + DAY))
-    return E.day_summary(day, t.profile())
+    return E.day_summary(t.scored(), t.profile())
 
 
 def alerts_by_rule(spark, d):
@@ -342,9 +341,11 @@ def controls_sample(spark, d):
     return research.sampled_controls(t.study_events(), research.control_pool(t.grid(), t.study_events()))
 
 
-def _split(df: DataFrame, us: str = "entry_us") -> DataFrame:
-    """Three days: the last is the holdout."""
-    return df.withColumn("dataset", F.when(F.col(us) < PROFILE_TO + 2 * DAY, "discovery").otherwise("holdout"))
+def _split(df: DataFrame, t: Tape) -> DataFrame:
+    """With dataset: the last third of the scored days is the holdout."""
+    days = t.scored().select(F.floor(F.col("bar_us") / DAY).alias("trade_date"))
+    split = F.broadcast(research.split_day(days))  # one row
+    return df.crossJoin(split).withColumn("dataset", F.when(F.floor(F.col("entry_us") / DAY) < F.col("split_day"), "discovery").otherwise("holdout")).drop("split_day")
 
 
 def _study_columns(df: DataFrame) -> DataFrame:
@@ -352,25 +353,29 @@ def _study_columns(df: DataFrame) -> DataFrame:
 
 
 def study_size(spark, d):
-    return _study_columns(research.study(_split(Tape(spark, d).returns()), ["rule", "dataset"]))
+    t = Tape(spark, d)
+    return _study_columns(research.study(_split(t.returns(), t), ["rule", "dataset"]))
 
 
 def study_direction(spark, d):
     t = Tape(spark, d)
-    f = t.features().select("symbol", F.col("bar_us").alias("detected_us"), "sell_share_120")
-    rows = _split(t.returns().where("rule = 'one_sided_flow'")).join(f, ["symbol", "detected_us"], "left")
+    f = t.features().select("symbol", F.col("bar_us").alias("fired_us"), "sell_share_120")
+    rows = _split(t.returns().where("rule = 'one_sided_flow'"), t).join(f, ["symbol", "fired_us"], "left")
     return _study_columns(research.study(rows, ["dataset"], F.when(F.col("sell_share_120") < 0.5, 1).otherwise(-1)))
 
 
 def study_shock(spark, d):
     t = Tape(spark, d)
-    f = t.features().select("symbol", F.col("bar_us").alias("detected_us"), "ret_60")
-    rows = _split(t.returns().where("rule = 'price_shock'")).join(f, ["symbol", "detected_us"], "left")
+    f = t.features().select("symbol", F.col("bar_us").alias("fired_us"), "ret_60")
+    rows = _split(t.returns().where("rule = 'price_shock'"), t).join(f, ["symbol", "fired_us"], "left")
     return _study_columns(research.study(rows, ["dataset"], F.signum("ret_60")))
 
 
 def bootstrap_ci(spark, d):
-    return research.bootstrap_ci(_split(Tape(spark, d).returns()), ["rule", "dataset"], "ret_15m", draws=200)
+    t = Tape(spark, d)
+    one = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.abs(F.col(f"ret_{h}m")).alias("ret")) for h in research.HORIZONS]))
+    rows = _split(t.returns(), t).select("rule", "dataset", one.alias("r")).select("rule", "dataset", "r.*")
+    return research.bootstrap_ci(rows, ["rule", "dataset", "horizon"], "ret")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (

@@ -58,7 +58,7 @@ def stream_alerts(conditions: DataFrame, clear_after_s: int = 60) -> DataFrame:
         for t in sorted(t for f in frames for t in f.loc[f["is_true"], "t_us"]):
             if last is None or t - last > clear_after_s * 1_000_000:
                 fired.append(int(t))
-            last = int(t)
+            last = int(t) if last is None else max(last, int(t))  # a batch may bring older steps than the state's
         if last is not None:
             state.update((last,))
         yield pd.DataFrame({"symbol": [key[0]] * len(fired), "rule": [key[1]] * len(fired), "fired_us": fired})

@@ -228,3 +228,19 @@ def test_stream_alerts(spark, tmp_path):
     s = spark.readStream.schema("symbol string, rule string, t_us long, is_true boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     live.run_to_table(live.stream_alerts(s), "fired", str(tmp_path / "cp"))
     assert {r.fired_us // SECOND for r in spark.table("fired").collect()} == {0, 121, 300}
+
+
+def test_incident_lists_a_rule_once(spark):
+    inc = spark.createDataFrame([(1, 100)], "incident_no int, opened_us long")
+    rows = [(1, "b", 1, 90), (1, "a", 0, 100), (1, "b", 1, 120), (1, "c", 2, 130), (1, "a", 0, 140)]
+    hit = spark.createDataFrame(rows, "incident_no int, rule string, place int, fired_us long")
+    assert rules.rules_of_incidents(inc, hit).collect()[0].rules == ["b", "a", "c"]
+
+
+def test_daily_profiles_equal_one_day_at_a_time(spark):
+    day = 86_400_000_000
+    rows = [("s", d * day + h * 3_600_000_000, 100.0 + d * h % 7, float(1 + (d * 5 + h) % 9)) for d in range(20, 33) for h in range(0, 24, 5)]
+    candles = spark.createDataFrame(rows, "symbol string, bar_us long, close double, volume double")
+    got = {(r.day, r.hour): (r.days, r.bars, r.volume_median) for r in X.daily_profiles(candles, 27 * day, 33 * day).collect()}
+    want = {(d, r.hour): (r.days, r.bars, r.volume_median) for d in range(27, 33) for r in X.hour_profile(candles, (d - 7) * day, d * day).collect()}
+    assert got == want
