@@ -4,7 +4,7 @@ by distance, neighbours as evidence.
 Terms are word stems (whole words and their first 3 to 7 letters) at a density: a stem counts once for each
 of four rates that its share of the words reaches. Terms that go with the label in the sample, by a
 chi-square test, form the vocabulary. What is learnt comes from a bounded sample of labelled rows and is
-bounded itself (VOCABULARY terms, max_examples vectors), so it may be broadcast; scoring is one pass.
+bounded by it (max_examples vectors and their terms), so it may be broadcast; scoring is one pass.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .tokens import slices
 
 #: Least share of a text's words that a stem must reach for each level.
 RATES = (0.0, 1 / 300, 1 / 100, 1 / 33)
 STEMS = (3, 4, 5, 6, 7)
-VOCABULARY, CHI_SQUARE = 512, 30.0
+CHI_SQUARE = 30.0
 BLOCK, NEIGHBOURS, THRESHOLD = 64, 25, 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -135,8 +136,9 @@ def sample_labels(docs: DataFrame, labels: DataFrame, max_examples: int) -> Data
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     few = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    # at most max_examples rows are broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    # at most max_examples rows are broadcast; of rows of one doc_id the greatest text counts, so the bound holds
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    return materialize(found.select("doc_id", "text", "toxic"), "examples")
 
 
 def learn(sample: DataFrame) -> Examples:
@@ -162,7 +164,7 @@ def learn(sample: DataFrame) -> Examples:
     gap = F.greatest(F.lit(0.0), F.abs(a * (nc - b) - b * (nt - a)) - F.lit(n / 2))
     chi = n * gap * gap / (F.lit(float(nt)) * F.lit(float(nc)) * (a + b) * (n - a - b))
     rated = flat.where((a + b >= 3) & (a + b < n) & (a * nc > b * nt)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
-    model = Examples([(r[0], r[1]) for r in rated.orderBy(F.col("chi").desc(), "stem", "level").limit(VOCABULARY).select("stem", "level").collect()] if nt and nc else [])
+    model = Examples([(r[0], r[1]) for r in rated.orderBy(F.col("chi").desc(), "stem", "level").select("stem", "level").collect()] if nt and nc else [])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +181,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = 4096
 
     The score depends on the text alone. Null and empty texts, and texts without a vocabulary term, get the
     rate of examples without one. Without labels of both kinds there is no vocabulary and all get that
-    rate. Rows repeat as in docs; an empty table gives none; columns of docs stay, but for those named
+    rate. Very long texts are scored whole. Rows repeat as in docs; an empty table gives none; columns of docs stay, but for those named
     like the new ones.
     """
     model = learn(sample_labels(docs, labels, max_examples))
