@@ -23,27 +23,32 @@ from .vectors import best, clean, distinct_vectors, flatten, pick, query_blocks,
 SHARD_ROWS = 16384
 #: Runs that a list is read in; candidates left at which reading for all rows stops.
 STEPS, FEW = 16, 64
+#: Entries of a run at least.
+LEAST = 128
 #: Rows of a shard that are searched first, so that the rest starts from their k-th best score.
 PILOT = 1024
 #: Sums under this are exact in double precision, in which the lists are read.
 EXACT = float(1 << 53)
 
 
-def lists_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each dimension the rows in rising order of their components, and these components."""
+def lists_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each dimension the rows in rising order of their components, these components, and each row's place in the
+    list, which tells whether it was met by a depth."""
     by_dim = np.ascontiguousarray(x.T)
     order = np.argsort(by_dim, axis=1, kind="stable")
-    return order.astype(np.uint16 if len(x) <= 1 << 16 else np.uint32), np.take_along_axis(by_dim, order, axis=1)
+    place = np.empty(order.shape, np.uint16 if len(x) <= 1 << 16 else np.uint32)
+    np.put_along_axis(place, order, np.arange(len(x), dtype=place.dtype)[None, :], axis=1)
+    return order, np.take_along_axis(by_dim, order, axis=1), place
 
 
-def read_lists(lists: tuple[np.ndarray, np.ndarray], q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+def read_lists(lists: tuple[np.ndarray, np.ndarray, np.ndarray], q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
     """(rows, scores, entries read before the stop): all rows that can be among the k best products with q, ties
     included, with their exact scores. Lists in which q is zero are not read.
 
     floor: a score that k rows elsewhere reach already.
     """
     used = np.flatnonzero(q)
-    order, values = lists[0][used], lists[1][used]
+    order, values, place = lists if len(used) == len(q) else (part[used] for part in lists)
     q, rising = q[used], q[used] < 0
     d, n = len(used), lists[0].shape[1]
     if not d or n <= max(FEW, k):
@@ -53,15 +58,13 @@ def read_lists(lists: tuple[np.ndarray, np.ndarray], q: np.ndarray, k: int, floo
     slack = 1e-4 * np.maximum(np.abs(values[:, 0] * q), np.abs(values[:, -1] * q)).sum()
     up, down = np.flatnonzero(rising), np.flatnonzero(~rising)
     lines = np.concatenate([up, down])[:, None]
-    got, met = np.zeros(n), np.zeros((d, n), bool)
+    got = np.zeros(n)
     left = None  # candidates, once no row outside of what was met can be one
-    step, at = max(1, -(-n // STEPS)), 0
+    step, at = max(LEAST, -(-n // STEPS)), 0
     while at < n:
         to = min(n, at + step)
         run = lambda part: np.concatenate([part[up, at:to], part[down, n - to : n - at]])
-        rows = run(order).astype(np.int64)
-        got += np.bincount(rows.ravel(), (run(values) * q[lines]).ravel(), n)
-        met[lines, rows] = True
+        got += np.bincount(run(order).ravel(), (run(values) * q[lines]).ravel(), n)
         at = to
         if at == n:
             break
@@ -70,10 +73,11 @@ def read_lists(lists: tuple[np.ndarray, np.ndarray], q: np.ndarray, k: int, floo
             continue  # rows that were not met may be anywhere
         kth = floor
         if left is None:
-            held, part = slice(None), met
+            held, part = slice(None), place
         else:
-            held, part = left, met[:, left]
-        part = part.astype(np.float32)
+            held, part = left, place[:, left]
+        # which rows were met in which list
+        part = ((part >= np.where(rising, at, n - at).astype(place.dtype)[:, None]) ^ rising[:, None]).astype(np.float32)
         reach = got[held] + best.sum() - best.astype(np.float32) @ part + slack
         if floor == -np.inf:  # the least bounds of the rows met give the k-th best
             lower = got[held] + worst.sum() - worst.astype(np.float32) @ part - slack
@@ -82,11 +86,20 @@ def read_lists(lists: tuple[np.ndarray, np.ndarray], q: np.ndarray, k: int, floo
             left = np.flatnonzero(reach >= kth) if left is None else left[reach >= kth]
             if len(left) <= max(FEW, k):
                 break
-    rows = np.arange(n) if left is None else left
+    rows = left
+    if rows is None:  # all was read, so all sums are whole
+        rows = np.flatnonzero(got >= max(floor, float(np.partition(got, n - k)[n - k])))
     ends = np.where(rising, at, 0), np.where(rising, n, n - at)
     return rows, _rest(order, values, q, rows, got, *ends), at * d
 
 
+def _opened(values: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists as lists_of makes them; the order is the inverse of the places, which are smaller to carry."""
+    order = np.empty(place.shape, np.int64)
+    np.put_along_axis(order, place.astype(np.int64), np.arange(place.shape[1])[None, :], axis=1)
+    return order, values, place
+
+
 def _rest(order: np.ndarray, values: np.ndarray, q: np.ndarray, rows: np.ndarray, got: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """got of the rows, completed by reading each list on, from start to end, for the entries of these rows."""
     wanted = np.zeros(order.shape[1] if len(order) else len(got), bool)
@@ -127,7 +140,7 @@ def top_products(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256
         x = np.array(part.column("v").to_pylist(), np.float64)
         offsets, ids = flatten(lists)
         out = io.BytesIO()
-        parts = {f"{name}{part}": c for part, rows in enumerate((x[:PILOT], x[PILOT:])) if len(rows) for name, c in zip(("order", "values"), lists_of(rows))}
+        parts = {f"{name}{part}": c for part, rows in enumerate((x[:PILOT], x[PILOT:])) if len(rows) for name, c in zip(("values", "place"), lists_of(rows)[1:])}
         np.savez(out, x=x, offsets=offsets, ids=ids, **parts)
         return pa.table({"dim": pa.array([x.shape[1]], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "payload": pa.array([out.getvalue()], pa.binary())})
 
@@ -139,7 +152,7 @@ def top_products(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256
             for dim, ids, vectors, payload in zip(*(batch.column(c) for c in ("dim", "ids", "vectors", "payload"))):
                 z = np.load(io.BytesIO(payload.as_py()))
                 x, offsets, members = (z[c] for c in ("x", "offsets", "ids"))
-                parts = [(rows, np.abs(rows).max(axis=0), tuple(z[f"{name}{part}"] for name in ("order", "values")), part * PILOT) for part, rows in enumerate((x[:PILOT], x[PILOT:])) if len(rows)]
+                parts = [(rows, np.abs(rows).max(axis=0), _opened(z[f"values{part}"], z[f"place{part}"]), part * PILOT) for part, rows in enumerate((x[:PILOT], x[PILOT:])) if len(rows)]
                 own = np.frombuffer(ids.as_py(), "<i8")
                 qs = np.frombuffer(vectors.as_py(), np.float64).reshape(len(own), dim.as_py())
                 out: list[list] = [[], [], []]
