@@ -47,16 +47,14 @@ def read_lists(lists: tuple[np.ndarray, np.ndarray, np.ndarray], q: np.ndarray,
 
     floor: a score that k rows elsewhere reach already.
     """
-    used = np.flatnonzero(q)
-    order, values, place = lists if len(used) == len(q) else (part[used] for part in lists)
-    q, rising = q[used], q[used] < 0
-    d, n = len(used), lists[0].shape[1]
+    order, values, place = lists
+    rising, d, n = q < 0, int(np.count_nonzero(q)), order.shape[1]
     if not d or n <= max(FEW, k):
-        return np.arange(n), _rest(order, values, q, np.arange(n), np.zeros(n), np.zeros(d, np.int64), np.full(d, n)), d * n
+        return np.arange(n), _rest(order, values, q, np.arange(n), np.zeros(n), np.zeros(len(q), np.int64), np.full(len(q), n)), d * n
     worst = np.where(rising, values[:, -1], values[:, 0]) * q  # the last entry of each list
     # of the bounds' single precision
     slack = 1e-4 * np.maximum(np.abs(values[:, 0] * q), np.abs(values[:, -1] * q)).sum()
-    up, down = np.flatnonzero(rising), np.flatnonzero(~rising)
+    up, down = np.flatnonzero(rising), np.flatnonzero(q > 0)
     lines = np.concatenate([up, down])[:, None]
     got = np.zeros(n)
     left = None  # candidates, once no row outside of what was met can be one
@@ -102,10 +100,12 @@ def _opened(values: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _rest(order: np.ndarray, values: np.ndarray, q: np.ndarray, rows: np.ndarray, got: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """got of the rows, completed by reading each list on, from start to end, for the entries of these rows."""
-    wanted = np.zeros(order.shape[1] if len(order) else len(got), bool)
+    wanted = np.zeros(len(got), bool)
     wanted[rows] = True
     total = got.copy()
     for line, x, c, a, b in zip(order, values, q, start, end):
+        if not c:
+            continue
         hits = np.flatnonzero(wanted[line[a:b]]) + a
         total[line[hits]] += x[hits] * c
     return total[rows]
