@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_extract, jaccard_join, line_dedup, mixing, packing, sharding, token_files, topk, toxicity
+from . import ann, html_extract, jaccard_join, line_dedup, mixing, packing, sharding, spelling, token_files, topk, toxicity
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, digest=True)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op8_nearest": op8_nearest,
     "op9_top_products": op9_top_products,
     "op10_token_files": op10_token_files,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 _MIX_SQL = r"""
@@ -129,4 +134,28 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-SQL: dict[str, str] = {"op4_ngram_jaccard": _JACCARD_SQL, "op6_mixing": _MIX_SQL, "op9_top_products": _PRODUCT_SQL}
+# crc32 is linear: that of n zero bytes, xor the share of each byte with as many zero bytes behind it. Letters beyond
+# ASCII are mapped to single bytes, as this levenshtein counts bytes.
+_SPELLING_SQL = r"""
+WITH RECURSIVE bits(b, v, k) AS (SELECT i, i::BIGINT, 0 FROM range(256) t(i) UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+t AS (SELECT b, v FROM bits WHERE k = 8),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+o AS (SELECT doc_id, run, count(*) AS times, coalesce(doc_id::VARCHAR, '') || ':' || run AS msg FROM r WHERE length(run) >= 5 GROUP BY doc_id, run),
+longest AS (SELECT max(strlen(msg)) AS n FROM o),
+share(k, b, v) AS (SELECT 0, b, v FROM t UNION ALL SELECT k + 1, s.b, xor(s.v >> 8, t.v) FROM share s JOIN t ON t.b = s.v & 255 WHERE k < (SELECT n FROM longest)),
+zero(n, v) AS (SELECT 0, 4294967295::BIGINT UNION ALL SELECT n + 1, xor(z.v >> 8, t.v) FROM zero z JOIN t ON t.b = z.v & 255 WHERE n < (SELECT n FROM longest)),
+bytes AS (SELECT msg, hex(encode(msg)) AS h, strlen(msg) AS n, unnest(range(strlen(msg))) AS k FROM (SELECT DISTINCT msg FROM o)),
+sums AS (SELECT msg, n, bit_xor(s.v) AS v FROM bytes JOIN share s ON s.k = n - 1 - bytes.k AND s.b = ('0x' || substr(h, 2 * bytes.k + 1, 2))::INT GROUP BY msg, n),
+crc AS (SELECT msg, xor(xor(z.v, 4294967295), sums.v) AS h FROM sums JOIN zero z USING (n)),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM o JOIN crc USING (msg)),
+v AS (SELECT word, sum(times)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+e AS (SELECT word, n, length(word) AS size, translate(word, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~') AS x FROM v),
+p AS (SELECT a.word, b.word AS near, b.n AS m FROM e a JOIN e b ON b.size BETWEEN a.size - 1 AND a.size + 1 AND a.word <> b.word WHERE levenshtein(a.x, b.x) = 1),
+f AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, near)) AS best, max(m) AS m FROM p GROUP BY word),
+g AS (SELECT v.word, CASE WHEN m >= 2 * n THEN best END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * n THEN m END::BIGINT AS form_n FROM v LEFT JOIN f USING (word)),
+c(word, till) AS (SELECT word, word FROM g UNION ALL SELECT c.word, g.form FROM c JOIN g ON c.till = g.word WHERE g.form IS NOT NULL),
+d AS (SELECT c.word, c.till AS root FROM c JOIN g ON c.till = g.word WHERE g.form IS NULL)
+SELECT g.word, form, root, n, n_near, form_n FROM g JOIN d USING (word)
+"""
+
+SQL: dict[str, str] = {"op4_ngram_jaccard": _JACCARD_SQL, "op6_mixing": _MIX_SQL, "op9_top_products": _PRODUCT_SQL, "op11_spelling_variants": _SPELLING_SQL}
