@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_extract, jaccard_join, line_dedup, mixing, packing, sharding, spelling, token_files, topk, toxicity
+from . import ann, html_extract, jaccard_join, line_dedup, mixing, packing, periodic_runs, sharding, spelling, token_files, topk, toxicity
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(periodic_runs.find_runs(periodic_runs.with_repeats(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op9_top_products": op9_top_products,
     "op10_token_files": op10_token_files,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _MIX_SQL = r"""
