@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_extract, jaccard_join, line_dedup, mixing, packing, periodic_runs, sharding, spelling, token_files, topk, toxicity
+from . import ann, html_extract, jaccard_join, line_dedup, minhash, mixing, packing, periodic_runs, sharding, spelling, token_files, topk, toxicity
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digest(periodic_runs.find_runs(periodic_runs.with_repeats(table(spark, sf_dir, "documents"))))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op9_top_products": op9_top_products,
     "op10_token_files": op10_token_files,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_minhash_dedup": op12_minhash_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -130,6 +135,21 @@ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT n.doc_id, n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) AS component_id FROM n LEFT JOIN r ON n.doc_id = r.a GROUP BY n.doc_id, n_shingles
 """
 
+_MINHASH_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 OR ws IS NULL THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n_shingles FROM s),
+x AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * common >= 85 * (na.n_shingles + nb.n_shingles - common)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT n.doc_id, n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) AS component_id FROM n LEFT JOIN r ON n.doc_id = r.a GROUP BY n.doc_id, n_shingles)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM c
+"""
+
 _PRODUCT_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -163,4 +183,4 @@ d AS (SELECT c.word, c.till AS root FROM c JOIN g ON c.till = g.word WHERE g.for
 SELECT g.word, form, root, n, n_near, form_n FROM g JOIN d USING (word)
 """
 
-SQL: dict[str, str] = {"op4_ngram_jaccard": _JACCARD_SQL, "op6_mixing": _MIX_SQL, "op9_top_products": _PRODUCT_SQL, "op11_spelling_variants": _SPELLING_SQL}
+SQL: dict[str, str] = {"op4_ngram_jaccard": _JACCARD_SQL, "op6_mixing": _MIX_SQL, "op9_top_products": _PRODUCT_SQL, "op11_spelling_variants": _SPELLING_SQL, "op12_minhash_dedup": _MINHASH_SQL}

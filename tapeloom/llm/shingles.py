@@ -33,9 +33,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's 5-word shingles, A-Z lower-cased; a text of fewer words has one,
-    of all of them; a text without words none."""
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles of so many words (5 at most), A-Z lower-cased; a text of
+    fewer words has one, of all of them; a text without words none."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = _LOWER[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
     size = np.array([len(r) + 1 for r in raw], np.int64)
@@ -51,13 +51,13 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     first = np.searchsorted(starts, edge)  # index of each text's first word
     n = len(word)
     five = np.zeros(n, _U)
-    for k in range(WORDS):
+    for k in range(words):
         five[: n - k] += word[k:] * _MIX[k]
     five = mix(five)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        if b - a >= WORDS:
-            out.append(np.unique(five[a : b - WORDS + 1]))
+        if b - a >= words:
+            out.append(np.unique(five[a : b - words + 1]))
         elif b > a:
             few = np.array([b - a], _U)
             for k in range(a, b):
