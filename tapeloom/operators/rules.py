@@ -48,23 +48,28 @@ class RuleBook:
 
 
 def conditions(featured: DataFrame, book: RuleBook) -> DataFrame:
-    """(symbol, t_us, rule, place, clear_us, opens, severity) of every true rule; an unknown condition is not true."""
+    """(symbol, t_us, rule, place, clear_us, opens, severity) of every true rule, with known_us where the features have it;
+    an unknown condition is not true."""
     fired = F.array(*[
         F.when(F.coalesce(F.expr(r.condition), F.lit(False)), F.struct(F.lit(r.name).alias("rule"), F.lit(r.place).alias("place"), F.lit(r.clear_after_s * SECOND).alias("clear_us"), F.lit(r.opens).alias("opens"), F.lit(r.severity).alias("severity")))
         for r in book.rules
     ])
-    return featured.select("symbol", F.col("bar_us").alias("t_us"), F.explode(F.array_compact(fired)).alias("r")).select("symbol", "t_us", "r.*")
+    known = [c for c in ("known_us",) if c in featured.columns]
+    return featured.select("symbol", F.col("bar_us").alias("t_us"), *known, F.explode(F.array_compact(fired)).alias("r")).select("symbol", "t_us", *known, "r.*")
 
 
 def alerts(true_rows: DataFrame, horizon_us: int, tick_us: int = SECOND) -> DataFrame:
     """Episodes: true steps no more than clear_after apart are one alert. cleared_us is null while it may go on.
-    detected_us: the end of the step that fired, before which nobody could know of it."""
+    detected_us: known_us of the step that fired, when the batch that closed it was in; where true_rows have none, the
+    step's end."""
+    if "known_us" not in true_rows.columns:
+        true_rows = true_rows.withColumn("known_us", F.col("t_us") + tick_us)
     by = Window.partitionBy("symbol", "rule").orderBy("t_us")
     gap = F.col("t_us") - F.lag("t_us").over(by) > F.col("clear_us")
     rows = true_rows.withColumn("episode", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(by))
-    e = rows.groupBy("symbol", "rule", "place", "clear_us", "opens", "severity", "episode").agg(F.min("t_us").alias("fired_us"), F.max("t_us").alias("last_us"))
+    e = rows.groupBy("symbol", "rule", "place", "clear_us", "opens", "severity", "episode").agg(F.min("t_us").alias("fired_us"), F.max("t_us").alias("last_us"), F.min_by("known_us", "t_us").alias("detected_us"))
     end = F.col("last_us") + F.col("clear_us")
-    e = e.withColumn("cleared_us", F.when(end <= horizon_us, end)).withColumn("active_until", F.least(end - tick_us, F.lit(horizon_us))).withColumn("detected_us", F.col("fired_us") + tick_us)
+    e = e.withColumn("cleared_us", F.when(end <= horizon_us, end)).withColumn("active_until", F.least(end - tick_us, F.lit(horizon_us)))
     # one row an alert: the numbering is over alerts, not steps
     return e.withColumn("alert_no", F.row_number().over(Window.orderBy("fired_us", "symbol", "place"))).drop("episode", "clear_us", "last_us")
 
@@ -76,7 +81,7 @@ def incidents(found: DataFrame, book: RuleBook, horizon_us: int) -> DataFrame:
     before = F.max("active_until").over(by.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce(F.col("fired_us") > before + quiet, F.lit(True))
     rows = found.where("opens").withColumn("n", F.sum(new.cast("int")).over(by))
-    inc = rows.groupBy("symbol", "n").agg(F.min("fired_us").alias("opened_us"), F.max("active_until").alias("last_active_us"), F.min("detected_us").alias("detected_us"), F.count(F.lit(1)).alias("opening_alerts"))
+    inc = rows.groupBy("symbol", "n").agg(F.min("fired_us").alias("opened_us"), F.max("active_until").alias("last_active_us"), F.min_by("detected_us", F.struct("fired_us", "place")).alias("detected_us"), F.count(F.lit(1)).alias("opening_alerts"))
     end = F.col("last_active_us") + quiet
     inc = inc.withColumn("resolved_us", F.when(end <= horizon_us, end)).withColumn("status", F.when(end <= horizon_us, "resolved").otherwise("open"))
     return inc.withColumn("incident_no", F.row_number().over(Window.orderBy("opened_us", "symbol"))).drop("n")

@@ -13,8 +13,15 @@ SCHEMAS = {
     "bronze/trade_events": ("run_id string, batch_id int, symbol string, agg_trade_id long, price decimal(18,8), quantity decimal(18,8), first_trade_id long, last_trade_id long, is_buyer_maker boolean, event_us long, arrival_us long, ingested_at timestamp", ["run_id"]),
     "silver/bars": ("run_id string, lateness_s double, step_s int, symbol string, bar_us long, open decimal(18,8), high decimal(18,8), low decimal(18,8), close decimal(18,8), volume decimal(24,8), quote_volume decimal(28,8), sell_volume decimal(24,8), trade_count long, emitted_us long", ["run_id", "lateness_s", "step_s"]),
     "silver/late_trades": ("run_id string, lateness_s double, symbol string, agg_trade_id long, event_us long, arrival_us long, watermark_us long", ["run_id", "lateness_s"]),
-    "ops/alerts": ("run_id string, alert_no long, symbol string, rule string, severity string, fired_us long, cleared_us long, incident_no long", ["run_id"]),
-    "ops/incidents": ("run_id string, incident_no long, symbol string, opened_us long, last_active_us long, resolved_us long, rules array<string>, observed string, agent_status string", ["run_id"]),
+    "reference/klines": ("symbol string, day date, bar_us long, open decimal(18,8), high decimal(18,8), low decimal(18,8), close decimal(18,8), volume decimal(24,8), quote_volume decimal(28,8), trade_count long, taker_buy_volume decimal(24,8)", ["symbol", "day"]),
+    "live/bars": ("run_id string, lateness_s double, flush_id long, step_s int, symbol string, bar_us long, open decimal(18,8), high decimal(18,8), low decimal(18,8), close decimal(18,8), volume decimal(24,8), quote_volume decimal(28,8), sell_volume decimal(24,8), trade_count long, active_bars long, vwap decimal(18,8)", ["run_id", "lateness_s", "flush_id"]),
+    "live/late_trades": ("run_id string, lateness_s double, flush_id long, symbol string, agg_trade_id long, quantity decimal(18,8), event_us long, arrival_us long, watermark_us long", ["run_id", "lateness_s", "flush_id"]),
+    "live/alerts": ("run_id string, flush_id long, symbol string, rule string, severity string, place int, opens boolean, fired_us long, detected_us long, cleared_us long, incident_us long", ["run_id", "flush_id"]),
+    "live/incidents": ("run_id string, flush_id long, symbol string, opened_us long, last_active_us long, detected_us long, opening_alerts long, resolved_us long, status string", ["run_id", "flush_id"]),
+    "ops/alerts": ("run_id string, alert_no long, symbol string, rule string, severity string, place int, opens boolean, fired_us long, detected_us long, cleared_us long, active_until long, incident_no long, features string", ["run_id"]),
+    "ops/incidents": ("run_id string, incident_no long, symbol string, status string, opened_us long, last_active_us long, detected_us long, resolved_us long, rules array<string>, alert_count long, opening_alerts long, observed string, agent_status string", ["run_id"]),
+    "ops/incident_events": ("run_id string, incident_no long, at_us long, event string, alert_no long, detected_us long, rule string", ["run_id"]),
+    "ops/rule_runs": ("run_id string, lateness_s double, started_at timestamp, finished_at timestamp, mode string, steps_evaluated long, alerts long, incidents long, rules_text string", ["run_id"]),
     "ops/daily_runs": ("trade_date date, run_id string, status string, finished_at timestamp, detail string", []),
     "ops/llm_calls": ("called_at timestamp, trade_date date, model string, status string, error string", []),
     "gold/daily_briefings": ("trade_date date, run_id string, status string, summary string, evidence string, created_at timestamp", []),
@@ -40,9 +47,24 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[table][0])
         return self.spark.read.schema(SCHEMAS[table][0]).parquet(self.path(table))
 
+    def columns(self, table: str) -> list[str]:
+        return [c.split()[0] for c in SCHEMAS[table][0].split(", ")]
+
+    def stream(self, table: str, **parts) -> DataFrame:
+        """One partition of a table (its first partition columns) as a stream of its files, in the order in which they are
+        written, without those columns. The folder may still be empty."""
+        path = "/".join([self.path(table), *(f"{k}={v}" for k, v in parts.items())])
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+        columns = [c for c in SCHEMAS[table][0].split(", ") if c.split()[0] not in parts]
+        schema = ", ".join(sorted(columns, key=lambda c: c.split()[0] in SCHEMAS[table][1]))  # as files have them: partition columns last
+        return self.spark.readStream.schema(schema).parquet(path)
+
     def _shaped(self, table: str, rows: DataFrame) -> DataFrame:
-        """By name; missing columns are null."""
+        """By name; missing columns are null, undeclared ones are refused."""
         empty = self.spark.createDataFrame([], SCHEMAS[table][0])
+        if unknown := set(rows.columns) - set(empty.columns):
+            raise ValueError(f"{table} declares no {', '.join(sorted(unknown))}")
         return empty.unionByName(rows, allowMissingColumns=True).select(*[F.col(f.name).cast(f.dataType) for f in empty.schema])
 
     def append(self, table: str, rows: DataFrame) -> None:
