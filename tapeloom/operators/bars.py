@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import floor_to, ratio
+from ..sources.stage import staged
+
+
+#: Batches whose running maximum is taken in one task.
+BATCH_BLOCK = 65_536
 
 
 def watermarks(batches: DataFrame, lateness_s: float) -> DataFrame:
-    """(batch_id, clock, wm, pwm): the watermark after each batch and the one before it. One row a batch."""
-    order = Window.orderBy("batch_id")
+    """(batch_id, clock, min_event, wm, pwm): the watermark after each batch and the one before it. One row a batch; running
+    maxima are taken by blocks of batches, and the blocks before are added, one row a block."""
     per = batches.groupBy("batch_id").agg(F.max("event_us").alias("max_event"), F.max("clock_us").alias("clock"), F.min("event_us").alias("min_event"))
-    wm = per.withColumn("wm", F.max("max_event").over(order) - F.lit(int(lateness_s * 1_000_000)))
-    return wm.withColumn("pwm", F.lag("wm").over(order))
+    per = per.withColumn("_block", F.floor(F.col("batch_id") / BATCH_BLOCK))
+    own = Window.partitionBy("_block").orderBy("batch_id")
+    tops = per.groupBy("_block").agg(F.max("max_event").alias("_top"))
+    before = tops.select("_block", F.max("_top").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    late = F.lit(int(lateness_s * 1_000_000))
+    seen = lambda last: F.greatest(F.max("max_event").over(own.rowsBetween(Window.unboundedPreceding, last)), F.col("_before")) - late
+    return per.join(before, "_block").select("batch_id", "max_event", "clock", "min_event", seen(0).alias("wm"), seen(-1).alias("pwm"))
 
 
 def split_late(batches: DataFrame, marks: DataFrame, step: int) -> DataFrame:
@@ -37,7 +47,7 @@ def trade_bars(trades: DataFrame, step: int) -> DataFrame:
     return trades.withColumn("bar_us", floor_to(F.col("event_us"), step)).groupBy("symbol", "bar_us").agg(*_ohlcv())
 
 
-def _emitted(bars: DataFrame, marks: DataFrame, step: int) -> DataFrame:
+def emitted(bars: DataFrame, marks: DataFrame, step: int) -> DataFrame:
     """bars with emitted_us: the clock of the first batch whose watermark reached the bar's end, else of the last
     batch. Each batch lists the bar ends that it passes, so this is an equi join."""
     last = marks.agg(F.max_by("clock", "batch_id").alias("last_clock"))
@@ -51,7 +61,7 @@ def _emitted(bars: DataFrame, marks: DataFrame, step: int) -> DataFrame:
 def base_bars(batches: DataFrame, lateness_s: float, step: int) -> DataFrame:
     marks = watermarks(batches, lateness_s)
     accepted = split_late(batches, marks, step).where("not late")
-    return _emitted(accepted.groupBy("symbol", "bar_us").agg(*_ohlcv()), marks, step)
+    return emitted(accepted.groupBy("symbol", "bar_us").agg(*_ohlcv()), marks, step)
 
 
 def rolled_up(base: DataFrame, batches: DataFrame, lateness_s: float, step: int) -> DataFrame:
@@ -65,7 +75,7 @@ def rolled_up(base: DataFrame, batches: DataFrame, lateness_s: float, step: int)
         F.sum("trade_count").alias("trade_count"), F.count(F.lit(1)).alias("active_bars"),
     )
     up = up.withColumnRenamed("up_us", "bar_us").withColumn("vwap", ratio(F.col("quote_volume"), F.col("volume")).cast("decimal(18,8)"))
-    return _emitted(up.crossJoin(F.broadcast(first)).where("bar_us >= first_bar").drop("first_bar"), marks, step)
+    return emitted(up.crossJoin(F.broadcast(first)).where("bar_us >= first_bar").drop("first_bar"), marks, step)
 
 
 def late_trades(batches: DataFrame, lateness_s: float, step: int) -> DataFrame:
@@ -79,15 +89,17 @@ def build_stats(batches: DataFrame, lateness_s: float, step: int) -> DataFrame:
     return counts.withColumn("dropped_pct", 100 * ratio(F.col("dropped"), F.col("accepted") + F.col("dropped")))
 
 
-def compared(truth: DataFrame, bars: DataFrame) -> DataFrame:
-    """Accuracy of bars against the truth: counts of bars off by price, volume or at all, and the largest errors."""
-    b = bars.select("symbol", "bar_us", *[F.col(c).alias(f"b_{c}") for c in ("open", "high", "low", "close", "volume", "sell_volume")])
-    j = truth.join(b, ["symbol", "bar_us"], "left")
+def compared(truth: DataFrame, bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Accuracy of bars against the truth, for each value of keys: counts of bars off by price, volume or at all, and the
+    largest errors."""
+    keys = keys or []
+    b = bars.select(*keys, "symbol", "bar_us", *[F.col(c).alias(f"b_{c}") for c in ("open", "high", "low", "close", "volume", "sell_volume")])
+    j = truth.join(b, [*keys, "symbol", "bar_us"], "left")
     price_off = F.greatest(*[F.abs(ratio(F.col(f"b_{c}"), F.col(c)) - 1) for c in ("open", "high", "low", "close")])
     volume_off = F.abs(ratio(F.col("b_volume"), F.col("volume")) - 1)
     share = F.abs(ratio(F.col("b_sell_volume"), F.col("b_volume")) - ratio(F.col("sell_volume"), F.col("volume")))
     wrong = (price_off > 0) | (volume_off > 0)
-    return j.agg(
+    return j.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("bars"), F.count_if(F.col("b_volume").isNull()).alias("missing_bars"), F.count_if(wrong).alias("wrong_bars"), F.count_if(volume_off > 0.01).alias("volume_off_1pct"),
         F.max(price_off * 10_000).alias("max_price_bps"), F.max(volume_off * 100).alias("max_volume_pct"), F.max(share * 100).alias("max_share_pp"),
     )
@@ -100,11 +112,45 @@ def bar_delay(bars: DataFrame, step: int) -> DataFrame:
 
 
 def lateness_sweep(batches: DataFrame, settings: list[float], base_step: int, up_step: int) -> DataFrame:
-    """One row for each lateness setting: drops, accuracy of the larger bars, delay of the base bars."""
-    truth = trade_bars(batches, up_step)
-    out = None
-    for lateness in settings:
-        base = base_bars(batches, lateness, base_step)
-        row = build_stats(batches, lateness, base_step).crossJoin(compared(truth, rolled_up(base, batches, lateness, up_step))).crossJoin(bar_delay(base, base_step)).withColumn("lateness_s", F.lit(float(lateness)))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """One row for each lateness setting: drops, accuracy of the larger bars, delay of the base bars.
+
+    The tape is read once. A trade accepted under one lateness is accepted under any longer one, so it has a level: the
+    first setting that accepts it. Trades are summed up by bar and level; a setting's bars are those of its level and
+    the levels before, merged, and everything after works on bars with a column for the setting.
+    """
+    settings = sorted(float(x) for x in settings)
+    marks = watermarks(batches, 0.0)
+    bar = floor_to(F.col("event_us"), base_step)
+    need = F.col("pwm") - bar - base_step  # a lateness beyond this accepts the trade
+    level = F.lit(len(settings))
+    for k in reversed(range(len(settings))):
+        level = F.when(F.col("pwm").isNull() | (need < int(settings[k] * 1_000_000)), k).otherwise(level)
+    parts = batches.join(marks.select("batch_id", "pwm"), "batch_id").withColumn("bar_us", bar).withColumn("level", level)
+    parts = staged(parts.groupBy("symbol", "bar_us", "level").agg(F.min("agg_trade_id").alias("first_id"), F.max("agg_trade_id").alias("last_id"), *_ohlcv()), "sweep-parts")
+    kept = ("open", "high", "low", "close", "volume", "quote_volume", "sell_volume", "trade_count")
+
+    def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+        sums = [F.sum(c).cast(rows.schema[c].dataType).alias(c) for c in kept[4:]]
+        return rows.groupBy(*keys).agg(F.min_by("open", "first_id").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last_id").alias("close"), *sums)
+
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("lateness_s")) for k, x in enumerate(settings)])).alias("s")
+    spread = parts.select("*", each).where("level <= s.k").select("s.lateness_s", *parts.columns)
+    base = merged(spread, ["lateness_s", "symbol", "bar_us"])
+
+    # emission: the batches of each setting
+    per = marks.select("*", each).select("s.lateness_s", "batch_id", "clock", "min_event", *[(F.col(c) - (F.col("s.lateness_s") * 1_000_000).cast("long")).alias(c) for c in ("wm", "pwm")])
+    from_us = F.coalesce(floor_to(F.col("pwm"), base_step) + base_step, floor_to(F.col("min_event"), base_step))
+    to_us = floor_to(F.col("wm"), base_step)
+    ends = per.where(to_us >= from_us).select("lateness_s", F.explode(F.sequence(from_us - base_step, to_us - base_step, F.lit(base_step))).alias("bar_us"), "clock")
+    facts = F.broadcast(marks.agg(F.max_by("clock", "batch_id").alias("last_clock"), floor_to(F.min_by("min_event", "batch_id"), up_step).alias("first_bar")))  # one row
+    closed = base.join(ends, ["lateness_s", "bar_us"], "left").crossJoin(facts)
+    delay = (F.coalesce("clock", "last_clock") - F.col("bar_us") - base_step) / F.lit(1e6)
+    delays = closed.groupBy("lateness_s").agg(F.percentile(delay, F.lit(0.5)).alias("p50_s"), F.percentile(delay, F.lit(0.95)).alias("p95_s"))
+
+    up = merged(base.withColumns({"first_id": F.col("bar_us"), "last_id": F.col("bar_us"), "bar_us": floor_to(F.col("bar_us"), up_step)}), ["lateness_s", "symbol", "bar_us"])
+    up = up.crossJoin(facts).where("bar_us >= first_bar").drop("first_bar", "last_clock")
+    truth = merged(parts.withColumn("bar_us", floor_to(F.col("bar_us"), up_step)), ["symbol", "bar_us"]).select("*", each).select("s.lateness_s", "symbol", "bar_us", *kept)
+    errors = compared(truth, up, ["lateness_s"])
+    counts = parts.select("trade_count", "level", each).groupBy("s.lateness_s").agg(F.sum(F.when(F.col("level") <= F.col("s.k"), F.col("trade_count")).otherwise(0)).alias("accepted"), F.sum("trade_count").alias("all"))
+    counts = counts.select("lateness_s", "accepted", (F.col("all") - F.col("accepted")).alias("dropped"), (100 * ratio(F.col("all") - F.col("accepted"), F.col("all"))).alias("dropped_pct"))
+    return counts.join(errors, "lateness_s").join(delays, "lateness_s")

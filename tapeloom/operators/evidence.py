@@ -1,4 +1,4 @@
-"""Evidence for incidents, as a fixed set of joins. Incident windows are a small table; Spark picks the join by its size."""
+"""Evidence for incidents, as a fixed set of joins. Windows meet rows by buckets of time, so no join is a nested loop."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import DAY, MINUTE, SECOND, floor_to, ratio, rounded
+from .intervals import overlapping, within
 
 
 def windows(inc: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def windows(inc: DataFrame) -> DataFrame:
 
 def _inside(win: DataFrame, rows: DataFrame, time: str) -> DataFrame:
     """Rows of the window's own symbol, both ends included."""
-    return win.join(rows, (F.col("w_symbol") == F.col("symbol")) & F.col(time).between(F.col("w_start"), F.col("w_end")))
+    return within(win.withColumn("symbol", F.col("w_symbol")), rows, "w_start", "w_end", time, ["symbol"])
 
 
 def flow(win: DataFrame, bars: DataFrame) -> DataFrame:
@@ -34,15 +35,16 @@ def price_after(win: DataFrame, minutes: DataFrame, after=(30, 60)) -> DataFrame
 
 def other_symbols(win: DataFrame, bars: DataFrame) -> DataFrame:
     """Return of every other symbol over the window."""
-    j = win.join(bars, (F.col("w_symbol") != F.col("symbol")) & F.col("bar_us").between(F.col("w_start"), F.col("w_end")))
+    j = within(win, bars, "w_start", "w_end", "bar_us", []).where("w_symbol <> symbol")
     return j.groupBy("incident_no", F.col("symbol").alias("other_symbol")).agg((ratio(F.max_by("close", "bar_us"), F.min_by("open", "bar_us")) - 1).alias("other_return"))
 
 
 def overlaps(win: DataFrame, tolerance_s: int = 300) -> DataFrame:
     """Incidents of other symbols whose windows overlap within the tolerance."""
-    b = win.select(F.col("incident_no").alias("o_no"), F.col("w_symbol").alias("o_symbol"), F.col("w_start").alias("o_start"), F.col("w_end").alias("o_end"))
     t = tolerance_s * SECOND
-    j = win.join(b, (F.col("w_symbol") != F.col("o_symbol")) & (F.col("o_start") <= F.col("w_end") + t) & (F.col("o_end") >= F.col("w_start") - t))
+    left = win.select("incident_no", "w_symbol", (F.col("w_start") - t).alias("l_start"), (F.col("w_end") + t).alias("l_end"))
+    right = win.select(F.col("incident_no").alias("o_no"), F.col("w_symbol").alias("o_symbol"), F.col("w_start").alias("r_start"), F.col("w_end").alias("r_end"))
+    j = overlapping(left, right).where("w_symbol <> o_symbol")
     return j.groupBy("incident_no").agg(F.array_sort(F.collect_list("o_no")).alias("overlapping"))
 
 

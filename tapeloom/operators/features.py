@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import DAY, HOUR, ratio, ratio_or_infinite
+from ..functions.columns import DAY, HOUR, SECOND, ratio, ratio_or_infinite
 
 
 def hour_of(us):
@@ -45,25 +45,63 @@ def reconciled(bars: DataFrame, official: DataFrame) -> DataFrame:
     return j.agg(F.count(F.lit(1)).alias("bars"), F.count_if(prices).alias("prices_equal"), F.count_if(volume).alias("volume_equal"), F.count_if(buys).alias("buy_volume_equal"), F.count_if(prices & volume & buys).alias("all_equal"))
 
 
-def dense_grid(bars: DataFrame, step: int, to_us: int | None = None) -> DataFrame:
+#: Steps of a block of time: a symbol's series is worked on block by block, with the rows before a block that it needs.
+BLOCK = 14_400
+
+
+def _block(time: Column, span: int) -> Column:
+    return F.floor(time / F.lit(span))
+
+
+def carried(rows: DataFrame, time: str, value: str, span: int, keys: tuple[str, ...] = (), back: bool = False) -> DataFrame:
+    """rows with nulls of value filled by the last value before (back: the first one after) of the same keys.
+
+    Blocks of `span` are filled on their own; what goes over from block to block is one row a block, so no task holds a
+    whole series.
+    """
+    rows = rows.withColumn("_block", _block(F.col(time), span))
+    pick, ends = (F.first, F.min_by) if back else (F.last, F.max_by)
+    own = Window.partitionBy(*keys, "_block").orderBy(time)
+    own = own.rowsBetween(0, Window.unboundedFollowing) if back else own.rowsBetween(Window.unboundedPreceding, 0)
+    edge = rows.groupBy(*keys, "_block").agg(ends(value, F.when(F.col(value).isNotNull(), F.col(time))).alias("_edge"))
+    over = Window.partitionBy(*keys).orderBy("_block")  # one row a block
+    over = over.rowsBetween(1, Window.unboundedFollowing) if back else over.rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.select(*keys, "_block", pick("_edge", ignorenulls=True).over(over).alias("_over"))
+    filled = rows.withColumn(value, pick(value, ignorenulls=True).over(own)).join(edge, [*keys, "_block"])
+    return filled.withColumn(value, F.coalesce(value, "_over")).drop("_block", "_over")
+
+
+def with_halo(rows: DataFrame, time: str, step: int, halo: int, block: int = BLOCK) -> DataFrame:
+    """Dense rows by block, each block with the `halo` steps before it: column _block, and _own where a row is the block's
+    own. Frames of up to halo rows back are whole for a block's own rows."""
+    span = block * step
+    at = _block(F.col(time), span)
+    late = F.pmod(F.col(time), F.lit(span)) >= (block - halo) * step
+    blocks = F.when(late, F.array(at, at + 1)).otherwise(F.array(at))
+    return rows.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == at)
+
+
+def dense_grid(bars: DataFrame, step: int, to_us: int | None = None, block: int = BLOCK) -> DataFrame:
     """Each symbol's bars at every step from its first bar to the horizon of all (or to_us): close carried forward,
-    volumes 0 where nothing traded."""
-    span = bars.groupBy("symbol").agg(F.min("bar_us").alias("first"))
-    end = F.lit(to_us) if to_us is not None else F.col("horizon")
-    last = bars.agg(F.max("bar_us").alias("horizon"))
-    grid = span.crossJoin(F.broadcast(last)).select("symbol", F.explode(F.sequence("first", end, F.lit(step))).alias("bar_us"))
-    joined = grid.join(bars.select("symbol", "bar_us", F.col("close").alias("c"), F.col("volume").alias("v"), F.col("sell_volume").alias("s")), ["symbol", "bar_us"], "left")
-    order = Window.partitionBy("symbol").orderBy("bar_us")
+    volumes 0 where nothing traded. Blocks are laid out first, then their steps."""
+    span = block * step
+    last = F.lit(to_us) if to_us is not None else F.col("horizon")
+    spans = bars.groupBy("symbol").agg(F.min("bar_us").alias("first"))
+    if to_us is None:
+        spans = spans.crossJoin(F.broadcast(bars.agg(F.max("bar_us").alias("horizon"))))  # one row
+    blocks = spans.select("symbol", "first", last.alias("last"), F.explode(F.sequence(_block(F.col("first"), span), _block(last, span))).alias("_block"))
+    start = F.col("_block") * span
+    grid = blocks.select("symbol", F.explode(F.sequence(F.greatest("first", start), F.least("last", start + span - step), F.lit(step))).alias("bar_us"))
+    joined = grid.join(bars.select("symbol", "bar_us", F.col("close").cast("double").alias("close"), F.col("volume").alias("v"), F.col("sell_volume").alias("s")), ["symbol", "bar_us"], "left")
     zero = F.lit(0).cast("decimal(24,8)")
-    return joined.select("symbol", "bar_us", F.last("c", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("close"), F.coalesce("v", zero).alias("volume"), F.coalesce("s", zero).alias("sell_volume"))
+    return carried(joined, "bar_us", "close", span, ("symbol",)).select("symbol", "bar_us", "close", F.coalesce("v", zero).alias("volume"), F.coalesce("s", zero).alias("sell_volume"))
 
 
-def known_at(grid: DataFrame, bars: DataFrame) -> DataFrame:
+def known_at(grid: DataFrame, bars: DataFrame, step: int, block: int = BLOCK) -> DataFrame:
     """grid with known_us: when the step was known, which for steps without a bar is when the next bar was."""
-    first = bars.groupBy("bar_us").agg(F.min("emitted_us").alias("emitted"))
+    first = bars.groupBy("bar_us").agg(F.min("emitted_us").alias("known_us"))
     times = grid.select("bar_us").distinct().join(first, "bar_us", "left")
-    forward = Window.orderBy("bar_us").rowsBetween(0, Window.unboundedFollowing)  # one row a step, not a trade
-    return grid.join(times.select("bar_us", F.first("emitted", ignorenulls=True).over(forward).alias("known_us")), "bar_us")
+    return grid.join(carried(times, "bar_us", "known_us", block * step, back=True), "bar_us")
 
 
 def _full(name: str, rows: int, order) -> Column:
@@ -72,16 +110,16 @@ def _full(name: str, rows: int, order) -> Column:
     return F.when(F.count(name).over(frame) >= rows, F.sum(name).over(frame)).cast("double")
 
 
-def features(grid: DataFrame, profile: DataFrame) -> DataFrame:
+def features(grid: DataFrame, profile: DataFrame, step: int = SECOND, block: int = BLOCK) -> DataFrame:
     """ret_60, vol_60, vol_120, sell_share_120 and their measures against the hour's profile.
 
     A profile with days goes by day and hour, one without by hour. A missing hour gives null. A profile of zero gives infinity, so that a rule on it fires. The windows are
-    bounded row frames of a symbol; the profile is a small table that Spark may broadcast by its size.
+    bounded row frames of a symbol's block of time; the profile is a small table that Spark may broadcast by its size.
     """
-    order = Window.partitionBy("symbol").orderBy("bar_us")
-    f = grid.withColumn("ret_60", ratio(F.col("close"), F.lag("close", 60).over(order)) - 1)
+    order = Window.partitionBy("symbol", "_block").orderBy("bar_us")
+    f = with_halo(grid, "bar_us", step, 120, block).withColumn("ret_60", ratio(F.col("close"), F.lag("close", 60).over(order)) - 1)
     f = f.withColumn("vol_60", _full("volume", 60, order)).withColumn("vol_120", _full("volume", 120, order)).withColumn("sell_120", _full("sell_volume", 120, order))
-    f = f.withColumn("sell_share_120", ratio(F.col("sell_120"), F.col("vol_120"))).withColumn("hour", hour_of(F.col("bar_us")))
+    f = f.withColumn("sell_share_120", ratio(F.col("sell_120"), F.col("vol_120"))).where("_own").drop("_block", "_own").withColumn("hour", hour_of(F.col("bar_us")))
     keys = ["symbol", "hour"]
     if "day" in profile.columns:
         f, keys = f.withColumn("day", F.floor(F.col("bar_us") / DAY)), ["symbol", "hour", "day"]
@@ -90,24 +128,26 @@ def features(grid: DataFrame, profile: DataFrame) -> DataFrame:
     return f.withColumn("vol_120_ref_ratio", ratio_or_infinite(F.col("vol_120"), 2 * F.col("volume_median")))
 
 
-def rolling_features(featured: DataFrame, window: int = 1800, warmup: int = 600) -> DataFrame:
+def rolling_features(featured: DataFrame, window: int = 1800, warmup: int = 600, step: int = SECOND, block: int = BLOCK) -> DataFrame:
     """featured with ret_60_z, vol_60_ratio and vol_120_ratio against the window that ended 60 (120) rows ago.
 
-    Rolling medians over long frames are quadratic as SQL frames, so each symbol's series goes to pandas,
-    whose rolling median is incremental. A group is one symbol's range of time.
+    Rolling medians over long frames are quadratic as SQL frames, so they go to pandas, whose rolling median is
+    incremental: a block of a symbol's time with the window + 120 rows before it, which is all that its rows look back on.
     """
+    halo = window + 120
+    if block < halo:
+        raise ValueError("a block is at least as long as what its rows look back on")
 
     def roll(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_us")
         base = lambda s, gap, how: getattr(s.rolling(window, min_periods=warmup), how)().shift(gap)
         z = base(pdf["ret_60"], 60, "std")
         m60, m120 = base(pdf["vol_60"], 60, "median"), base(pdf["vol_120"], 120, "median")
-        out = pdf[["symbol", "bar_us"]].copy()
+        own, out = pdf["_own"].to_numpy(), pdf[["symbol", "bar_us"]].copy()
         for name, value in (("ret_60_z", pdf["ret_60"] / z.where(z != 0)), ("vol_60_ratio", pdf["vol_60"] / m60.where(m60 != 0)), ("vol_120_ratio", pdf["vol_120"] / m120.where(m120 != 0))):
             out[name] = value.astype(object).where(value.notna(), None)
-        return out
+        return out[own]
 
-    kept = featured.select("symbol", "bar_us", "ret_60", "vol_60", "vol_120")
-    rolled = kept.groupBy("symbol").applyInPandas(roll, "symbol string, bar_us long, ret_60_z double, vol_60_ratio double, vol_120_ratio double")
+    kept = with_halo(featured.select("symbol", "bar_us", "ret_60", "vol_60", "vol_120"), "bar_us", step, halo, block)
+    rolled = kept.groupBy("symbol", "_block").applyInPandas(roll, "symbol string, bar_us long, ret_60_z double, vol_60_ratio double, vol_120_ratio double")
     return featured.join(rolled, ["symbol", "bar_us"])
-

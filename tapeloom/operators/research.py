@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,17 +76,68 @@ def split_day(runs: DataFrame) -> DataFrame:
     return days.select(F.col("days")[F.floor(F.size("days") * 2 / 3).cast("int")].alias("split_day"))
 
 
-def bootstrap_ci(rows: DataFrame, keys: list[str], value: str, draws: int = DRAWS, seed: int = 7) -> DataFrame:
-    """(keys, ci_lo, ci_hi): percentile interval of the mean for each group; null under five values. A group is the
-    events of one rule, split and horizon."""
-
-    def ci(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].dropna().to_numpy()
-        lo = hi = None
-        if len(x) >= 5:
-            rng = np.random.default_rng(seed)
-            lo, hi = np.percentile([rng.choice(np.sort(x), len(x)).mean() for _ in range(draws)], [2.5, 97.5])
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "ci_lo": [lo], "ci_hi": [hi]})
+def bootstrap_ci(rows: DataFrame, keys: list[str], value: str, draws: int = DRAWS, seed: int = 7, row_id: str | None = None) -> DataFrame:
+    """(keys, ci_lo, ci_hi): percentile interval of the mean for each group; null under five values.
 
+    A draw weighs each row by a Poisson number of mean one, which tends to the counts of a resample, and weighted sums
+    merge: tasks send a sum a group and draw, never a group's rows. A row's weights hang on row_id and the
+    seed alone, so that reruns agree; without row_id they hang on the rows' places.
+    """
     kinds = dict(rows.dtypes)
-    return rows.select(*keys, value).groupBy(*keys).applyInPandas(ci, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ci_lo double, ci_hi double")
+    sized = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"), (F.xxhash64(F.lit(seed), row_id) if row_id else F.xxhash64(F.lit(seed), F.monotonically_increasing_id())).alias("_id"))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for group, part in pdf.groupby(keys, dropna=False, sort=False):
+                n, w, wx = len(part), np.zeros(draws), np.zeros(draws)
+                for x, i in zip(part["_x"].to_numpy(), part["_id"].to_numpy()):
+                    weight = np.random.Generator(np.random.Philox(key=int(i) & (2**64 - 1))).poisson(1.0, draws)
+                    w += weight
+                    wx += weight * x
+                group = group if isinstance(group, tuple) else (group,)
+                yield pd.DataFrame({**{k: pd.Series([g] * draws, dtype=pdf[k].dtype) for k, g in zip(keys, group)}, "_draw": np.arange(draws), "_n": n, "_w": w, "_wx": wx})
+
+    sums = sized.mapInPandas(weigh, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", _draw long, _n long, _w double, _wx double")
+    means = sums.groupBy(*keys, "_draw").agg(F.sum("_n").alias("_n"), F.try_divide(F.sum("_wx"), F.sum("_w")).alias("_mean"))
+    ends = means.groupBy(*keys).agg(F.max("_n").alias("_n"), F.percentile("_mean", F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"))
+    enough = lambda k: F.when(F.col("_n") >= 5, F.col("_ci")[k])
+    found = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], enough(0).alias("ci_lo"), enough(1).alias("ci_hi"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return rows.select(*keys).distinct().join(found, on, "left").select(*keys, "ci_lo", "ci_hi")
+
+
+def control_means(events: DataFrame, controls: DataFrame, minutes: DataFrame, keys: list[str], horizons=HORIZONS) -> DataFrame:
+    """(keys, horizon, controls, control): how large moves are after the control minutes of the events of each group. events:
+    (event_id, keys); controls: (event_id, symbol, entry_us)."""
+    moves = forward_returns(controls.join(events.select("event_id", *keys), "event_id"), minutes, horizons)
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.abs(F.col(f"ret_{h}m")).alias("x")) for h in horizons]))
+    return moves.select(*keys, each.alias("r")).groupBy(*keys, "r.horizon").agg(F.count("r.x").alias("controls"), F.avg("r.x").alias("control"))
+
+
+def of_official_runs(rows: DataFrame, official: DataFrame) -> DataFrame:
+    """Rows of the runs that count, with their trade_date. official: (trade_date, run_id), one run a day."""
+    return rows.join(official.select("run_id", "trade_date"), "run_id")
+
+
+def study_table(returns: DataFrame, controls: DataFrame, minutes: DataFrame, draws: int = DRAWS) -> DataFrame:
+    """The whole study as one table (section, signal, split, horizon, n, value, control, ci_lo, ci_hi, hit_rate): sizes of moves
+    after each rule beside those after its controls; returns in the flow's and in the shock's direction.
+
+    returns: (event_id, rule, dataset, sell_share_120, ret_60, ret_{h}m).
+    """
+    sizes = study(returns, ["rule", "dataset"]).join(control_means(returns, controls, minutes, ["rule", "dataset"]), ["rule", "dataset", "horizon"], "left")
+    parts = [("size", F.lit(True), None), ("direction", F.col("rule") == "one_sided_flow", F.when(F.col("sell_share_120") < 0.5, 1).otherwise(-1)), ("shock", F.col("rule") == "price_shock", F.signum("ret_60"))]
+    out = None
+    for section, which, sign in parts:
+        rows = returns.where(which)
+        each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), (F.abs(F.col(f"ret_{h}m")) if sign is None else sign * F.col(f"ret_{h}m")).alias("x")) for h in HORIZONS]))
+        flat = rows.select("rule", "dataset", "event_id", each.alias("r")).select("rule", "dataset", "r.horizon", "r.x", F.concat_ws(":", F.lit(section), "event_id", "r.horizon").alias("id"))
+        ci = bootstrap_ci(flat, ["rule", "dataset", "horizon"], "x", draws, row_id="id")
+        found = (sizes if sign is None else study(rows, ["rule", "dataset"], sign).withColumn("control", F.lit(None).cast("double"))).join(ci, ["rule", "dataset", "horizon"])
+        rate = F.lit(None).cast("double") if sign is None else F.col("hit_rate")
+        part = found.where("n > 0").select(F.lit(section).alias("section"), F.col("rule").alias("signal"), F.col("dataset").alias("split"), "horizon", "n", F.col("mean").alias("value"), "control", "ci_lo", "ci_hi", rate.alias("hit_rate"))
+        out = part if out is None else out.unionByName(part)
+    return out

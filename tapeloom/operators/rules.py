@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import SECOND
+from ..functions.columns import DAY, SECOND, rounded
+from .intervals import within
 
 #: The shipped rules.
 DEFAULT_RULES = """
@@ -60,18 +61,28 @@ def conditions(featured: DataFrame, book: RuleBook) -> DataFrame:
 
 def alerts(true_rows: DataFrame, horizon_us: int, tick_us: int = SECOND) -> DataFrame:
     """Episodes: true steps no more than clear_after apart are one alert. cleared_us is null while it may go on.
-    detected_us: known_us of the step that fired, when the batch that closed it was in; where true_rows have none, the
-    step's end."""
+    detected_us: known_us of the step that fired, when the batch that closed it was in; where that is unknown, the step's
+    end."""
     if "known_us" not in true_rows.columns:
-        true_rows = true_rows.withColumn("known_us", F.col("t_us") + tick_us)
+        true_rows = true_rows.withColumn("known_us", F.lit(None).cast("long"))
+    true_rows = true_rows.withColumn("known_us", F.coalesce("known_us", F.col("t_us") + tick_us))
     by = Window.partitionBy("symbol", "rule").orderBy("t_us")
     gap = F.col("t_us") - F.lag("t_us").over(by) > F.col("clear_us")
     rows = true_rows.withColumn("episode", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(by))
     e = rows.groupBy("symbol", "rule", "place", "clear_us", "opens", "severity", "episode").agg(F.min("t_us").alias("fired_us"), F.max("t_us").alias("last_us"), F.min_by("known_us", "t_us").alias("detected_us"))
     end = F.col("last_us") + F.col("clear_us")
     e = e.withColumn("cleared_us", F.when(end <= horizon_us, end)).withColumn("active_until", F.least(end - tick_us, F.lit(horizon_us)))
-    # one row an alert: the numbering is over alerts, not steps
-    return e.withColumn("alert_no", F.row_number().over(Window.orderBy("fired_us", "symbol", "place"))).drop("episode", "clear_us", "last_us")
+    return numbered(e, "fired_us", ["fired_us", "symbol", "place"], "alert_no").drop("episode", "clear_us", "last_us")
+
+
+def numbered(rows: DataFrame, time: str, order: list[str], name: str) -> DataFrame:
+    """rows with their number in an order that begins with time, from 1 without gaps: counted within days, and the days
+    before are added, one row a day."""
+    rows = rows.withColumn("_day", F.floor(F.col(time) / DAY))
+    days = rows.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = days.select("_day", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_day").orderBy(*order)))
+    return placed.join(before, "_day").withColumn(name, (F.col("_before") + F.col("_at")).cast("int")).drop("_day", "_before", "_at")
 
 
 def incidents(found: DataFrame, book: RuleBook, horizon_us: int) -> DataFrame:
@@ -84,21 +95,21 @@ def incidents(found: DataFrame, book: RuleBook, horizon_us: int) -> DataFrame:
     inc = rows.groupBy("symbol", "n").agg(F.min("fired_us").alias("opened_us"), F.max("active_until").alias("last_active_us"), F.min_by("detected_us", F.struct("fired_us", "place")).alias("detected_us"), F.count(F.lit(1)).alias("opening_alerts"))
     end = F.col("last_active_us") + quiet
     inc = inc.withColumn("resolved_us", F.when(end <= horizon_us, end)).withColumn("status", F.when(end <= horizon_us, "resolved").otherwise("open"))
-    return inc.withColumn("incident_no", F.row_number().over(Window.orderBy("opened_us", "symbol"))).drop("n")
+    return numbered(inc, "opened_us", ["opened_us", "symbol"], "incident_no").drop("n")
 
 
 def attached(found: DataFrame, inc: DataFrame, book: RuleBook) -> DataFrame:
     """Alerts with the earliest incident of their symbol that is open when they fire or opens within the lookback."""
-    i = inc.select(F.col("symbol").alias("s"), "incident_no", "opened_us", "resolved_us")
-    inside = (F.col("opened_us") - book.lookback_s * SECOND <= F.col("fired_us")) & (F.col("resolved_us").isNull() | (F.col("fired_us") <= F.col("resolved_us")))
-    hit = found.join(i, (F.col("symbol") == F.col("s")) & inside).groupBy("alert_no").agg(F.min_by("incident_no", F.struct("opened_us", "incident_no")).alias("incident_no"))
+    last = found.agg(F.max("fired_us").alias("_last"))  # one row: the end of incidents that are still open
+    i = inc.crossJoin(F.broadcast(last)).select("symbol", "incident_no", "opened_us", (F.col("opened_us") - book.lookback_s * SECOND).alias("_from"), F.coalesce("resolved_us", "_last").alias("_to"))
+    hit = within(i, found.select("symbol", "alert_no", "fired_us"), "_from", "_to", "fired_us", ["symbol"]).groupBy("alert_no").agg(F.min_by("incident_no", F.struct("opened_us", "incident_no")).alias("incident_no"))
     return found.join(hit, "alert_no", "left")
 
 
 def extremes(inc: DataFrame, with_incident: DataFrame, featured: DataFrame) -> DataFrame:
     """Running extremes of an incident over the steps inside its opening alerts, and the price before it opened."""
-    spans = with_incident.where("opens and incident_no is not null").select("incident_no", F.col("symbol").alias("s"), "fired_us", "active_until")
-    steps = featured.join(spans, (F.col("symbol") == F.col("s")) & F.col("bar_us").between(F.col("fired_us"), F.col("active_until"))).dropDuplicates(["incident_no", "bar_us"])
+    spans = with_incident.where("opens and incident_no is not null").select("incident_no", "symbol", "fired_us", "active_until")
+    steps = within(spans, featured, "fired_us", "active_until", "bar_us", ["symbol"]).dropDuplicates(["incident_no", "bar_us"])
     seen = steps.groupBy("incident_no").agg(
         F.min("close").alias("price_low"), F.max("close").alias("price_high"), F.max_by("close", "bar_us").alias("price_last"), F.coalesce(F.max(F.abs("ret_60_ref_z")), F.lit(0.0)).alias("max_abs_ret_60_ref_z"),
         F.coalesce(F.max("vol_60_ref_ratio"), F.lit(0.0)).alias("max_vol_60_ref_ratio"), F.max("sell_share_120").alias("max_sell_share"), F.min("sell_share_120").alias("min_sell_share"),
@@ -116,6 +127,30 @@ def events(inc: DataFrame, with_incident: DataFrame) -> DataFrame:
     return opened.unionByName(hit).unionByName(done)
 
 
+#: What an alert remembers of the step that fired it.
+REMEMBERED = ("close", "ret_60", "ret_60_z", "vol_60", "vol_60_ratio", "sell_share_120", "vol_120_ratio", "ret_60_ref_z", "vol_60_ref_ratio", "vol_120_ref_ratio")
+
+
+def with_features(found: DataFrame, featured: DataFrame) -> DataFrame:
+    """Alerts with the features of the step that fired, as JSON; unknown ones are null in it."""
+    shown = F.to_json(F.struct(*[rounded(F.col(c), 6).alias(c) if c in featured.columns else F.lit(None).cast("double").alias(c) for c in REMEMBERED]), {"ignoreNullFields": "false"})
+    return found.join(featured.select("symbol", F.col("bar_us").alias("fired_us"), shown.alias("features")), ["symbol", "fired_us"], "left")
+
+
+def event_log(inc: DataFrame, with_incident: DataFrame, known: DataFrame) -> DataFrame:
+    """events() with the rule of each alert and when each event was known. known: (symbol, bar_us, known_us) of every step."""
+    log = events(inc, with_incident).join(inc.select("incident_no", "symbol", F.col("detected_us").alias("_opened")), "incident_no")
+    log = log.join(with_incident.select("alert_no", "rule", F.col("detected_us").alias("_fired")), "alert_no", "left")
+    log = log.join(known.select("symbol", F.col("bar_us").alias("at_us"), "known_us"), ["symbol", "at_us"], "left")
+    detected = F.when(F.col("event") == "opened", F.col("_opened")).when(F.col("event") == "resolved", F.col("known_us")).otherwise(F.col("_fired"))
+    return log.select("incident_no", "at_us", "event", "alert_no", detected.alias("detected_us"), "rule")
+
+
+def alert_counts(with_incident: DataFrame) -> DataFrame:
+    """(incident_no, alert_count): alerts that belong to an incident, context alerts included."""
+    return with_incident.where("incident_no is not null").groupBy("incident_no").agg(F.count(F.lit(1)).alias("alert_count"))
+
+
 def rules_of_incidents(inc: DataFrame, with_incident: DataFrame) -> DataFrame:
     """(incident_no, rules): alerts before the opening newest first, then the opener, then later ones; each rule once, where
     it comes first."""

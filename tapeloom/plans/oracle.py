@@ -52,14 +52,19 @@ _INF = "CASE WHEN {b} = 0 THEN CASE WHEN {a} > 0 THEN 'infinity'::DOUBLE WHEN {a
 _CTE["feat"] = f"""SELECT f0.*, CASE WHEN vol_120 <> 0 THEN sell_120 / vol_120 END AS sell_share_120, {_INF.format(a='ret_60', b='ret_std')} AS ret_60_ref_z,
     {_INF.format(a='vol_60', b='volume_median')} AS vol_60_ref_ratio, {_INF.format(a='vol_120', b='(2 * volume_median)')} AS vol_120_ref_ratio
     FROM f0 LEFT JOIN prof ON f0.symbol = prof.symbol AND (f0.bar_us % {DAY} // 3600000000) = prof.hour AND f0.bar_us // {DAY} = prof.day"""
-_CTE["cond"] = """SELECT symbol, bar_us AS t_us, 'price_shock' AS rule, 0 AS place, 'high' AS severity, true AS opens FROM feat WHERE abs(ret_60_ref_z) > 4
+_CTE["nb"] = f"""SELECT slot, (SELECT min(event_us) FROM ta) + (slot + 1) * {MINUTE} AS clock, min_event, wm, lag(wm) OVER (ORDER BY slot) AS pwm FROM (
+    SELECT slot, min(event_us) AS min_event, max(max(event_us)) OVER (ORDER BY slot) - {10 * SECOND} AS wm FROM (SELECT event_us, (event_us - (SELECT min(event_us) FROM ta)) // {MINUTE} AS slot FROM ta) GROUP BY slot)"""
+_CTE["ne"] = f"""SELECT end_us, min(clock) AS clock FROM (SELECT unnest(generate_series(coalesce(pwm - pwm % {MINUTE} + {MINUTE}, min_event - min_event % {MINUTE}), wm - wm % {MINUTE}, {MINUTE})) AS end_us, clock FROM nb) GROUP BY end_us"""
+_CTE["kn"] = f"""SELECT bar_us, first_value(e IGNORE NULLS) OVER (ORDER BY bar_us ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS known_us FROM (SELECT DISTINCT bar_us FROM grid) LEFT JOIN (
+    SELECT DISTINCT bar_us, coalesce(clock, (SELECT max(clock) FROM nb)) AS e FROM scored LEFT JOIN ne ON end_us = bar_us + {MINUTE}) USING (bar_us)"""
+_CTE["cond"] = """SELECT c.*, known_us FROM (SELECT symbol, bar_us AS t_us, 'price_shock' AS rule, 0 AS place, 'high' AS severity, true AS opens FROM feat WHERE abs(ret_60_ref_z) > 4
     UNION ALL SELECT symbol, bar_us, 'volume_burst', 1, 'medium', false FROM feat WHERE vol_60_ref_ratio > 4
-    UNION ALL SELECT symbol, bar_us, 'one_sided_flow', 2, 'medium', false FROM feat WHERE (sell_share_120 > 0.8 OR sell_share_120 < 0.2) AND vol_120_ref_ratio > 2"""
+    UNION ALL SELECT symbol, bar_us, 'one_sided_flow', 2, 'medium', false FROM feat WHERE (sell_share_120 > 0.8 OR sell_share_120 < 0.2) AND vol_120_ref_ratio > 2) c LEFT JOIN kn ON kn.bar_us = t_us"""
 _CTE["al"] = f"""SELECT *, row_number() OVER (ORDER BY fired_us, symbol, place)::INTEGER AS alert_no FROM (
-    SELECT symbol, rule, place, severity, opens, min(t_us) AS fired_us, min(t_us) + {MINUTE} AS detected_us, CASE WHEN max(t_us) + 300000000 <= {HORIZON} THEN max(t_us) + 300000000 END AS cleared_us, least(max(t_us) + 300000000 - {MINUTE}, {HORIZON}) AS active_until FROM (
+    SELECT symbol, rule, place, severity, opens, min(t_us) AS fired_us, coalesce(arg_min(known_us, t_us), min(t_us) + {MINUTE}) AS detected_us, CASE WHEN max(t_us) + 300000000 <= {HORIZON} THEN max(t_us) + 300000000 END AS cleared_us, least(max(t_us) + 300000000 - {MINUTE}, {HORIZON}) AS active_until FROM (
     SELECT *, sum(CASE WHEN gap IS NULL OR gap > 300000000 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, rule ORDER BY t_us) AS ep FROM (
     SELECT *, t_us - lag(t_us) OVER (PARTITION BY symbol, rule ORDER BY t_us) AS gap FROM cond)) GROUP BY symbol, rule, place, severity, opens, ep)"""
-_CTE["inc"] = f"""SELECT symbol, min(fired_us) AS opened_us, max(active_until) AS last_active_us, min(detected_us) AS detected_us, count(*) AS opening_alerts, CASE WHEN max(active_until) + 900000000 <= {HORIZON} THEN max(active_until) + 900000000 END AS resolved_us,
+_CTE["inc"] = f"""SELECT symbol, min(fired_us) AS opened_us, max(active_until) AS last_active_us, arg_min(detected_us, (fired_us, place)) AS detected_us, count(*) AS opening_alerts, CASE WHEN max(active_until) + 900000000 <= {HORIZON} THEN max(active_until) + 900000000 END AS resolved_us,
     CASE WHEN max(active_until) + 900000000 <= {HORIZON} THEN 'resolved' ELSE 'open' END AS status, row_number() OVER (ORDER BY min(fired_us), symbol)::INTEGER AS incident_no FROM (
     SELECT *, sum(CASE WHEN before IS NULL OR fired_us > before + 900000000 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY fired_us, place) AS n FROM (
     SELECT *, max(active_until) OVER (PARTITION BY symbol ORDER BY fired_us, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM al WHERE opens)) GROUP BY symbol, n"""
@@ -80,7 +85,7 @@ _CTE["runs"] = "SELECT * FROM (VALUES (DATE '2024-01-15', 'r1', 'completed', TIM
 _CTE["briefs"] = "SELECT * FROM (VALUES (DATE '2024-01-15', 'r1', 'written', TIMESTAMP '2024-01-16 03:00:00'), (DATE '2024-01-15', 'r2', 'awaiting_analyst', TIMESTAMP '2024-01-16 04:00:00'), (DATE '2024-01-17', 'r4', 'quiet', TIMESTAMP '2024-01-18 03:00:00')) t(trade_date, run_id, status, created_at)"
 _CTE["off"] = "SELECT trade_date, arg_max(run_id, finished_at) AS run_id FROM runs WHERE status = 'completed' GROUP BY 1"
 
-_A = ["ta", "ma", "scored", "prof", "grid", "f0", "feat", "cond", "al", "inc", "linked", "win", "flow", "ext", "size", "ov", "ev", "ret", "pool"]
+_A = ["ta", "ma", "scored", "prof", "grid", "f0", "feat", "nb", "ne", "kn", "cond", "al", "inc", "linked", "win", "flow", "ext", "size", "ov", "ev", "ret", "pool"]
 
 
 def _sql(final: str, *names: str, lateness: float | None = None) -> str:

@@ -15,6 +15,7 @@ from ..operators import evidence as E
 from ..operators import features as X
 from ..operators import replay, research, rules
 from ..sources import tape
+from ..sources.stage import staged
 from . import briefing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,12 +40,24 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def _once(stage):
+    """A stage that several parts of a query read: written once, then read."""
+    name = stage.__name__
+
+    def kept(self):
+        if name not in self.stages:
+            self.stages[name] = staged(stage(self), name)
+        return self.stages[name]
+
+    return kept
+
+
 class Tape:
     """The stages of one run, each built on the one before."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         e = events(spark, sf_dir)
-        self.spark = spark
+        self.spark, self.stages = spark, {}
         self.native, self.fast = tape.events_as_trades(e), tape.events_as_trades(e, compressed=True)
 
     def batches(self) -> DataFrame:
@@ -56,8 +69,11 @@ class Tape:
     def rolled(self, lateness: float = LATENESS) -> DataFrame:
         return B.rolled_up(self.base(lateness), self.batches(), lateness, MINUTE)
 
+    @_once
     def minutes(self) -> DataFrame:
-        return B.trade_bars(self.native, MINUTE)
+        """Minute bars of the native clock with the time at which a batch a minute, none of them late, closed them."""
+        batches = replay.batched(replay.arrivals(self.native, late_permille=0), 60)
+        return B.emitted(B.trade_bars(self.native, MINUTE), B.watermarks(batches, LATENESS), MINUTE)
 
     def scored(self) -> DataFrame:
         return self.minutes().where((F.col("bar_us") >= SCORED_FROM) & (F.col("bar_us") < SCORED_TO))
@@ -68,15 +84,23 @@ class Tape:
     def grid(self) -> DataFrame:
         return X.dense_grid(self.scored(), MINUTE, HORIZON)
 
+    @_once
     def features(self) -> DataFrame:
-        return X.features(self.grid(), self.profile())
+        return X.known_at(X.features(self.grid(), self.profile(), MINUTE), self.scored(), MINUTE)
+
+    def steps(self) -> DataFrame:
+        """The grid, where the features are read too."""
+        return self.features().select("symbol", "bar_us", "close", "volume", "sell_volume")
 
+    @_once
     def alerts(self) -> DataFrame:
         return rules.alerts(rules.conditions(self.features(), BOOK), HORIZON, MINUTE)
 
+    @_once
     def incidents(self) -> DataFrame:
         return rules.incidents(self.alerts(), BOOK, HORIZON)
 
+    @_once
     def linked(self) -> DataFrame:
         return rules.attached(self.alerts(), self.incidents(), BOOK)
 
@@ -88,7 +112,7 @@ class Tape:
         return a.withColumn("entry_us", research.entry_minute(F.col("detected_us")))
 
     def returns(self) -> DataFrame:
-        return research.forward_returns(self.study_events(), self.grid())
+        return research.forward_returns(self.study_events(), self.steps())
 
 
 BOOK = rules.RuleBook.parse(TAPE_RULES)
@@ -197,8 +221,8 @@ def dense_grid(spark, d):
 
 def known_at(spark, d):
     t = Tape(spark, d)
-    base = t.base()
-    return X.known_at(X.dense_grid(base, SECOND), base).select("symbol", "bar_us", "known_us")
+    base = staged(t.base(), "base")
+    return X.known_at(X.dense_grid(base, SECOND), base, SECOND).select("symbol", "bar_us", "known_us")
 
 
 def features_ref(spark, d):
@@ -207,7 +231,7 @@ def features_ref(spark, d):
 
 
 def features_rolling(spark, d):
-    return X.rolling_features(Tape(spark, d).features()).select("symbol", "bar_us", _near("ret_60_z", 4), _near("vol_60_ratio", 4), _near("vol_120_ratio", 4))
+    return X.rolling_features(Tape(spark, d).features(), step=MINUTE).select("symbol", "bar_us", _near("ret_60_z", 4), _near("vol_60_ratio", 4), _near("vol_120_ratio", 4))
 
 
 def rule_conditions(spark, d):
@@ -245,7 +269,7 @@ def incident_flow(spark, d):
 
 def price_after(spark, d):
     t = Tape(spark, d)
-    return E.price_after(t.windows(), t.grid())
+    return E.price_after(t.windows(), t.steps())
 
 
 def other_symbol(spark, d):
@@ -265,7 +289,7 @@ def alert_timeline(spark, d):
 def incident_evidence(spark, d):
     t = Tape(spark, d)
     x = rules.extremes(t.incidents(), t.linked(), t.features())
-    e = E.incident_evidence(x, t.linked(), t.scored(), t.grid(), t.native)
+    e = E.incident_evidence(x, t.linked(), t.scored(), t.steps(), t.native)
     return e.select("incident_no", "symbol", "status", "opened_utc", "active_minutes", "move_at_end_pct", "sell_pct", "volume", "trades", F.size("overlapping").alias("n_overlapping"), briefing.scope(F.col("overlapping")).alias("scope"), "largest_trade_pct", "top10_pct", "median_trade_size")
 
 
@@ -333,12 +357,12 @@ def forward_returns(spark, d):
 
 def control_pool(spark, d):
     t = Tape(spark, d)
-    return research.control_pool(t.grid(), t.study_events())
+    return research.control_pool(t.steps(), t.study_events())
 
 
 def controls_sample(spark, d):
     t = Tape(spark, d)
-    return research.sampled_controls(t.study_events(), research.control_pool(t.grid(), t.study_events()))
+    return research.sampled_controls(t.study_events(), research.control_pool(t.steps(), t.study_events()))
 
 
 def _split(df: DataFrame, t: Tape) -> DataFrame:

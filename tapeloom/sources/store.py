@@ -22,11 +22,11 @@ SCHEMAS = {
     "ops/incidents": ("run_id string, incident_no long, symbol string, status string, opened_us long, last_active_us long, detected_us long, resolved_us long, rules array<string>, alert_count long, opening_alerts long, observed string, agent_status string", ["run_id"]),
     "ops/incident_events": ("run_id string, incident_no long, at_us long, event string, alert_no long, detected_us long, rule string", ["run_id"]),
     "ops/rule_runs": ("run_id string, lateness_s double, started_at timestamp, finished_at timestamp, mode string, steps_evaluated long, alerts long, incidents long, rules_text string", ["run_id"]),
-    "ops/daily_runs": ("trade_date date, run_id string, status string, finished_at timestamp, detail string", []),
+    "ops/daily_runs": ("trade_date date, run_id string, status string, finished_at timestamp, detail string, trades long, alerts long, incidents long, minutes_checked long, minutes_matching long, bronze_rows_purged long", []),
     "ops/llm_calls": ("called_at timestamp, trade_date date, model string, status string, error string", []),
     "gold/daily_briefings": ("trade_date date, run_id string, status string, summary string, evidence string, created_at timestamp", []),
     "gold/incident_briefs": ("run_id string, incident_no long, headline string, note string, scope string", ["run_id"]),
-    "gold/signal_research": ("version int, section string, signal string, split string, horizon int, n long, value double, control double", ["version"]),
+    "gold/signal_research": ("version int, section string, signal string, split string, horizon int, n long, value double, control double, ci_lo double, ci_hi double, hit_rate double, first_day date, last_day date, n_days int, split_day date, n_alerts long, cost_pct double", ["version"]),
 }
 
 
@@ -71,12 +71,13 @@ class Store:
         self._shaped(table, rows).write.mode("append").partitionBy(*SCHEMAS[table][1]).parquet(self.path(table))
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """Replaces the partitions that rows fall into, so that rebuilding a run is idempotent."""
+        """Replaces the partitions that rows fall into, so that rebuilding a run is idempotent. Spark writes all new
+        files aside first and moves them in at the end, so a job that dies leaves the old rows. Tables without partitions are
+        never overwritten in place: they are logs, appended to and read by latest()."""
         keys = SCHEMAS[table][1]
-        writer = self._shaped(table, rows).write.mode("overwrite")
-        if keys:
-            writer = writer.partitionBy(*keys).option("partitionOverwriteMode", "dynamic")
-        writer.parquet(self.path(table))
+        if not keys:
+            raise ValueError(f"{table} has no partitions to replace: append to it, and read the latest rows of its keys")
+        self._shaped(table, rows).write.mode("overwrite").partitionBy(*keys).option("partitionOverwriteMode", "dynamic").parquet(self.path(table))
 
     def upsert(self, table: str, rows: DataFrame, keys: list[str]) -> None:
         """Rows of the same keys are replaced, others stay. Only the partitions concerned are rewritten, from a
@@ -85,20 +86,24 @@ class Store:
         rows = self._shaped(table, rows)
         old = self.read(table)
         if parts:
-            old = old.join(F.broadcast(rows.select(*parts).distinct()), parts, "left_semi")
+            old = old.join(rows.select(*parts).distinct(), parts, "left_semi")
         merged = old.join(rows.select(*keys), keys, "left_anti").select(*rows.columns).unionByName(rows)
         staged = f"{self.root}/_staged-{uuid.uuid4().hex}"
         merged.write.parquet(staged)
         self.replace(table, self.spark.read.schema(rows.schema).parquet(staged))
+        self._delete(staged)
 
     def purge(self, table: str, column: str, values: list) -> int:
         """Drops partitions by value and returns how many rows went."""
         gone = self.read(table).where(F.col(column).isin(values)).count()
         for value in values:
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/{column}={value}")
-            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            self._delete(f"{self.path(table)}/{column}={value}")
         return gone
 
+    def _delete(self, path: str) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key by an ordering column."""
