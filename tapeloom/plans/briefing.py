@@ -87,6 +87,12 @@ def problems(noted: list[int], expected: list[int]) -> list[str]:
     return out + [f"incident {n} noted twice" for n, k in sorted(Counter(noted).items()) if k > 1]
 
 
+def mark_incidents(store: Store, run_id: str, status: str) -> None:
+    """What an analyst has done with the incidents of a run."""
+    rows = store.read("ops/incidents").where(F.col("run_id") == run_id).withColumn("agent_status", F.lit(status))
+    store.upsert("ops/incidents", rows, ["run_id", "incident_no"])
+
+
 def write_briefing(store: Store, day: date, run_id: str, evidence: DataFrame, ask: Callable[[str, dict], dict], models: list[str], wait_s: float = 1.0) -> str:
     """Stores the briefing of a run and the notes on its incidents; returns its status. evidence has one row an incident of
     the day, which is what a model is shown."""
@@ -108,6 +114,8 @@ def write_briefing(store: Store, day: date, run_id: str, evidence: DataFrame, as
     text = answer["summary"] if status == "written" else f"{len(shown)} incidents on {day}" + ("" if status == "quiet" else ", waiting for an analyst")
     row = (day, run_id, status, text, json.dumps(shown), datetime.now())
     store.append("gold/daily_briefings", spark.createDataFrame([row], "trade_date date, run_id string, status string, summary string, evidence string, created_at timestamp"))
+    if shown:
+        mark_incidents(store, run_id, "analysed" if status == "written" else "awaiting_analyst")
     if status == "written":
         wide = {r["incident_no"]: "market_wide" if r.get("overlapping") else "single_asset" for r in shown}
         notes = [(run_id, n["incident_no"], n.get("headline", ""), n.get("note", ""), wide[n["incident_no"]]) for n in answer.get("notes", [])]

@@ -81,8 +81,11 @@ _CTE["ov"] = "SELECT a.incident_no, list(b.incident_no ORDER BY b.incident_no) A
 _CTE["ev"] = f"SELECT alert_no AS event_id, symbol, rule, fired_us, detected_us, detected_us - detected_us % {MINUTE} + {MINUTE} AS entry_us FROM linked"
 _CTE["ret"] = "SELECT ev.*, " + ", ".join(f"(g{h}.close / g0.close - 1) * 100 AS ret_{h}m" for h in (5, 15, 60)) + " FROM ev LEFT JOIN grid g0 ON g0.symbol = ev.symbol AND g0.bar_us = entry_us " + " ".join(f"LEFT JOIN grid g{h} ON g{h}.symbol = ev.symbol AND g{h}.bar_us = entry_us + {h * MINUTE}" for h in (5, 15, 60))
 _CTE["pool"] = f"SELECT symbol, bar_us FROM grid g WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.symbol = g.symbol AND g.bar_us BETWEEN detected_us - detected_us % {MINUTE} - {60 * MINUTE} AND detected_us - detected_us % {MINUTE} + {60 * MINUTE})"
-_CTE["runs"] = "SELECT * FROM (VALUES (DATE '2024-01-15', 'r1', 'completed', TIMESTAMP '2024-01-16 01:00:00'), (DATE '2024-01-15', 'r2', 'completed', TIMESTAMP '2024-01-16 02:00:00'), (DATE '2024-01-16', 'r3', 'failed', TIMESTAMP '2024-01-17 01:00:00'), (DATE '2024-01-17', 'r4', 'completed', TIMESTAMP '2024-01-18 01:00:00')) t(trade_date, run_id, status, finished_at)"
-_CTE["briefs"] = "SELECT * FROM (VALUES (DATE '2024-01-15', 'r1', 'written', TIMESTAMP '2024-01-16 03:00:00'), (DATE '2024-01-15', 'r2', 'awaiting_analyst', TIMESTAMP '2024-01-16 04:00:00'), (DATE '2024-01-17', 'r4', 'quiet', TIMESTAMP '2024-01-18 03:00:00')) t(trade_date, run_id, status, created_at)"
+_CTE["runs"] = """SELECT *, CASE WHEN n % 4 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN n % 5 = 0 THEN finished_at END AS bronze_purged_at FROM (
+    SELECT ts::DATE AS trade_date, strftime(ts, '%Y%m%d') || '-' || (user_id % 3) AS run_id, count(*) AS n, max(ts) AS finished_at, max(ts) FILTER (WHERE event_type = 'error') AS created_at FROM events GROUP BY 1, 2)"""
+_CTE["briefs"] = "SELECT trade_date, run_id, CASE n % 3 WHEN 0 THEN 'written' WHEN 1 THEN 'quiet' ELSE 'awaiting_analyst' END AS status, created_at FROM runs WHERE created_at IS NOT NULL"
+_CTE["noted"] = f"SELECT fired_us // {DAY} AS d, incident_no AS x, count(*) AS times FROM linked WHERE incident_no IS NOT NULL AND rule <> 'volume_burst' GROUP BY 1, 2"
+_CTE["opened"] = f"SELECT opened_us // {DAY} AS d, incident_no AS x FROM inc"
 _CTE["off"] = "SELECT trade_date, arg_max(run_id, finished_at) AS run_id FROM runs WHERE status = 'completed' GROUP BY 1"
 
 _A = ["ta", "ma", "scored", "prof", "grid", "f0", "feat", "nb", "ne", "kn", "cond", "al", "inc", "linked", "win", "flow", "ext", "size", "ov", "ev", "ret", "pool"]
@@ -122,6 +125,12 @@ def _sweep() -> str:
     return " UNION ALL ".join("(" + _sql(q, lateness=s) + ")" for q, s in zip(one, SETTINGS))
 
 
+_CONTROLS = f"""SELECT event_id, symbol, entry_us FROM (SELECT event_id, e.symbol, p.bar_us AS entry_us, row_number() OVER (PARTITION BY event_id ORDER BY step) AS k
+    FROM (SELECT *, unnest(generate_series(0, least(n, 80) - 1)) AS step FROM (SELECT event_id, ev.symbol, entry_us % {DAY} // 3600000000 AS hour, entry_us // {DAY} AS day, ('0x' || substring(md5(event_id::VARCHAR), 1, 13))::BIGINT AS start FROM ev) JOIN
+      (SELECT symbol, bar_us % {DAY} // 3600000000 AS hour, count(*) AS n FROM pool GROUP BY 1, 2) USING (symbol, hour)) e
+    JOIN (SELECT symbol, bar_us, bar_us % {DAY} // 3600000000 AS hour, row_number() OVER (PARTITION BY symbol, bar_us % {DAY} // 3600000000 ORDER BY md5(bar_us::VARCHAR), bar_us) - 1 AS at FROM pool) p
+    ON p.symbol = e.symbol AND p.hour = e.hour AND p.at = (e.start + e.step) % e.n WHERE e.day <> p.bar_us // {DAY}) WHERE k <= 20"""
+
 SQL: dict[str, str] = {
     "trades_normalized": _sql(f"SELECT symbol, agg_trade_id, {_d('price', 'quantity')}, is_buyer_maker, event_us FROM ta", "ta"),
     "ts_unit_detection": _sql("SELECT agg_trade_id, raw, CASE WHEN raw > 100000000000000 THEN raw ELSE raw * 1000 END AS event_us FROM (SELECT agg_trade_id, CASE WHEN agg_trade_id % 2 = 0 THEN event_us ELSE event_us // 1000 END AS raw FROM ta)", "ta"),
@@ -156,7 +165,7 @@ SQL: dict[str, str] = {
     "incident_rules": _sql("SELECT incident_no, string_agg(rule, ',' ORDER BY late, k, p, rule) AS rules FROM (SELECT *, row_number() OVER (PARTITION BY incident_no, rule ORDER BY late, k, p) AS nth FROM (SELECT l.incident_no, rule, fired_us >= opened_us AS late, CASE WHEN fired_us < opened_us THEN -fired_us ELSE fired_us END AS k, CASE WHEN fired_us < opened_us THEN -place ELSE place END AS p FROM linked l JOIN inc USING (incident_no))) WHERE nth = 1 GROUP BY 1", *_TO["linked"]),
     "incident_extremes": _sql(f"SELECT incident_no, {_r('price_at_open')}, price_low, price_high, price_last, {_r('max_z', 4, 'max_abs_ret_60_ref_z')}, {_r('max_v', 4, 'max_vol_60_ref_ratio')}, {_r('max_s', 6, 'max_sell_share')}, {_r('min_s', 6, 'min_sell_share')} FROM ext", *_TO["ext"]),
     "incident_flow": _sql(f"SELECT incident_no, volume, {_r('sell_share')}, trades, price_at_end FROM flow", *_TO["flow"]),
-    "price_after": _sql(f"SELECT incident_no, a.close AS price_30m_after, b.close AS price_60m_after FROM win LEFT JOIN grid a ON a.symbol = win.symbol AND a.bar_us = w1 - w1 % {MINUTE} + {30 * MINUTE} LEFT JOIN grid b ON b.symbol = win.symbol AND b.bar_us = w1 - w1 % {MINUTE} + {60 * MINUTE}", *_TO["win"]),
+    "price_after": _sql(f"SELECT incident_no, max(close) FILTER (WHERE m = 30) AS price_30m_after, max(close) FILTER (WHERE m = 60) AS price_60m_after FROM (SELECT incident_no, symbol, m, w1 - w1 % {MINUTE} + m * {MINUTE} AS bar_us FROM win, (VALUES (30::BIGINT), (60)) t(m)) LEFT JOIN grid USING (symbol, bar_us) GROUP BY 1", *_TO["win"]),
     "other_symbol": _sql(f"SELECT incident_no, s AS other_symbol, {_r('r', 9, 'other_return')} FROM (SELECT incident_no, scored.symbol AS s, arg_max(close, bar_us)::DOUBLE / arg_min(open, bar_us)::DOUBLE - 1 AS r FROM win JOIN scored ON win.symbol <> scored.symbol AND bar_us BETWEEN w0 AND w1 GROUP BY 1, 2)", *_TO["win"]),
     "overlap_pairs": _sql("SELECT incident_no, array_to_string(o, ',') AS overlapping FROM ov", *_TO["win"], "ov"),
     "alert_timeline": _sql("SELECT incident_no, string_agg(rule || '@' || ((fired_us - opened_us) // 1000000)::VARCHAR, ',' ORDER BY fired_us, alert_no) AS timeline FROM linked l JOIN inc USING (incident_no) GROUP BY 1", *_TO["linked"]),
@@ -168,26 +177,26 @@ SQL: dict[str, str] = {
     SELECT symbol, bar_us // {DAY} AS day, arg_min(open, bar_us)::DOUBLE AS o, arg_max(close, bar_us)::DOUBLE AS c, max(high)::DOUBLE AS h, min(low)::DOUBLE AS l, sum(volume)::DOUBLE AS v FROM scored GROUP BY 1, 2) LEFT JOIN (SELECT symbol, day, sum(volume_median * 60) AS normal FROM prof GROUP BY 1, 2) USING (symbol, day)""", *_TO["prof"]),
     "alerts_by_rule": _sql("SELECT rule, count(*) AS alerts, count(*) FILTER (WHERE incident_no IS NULL) AS not_in_any_incident FROM linked GROUP BY 1", *_TO["linked"]),
     "official_runs": _sql("SELECT trade_date::VARCHAR AS trade_date, run_id FROM off", "runs", "off"),
-    "audit_list": _sql("SELECT run_id, status FROM runs ORDER BY finished_at DESC LIMIT 3", "runs"),
-    "retention_candidates": "SELECT run_id FROM (VALUES ('a', DATE '2024-01-01', NULL), ('b', DATE '2024-01-01', TIMESTAMP '2024-01-09 00:00:00'), ('c', DATE '2024-01-08', NULL)) t(run_id, d, p) WHERE d < DATE '2024-01-15' - 7 AND p IS NULL",
+    "audit_list": _sql("SELECT run_id, status FROM runs ORDER BY finished_at DESC, run_id LIMIT 30", "runs"),
+    "retention_candidates": _sql("SELECT run_id FROM runs WHERE trade_date < DATE '2024-01-25' - 7 AND bronze_purged_at IS NULL", "runs"),
+    "official_events": _sql("SELECT run_id, trade_date::VARCHAR AS trade_date, n FROM runs JOIN off USING (run_id, trade_date)", "runs", "off"),
     "catchup_days": _sql("SELECT trade_date::VARCHAR AS trade_date, run_id FROM off WHERE NOT EXISTS (SELECT 1 FROM (SELECT run_id, arg_max(status, created_at) AS status FROM briefs GROUP BY 1) b WHERE b.run_id = off.run_id AND b.status IN ('written', 'quiet'))", "runs", "briefs", "off"),
-    "briefs_join": _sql("SELECT incident_no, symbol, note FROM inc LEFT JOIN (VALUES (1, 'sharp move'), (2, 'thin book')) t(n, note) ON n = incident_no", *_TO["inc"]),
-    "briefing_validation": """WITH a AS (SELECT * FROM (VALUES (1, [1, 2]), (2, [1, 1, 9]), (3, [2])) t(briefing_id, noted)),
-    w AS (SELECT * FROM (VALUES (1, [1, 2]), (2, [1, 2]), (3, [1, 2]), (4, [5])) t(briefing_id, incidents)),
-    j AS (SELECT w.briefing_id, incidents, coalesce(noted, []) AS noted FROM w LEFT JOIN a USING (briefing_id)),
-    n AS (SELECT briefing_id, x, count(*) AS times FROM (SELECT briefing_id, unnest(noted) AS x FROM j) GROUP BY 1, 2)
-    SELECT j.briefing_id, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM n WHERE n.briefing_id = j.briefing_id AND NOT list_contains(j.incidents, x)), '') AS unknown,
-    array_to_string(list_sort(list_filter(j.incidents, lambda i: NOT list_contains(j.noted, i))), ',') AS missing,
-    coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM n WHERE n.briefing_id = j.briefing_id AND times > 1), '') AS duplicate FROM j""",
+    "briefs_join": _sql("SELECT incident_no, symbol, note FROM inc LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS note FROM conversations WHERE role = 'assistant' GROUP BY 1) t ON conv_id = incident_no", *_TO["inc"]),
+    "briefing_validation": _sql("""SELECT w.d::INTEGER AS briefing_id, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM noted n WHERE n.d = w.d AND NOT list_contains(w.i, x)), '') AS unknown,
+    coalesce((SELECT string_agg(o.x, ',' ORDER BY o.x) FROM opened o WHERE o.d = w.d AND NOT EXISTS (SELECT 1 FROM noted n WHERE n.d = w.d AND n.x = o.x)), '') AS missing, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM noted n WHERE n.d = w.d AND times > 1), '') AS duplicate
+    FROM (SELECT d, list(x) AS i FROM opened GROUP BY 1) w""", *_TO["linked"], "noted", "opened"),
     "scope_of": _sql("SELECT inc.incident_no, CASE WHEN o IS NULL THEN 'single_asset' ELSE 'market_wide' END AS scope FROM inc LEFT JOIN ov USING (incident_no)", *_TO["win"], "ov"),
-    "quiet_summary": "SELECT d::VARCHAR AS trade_date, CASE WHEN i = 0 THEN 'No incidents on ' || d::VARCHAR || ' for ' || array_to_string(s, ', ') || '; ' || a || ' context alerts.' ELSE i || ' incidents on ' || d::VARCHAR || ' for ' || array_to_string(s, ', ') || ' await an analyst.' END AS summary FROM (VALUES (DATE '2024-01-15', ['click', 'view'], 0, 4), (DATE '2024-01-16', ['click'], 2, 9)) t(d, s, i, a)",
+    "quiet_summary": _sql(f"""SELECT d::VARCHAR AS trade_date, CASE WHEN i = 0 THEN 'No incidents on ' || d::VARCHAR || ' for ' || s || '; ' || a || ' context alerts.' ELSE i || ' incidents on ' || d::VARCHAR || ' for ' || s || ' await an analyst.' END AS summary FROM (
+    SELECT make_timestamp(day * {DAY})::DATE AS d, s, (SELECT count(*) FROM inc WHERE opened_us // {DAY} = day) AS i, (SELECT count(*) FROM linked WHERE fired_us // {DAY} = day) AS a
+    FROM (SELECT bar_us // {DAY} AS day, string_agg(DISTINCT symbol, ', ' ORDER BY symbol) AS s FROM scored GROUP BY 1))""", *_TO["linked"]),
+    "event_log": _sql("SELECT incident_no, opened_us AS at_us, 'opened' AS event, NULL::INTEGER AS alert_no, detected_us, NULL::VARCHAR AS rule FROM inc UNION ALL SELECT incident_no, fired_us, 'alert_attached', alert_no, detected_us, rule FROM linked WHERE incident_no IS NOT NULL UNION ALL SELECT incident_no, resolved_us, 'resolved', NULL, known_us, NULL FROM inc LEFT JOIN kn ON bar_us = resolved_us WHERE resolved_us IS NOT NULL", *_TO["linked"]),
+    "alert_features": _sql(f"SELECT alert_no, {_r('close', 6)}, {_r('vol_60', 6)} FROM linked l LEFT JOIN feat f ON f.symbol = l.symbol AND f.bar_us = l.fired_us", *_TO["linked"]),
     "forward_returns": _sql(f"SELECT event_id, symbol, rule, entry_us, {_r('ret_5m', 9)}, {_r('ret_15m', 9)}, {_r('ret_60m', 9)} FROM ret", *_TO["linked"], "ev", "ret"),
+    "study_controls": _sql(f"""SELECT rule, dataset, h::INTEGER AS horizon, count(x) AS controls, {_r('avg(x)', 6, 'control')} FROM (
+    SELECT e.rule, e.dataset, h, abs(b.close / a.close - 1) * 100 AS x FROM ({_CONTROLS}) c JOIN (SELECT event_id, rule, {_SET} FROM ev) e USING (event_id) CROSS JOIN (VALUES (5::BIGINT), (15), (60)) t(h)
+    LEFT JOIN grid a ON a.symbol = c.symbol AND a.bar_us = c.entry_us LEFT JOIN grid b ON b.symbol = c.symbol AND b.bar_us = c.entry_us + h * {MINUTE}) GROUP BY 1, 2, 3""", *_TO["linked"], "ev", "pool"),
     "control_pool": _sql("SELECT symbol, bar_us FROM pool", *_TO["linked"], "ev", "pool"),
-    "controls_sample": _sql(f"""SELECT event_id, symbol, entry_us FROM (SELECT event_id, e.symbol, p.bar_us AS entry_us, row_number() OVER (PARTITION BY event_id ORDER BY step) AS k
-    FROM (SELECT *, unnest(generate_series(0, least(n, 80) - 1)) AS step FROM (SELECT event_id, ev.symbol, entry_us % {DAY} // 3600000000 AS hour, entry_us // {DAY} AS day, ('0x' || substring(md5(event_id::VARCHAR), 1, 13))::BIGINT AS start FROM ev) JOIN
-      (SELECT symbol, bar_us % {DAY} // 3600000000 AS hour, count(*) AS n FROM pool GROUP BY 1, 2) USING (symbol, hour)) e
-    JOIN (SELECT symbol, bar_us, bar_us % {DAY} // 3600000000 AS hour, row_number() OVER (PARTITION BY symbol, bar_us % {DAY} // 3600000000 ORDER BY md5(bar_us::VARCHAR), bar_us) - 1 AS at FROM pool) p
-    ON p.symbol = e.symbol AND p.hour = e.hour AND p.at = (e.start + e.step) % e.n WHERE e.day <> p.bar_us // {DAY}) WHERE k <= 20""", *_TO["linked"], "ev", "pool"),
+    "controls_sample": _sql(_CONTROLS, *_TO["linked"], "ev", "pool"),
     "study_size": _sql(f"SELECT rule, dataset, horizon, {_STUDY} FROM ({_long(f'SELECT rule, {_SET}, ret_5m, ret_15m, ret_60m FROM ret', 'abs({x})')}) GROUP BY 1, 2, 3", *_TO["linked"], "ev", "ret"),
     "study_direction": _sql(f"SELECT dataset, horizon, {_STUDY} FROM ({_long(f'SELECT {_SET}, ret_5m, ret_15m, ret_60m, CASE WHEN sell_share_120 < 0.5 THEN 1 ELSE -1 END AS sg FROM ret LEFT JOIN feat f ON f.symbol = ret.symbol AND f.bar_us = fired_us WHERE rule = ' + chr(39) + 'one_sided_flow' + chr(39), 'sg * {x}')}) GROUP BY 1, 2", *_TO["linked"], "ev", "ret"),
     "study_shock": _sql(f"SELECT dataset, horizon, {_STUDY} FROM ({_long(f'SELECT {_SET}, ret_5m, ret_15m, ret_60m, sign(ret_60) AS sg FROM ret LEFT JOIN feat f ON f.symbol = ret.symbol AND f.bar_us = fired_us WHERE rule = ' + chr(39) + 'price_shock' + chr(39), 'sg * {x}')}) GROUP BY 1, 2", *_TO["linked"], "ev", "ret"),

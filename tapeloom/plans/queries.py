@@ -307,35 +307,55 @@ def alerts_by_rule(spark, d):
     return E.alerts_by_rule(Tape(spark, d).linked())
 
 
-_RUNS = "SELECT * FROM VALUES (DATE'2024-01-15', 'r1', 'completed', TIMESTAMP_NTZ'2024-01-16 01:00:00'), (DATE'2024-01-15', 'r2', 'completed', TIMESTAMP_NTZ'2024-01-16 02:00:00'), (DATE'2024-01-16', 'r3', 'failed', TIMESTAMP_NTZ'2024-01-17 01:00:00'), (DATE'2024-01-17', 'r4', 'completed', TIMESTAMP_NTZ'2024-01-18 01:00:00') AS t(trade_date, run_id, status, finished_at)"
-_BRIEFS = "SELECT * FROM VALUES (DATE'2024-01-15', 'r1', 'written', TIMESTAMP_NTZ'2024-01-16 03:00:00'), (DATE'2024-01-15', 'r2', 'awaiting_analyst', TIMESTAMP_NTZ'2024-01-16 04:00:00'), (DATE'2024-01-17', 'r4', 'quiet', TIMESTAMP_NTZ'2024-01-18 03:00:00') AS t(trade_date, run_id, status, created_at)"
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """Bookkeeping rows made of the events: each day's rows of a third of the users are a run."""
+    e = events(spark, d).select(F.to_date("ts").alias("trade_date"), F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), (F.col("user_id") % 3).cast("string")).alias("run_id"), "ts", "event_type")
+    g = e.groupBy("trade_date", "run_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("finished_at"), F.max(F.when(F.col("event_type") == "error", F.col("ts"))).alias("created_at"))
+    return g.withColumn("status", F.when(F.col("n") % 4 == 0, "failed").otherwise("completed")).withColumn("bronze_purged_at", F.when(F.col("n") % 5 == 0, F.col("finished_at")))
+
+
+def _briefings(runs: DataFrame) -> DataFrame:
+    """Briefings of the runs that have an error event."""
+    kind = F.when(F.col("n") % 3 == 0, "written").when(F.col("n") % 3 == 1, "quiet").otherwise("awaiting_analyst")
+    return runs.where("created_at is not null").select("trade_date", "run_id", kind.alias("status"), "created_at")
 
 
 def official_runs(spark, d):
-    return briefing.official_runs(spark.sql(_RUNS)).select(F.col("trade_date").cast("string"), "run_id")
+    return briefing.official_runs(_runs(spark, d)).select(F.col("trade_date").cast("string"), "run_id")
 
 
 def audit_list(spark, d):
-    return spark.sql(_RUNS).orderBy(F.col("finished_at").desc()).limit(3).select("run_id", "status")
+    return _runs(spark, d).orderBy(F.col("finished_at").desc(), "run_id").limit(30).select("run_id", "status")
 
 
 def retention_candidates(spark, d):
-    runs = spark.sql("SELECT * FROM VALUES ('a', DATE'2024-01-01', CAST(NULL AS TIMESTAMP_NTZ)), ('b', DATE'2024-01-01', TIMESTAMP_NTZ'2024-01-09 00:00:00'), ('c', DATE'2024-01-08', CAST(NULL AS TIMESTAMP_NTZ)) AS t(run_id, trade_date, bronze_purged_at)")
-    return briefing.retention_candidates(runs, date(2024, 1, 15)).select("run_id")
+    return briefing.retention_candidates(_runs(spark, d), date(2024, 1, 25)).select("run_id")
 
 
 def catchup_days(spark, d):
-    return briefing.without_briefing(briefing.official_runs(spark.sql(_RUNS)), spark.sql(_BRIEFS)).select(F.col("trade_date").cast("string"), "run_id")
+    runs = _runs(spark, d)
+    return briefing.without_briefing(briefing.official_runs(runs), _briefings(runs)).select(F.col("trade_date").cast("string"), "run_id")
+
+
+def official_events(spark, d):
+    """Events of each day's official run, by run."""
+    own = events(spark, d).select(F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), (F.col("user_id") % 3).cast("string")).alias("run_id"), "value")
+    return research.of_official_runs(own, briefing.official_runs(_runs(spark, d))).groupBy("run_id", F.col("trade_date").cast("string").alias("trade_date")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def briefs_join(spark, d):
-    notes = spark.sql("SELECT * FROM VALUES (1, 'sharp move'), (2, 'thin book') AS t(incident_no, note)")
+    """Incidents beside the notes on them: the first answer of the conversation of that number."""
+    talk = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'assistant'")
+    notes = talk.groupBy(F.col("conv_id").alias("incident_no")).agg(F.min_by("text", "turn").alias("note"))
     return Tape(spark, d).incidents().select("incident_no", "symbol").join(notes, "incident_no", "left")
 
 
 def briefing_validation(spark, d):
-    answers = spark.sql("SELECT * FROM VALUES (1, array(1, 2)), (2, array(1, 1, 9)), (3, array(2)) AS t(briefing_id, noted)")
-    wanted = spark.sql("SELECT * FROM VALUES (1, array(1, 2)), (2, array(1, 2)), (3, array(1, 2)), (4, array(5)) AS t(briefing_id, incidents)")
+    """What alerts of a day name as their incidents, against the incidents that opened on that day."""
+    t = Tape(spark, d)
+    day = lambda c: F.floor(F.col(c) / DAY).cast("int").alias("briefing_id")
+    wanted = t.incidents().groupBy(day("opened_us")).agg(F.collect_list("incident_no").alias("incidents"))
+    answers = t.linked().where("incident_no is not null and rule <> 'volume_burst'").groupBy(day("fired_us")).agg(F.collect_list("incident_no").alias("noted"))
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return briefing.validated(answers, wanted).select("briefing_id", join("unknown"), join("missing"), join("duplicate"))
 
@@ -347,8 +367,12 @@ def scope_of(spark, d):
 
 
 def quiet_summary(spark, d):
-    days = spark.sql("SELECT * FROM VALUES (DATE'2024-01-15', array('click', 'view'), 0, 4), (DATE'2024-01-16', array('click'), 2, 9) AS t(trade_date, symbols, incidents, alerts)")
-    return briefing.quiet_summary(days).select(F.col("trade_date").cast("string"), "summary")
+    t = Tape(spark, d)
+    day = lambda c: F.floor(F.col(c) / DAY).alias("day")
+    days = t.scored().groupBy(day("bar_us")).agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    found = days.join(t.incidents().groupBy(day("opened_us")).agg(F.count(F.lit(1)).alias("incidents")), "day", "left").join(t.linked().groupBy(day("fired_us")).agg(F.count(F.lit(1)).alias("alerts")), "day", "left")
+    rows = found.select(F.date_add(F.lit(date(1970, 1, 1)), F.col("day").cast("int")).alias("trade_date"), "symbols", F.coalesce("incidents", F.lit(0)).alias("incidents"), F.coalesce("alerts", F.lit(0)).alias("alerts"))
+    return briefing.quiet_summary(rows).select(F.col("trade_date").cast("string"), "summary")
 
 
 def forward_returns(spark, d):
@@ -365,7 +389,7 @@ def controls_sample(spark, d):
     return research.sampled_controls(t.study_events(), research.control_pool(t.steps(), t.study_events()))
 
 
-def _split(df: DataFrame, t: Tape) -> DataFrame:
+def _split(df: DataFrame, t: "Tape") -> DataFrame:
     """With dataset: the last third of the scored days is the holdout."""
     days = t.scored().select(F.floor(F.col("bar_us") / DAY).alias("trade_date"))
     split = F.broadcast(research.split_day(days))  # one row
@@ -395,11 +419,41 @@ def study_shock(spark, d):
     return _study_columns(research.study(rows, ["dataset"], F.signum("ret_60")))
 
 
+def _study_rows(t: Tape) -> DataFrame:
+    at = t.features().select("symbol", F.col("bar_us").alias("fired_us"), "sell_share_120", "ret_60")
+    return _split(t.returns(), t).join(at, ["symbol", "fired_us"], "left")
+
+
+def study_controls(spark, d):
+    """Moves after the control minutes of each rule's alerts."""
+    t = Tape(spark, d)
+    e = t.study_events()
+    found = research.control_means(_split(e, t), research.sampled_controls(e, research.control_pool(t.steps(), e)), t.steps(), ["rule", "dataset"])
+    return found.select("rule", "dataset", "horizon", "controls", _near("control"))
+
+
+def study_table(spark, d):
+    t = Tape(spark, d)
+    e = t.study_events()
+    return research.study_table(staged(_study_rows(t), "study"), staged(research.sampled_controls(e, research.control_pool(t.steps(), e)), "controls"), t.steps())
+
+
+def event_log(spark, d):
+    t = Tape(spark, d)
+    return rules.event_log(t.incidents(), t.linked(), t.features())
+
+
+def alert_features(spark, d):
+    t = Tape(spark, d)
+    f = rules.with_features(t.linked(), t.features())
+    return f.select("alert_no", *[F.get_json_object("features", f"$.{c}").cast("double").alias(c) for c in ("close", "vol_60")])
+
+
 def bootstrap_ci(spark, d):
     t = Tape(spark, d)
     one = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.abs(F.col(f"ret_{h}m")).alias("ret")) for h in research.HORIZONS]))
-    rows = _split(t.returns(), t).select("rule", "dataset", one.alias("r")).select("rule", "dataset", "r.*")
-    return research.bootstrap_ci(rows, ["rule", "dataset", "horizon"], "ret")
+    rows = _split(t.returns(), t).select("rule", "dataset", "event_id", one.alias("r")).select("rule", "dataset", "r.*", F.concat_ws(":", "event_id", "r.horizon").alias("id"))
+    return research.bootstrap_ci(rows, ["rule", "dataset", "horizon"], "ret", row_id="id")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
@@ -408,4 +462,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     alerts, incidents, incident_events, incident_rules, incident_extremes, incident_flow, price_after, other_symbol, overlap_pairs, alert_timeline, incident_evidence,
     trade_concentration, day_summary, alerts_by_rule, official_runs, audit_list, retention_candidates, catchup_days, briefs_join, briefing_validation, scope_of, quiet_summary,
     forward_returns, control_pool, controls_sample, study_size, study_direction, study_shock, bootstrap_ci,
+    official_events, study_controls, study_table, event_log, alert_features,
 )}

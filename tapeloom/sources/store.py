@@ -13,6 +13,7 @@ SCHEMAS = {
     "bronze/trade_events": ("run_id string, batch_id int, symbol string, agg_trade_id long, price decimal(18,8), quantity decimal(18,8), first_trade_id long, last_trade_id long, is_buyer_maker boolean, event_us long, arrival_us long, ingested_at timestamp", ["run_id"]),
     "silver/bars": ("run_id string, lateness_s double, step_s int, symbol string, bar_us long, open decimal(18,8), high decimal(18,8), low decimal(18,8), close decimal(18,8), volume decimal(24,8), quote_volume decimal(28,8), sell_volume decimal(24,8), trade_count long, emitted_us long", ["run_id", "lateness_s", "step_s"]),
     "silver/late_trades": ("run_id string, lateness_s double, symbol string, agg_trade_id long, event_us long, arrival_us long, watermark_us long", ["run_id", "lateness_s"]),
+    "silver/builds": ("run_id string, lateness_s double, built_at timestamp, trades_accepted long, trades_dropped long", ["run_id", "lateness_s"]),
     "reference/klines": ("symbol string, day date, bar_us long, open decimal(18,8), high decimal(18,8), low decimal(18,8), close decimal(18,8), volume decimal(24,8), quote_volume decimal(28,8), trade_count long, taker_buy_volume decimal(24,8)", ["symbol", "day"]),
     "live/bars": ("run_id string, lateness_s double, flush_id long, step_s int, symbol string, bar_us long, open decimal(18,8), high decimal(18,8), low decimal(18,8), close decimal(18,8), volume decimal(24,8), quote_volume decimal(28,8), sell_volume decimal(24,8), trade_count long, active_bars long, vwap decimal(18,8)", ["run_id", "lateness_s", "flush_id"]),
     "live/late_trades": ("run_id string, lateness_s double, flush_id long, symbol string, agg_trade_id long, quantity decimal(18,8), event_us long, arrival_us long, watermark_us long", ["run_id", "lateness_s", "flush_id"]),

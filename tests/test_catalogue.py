@@ -14,7 +14,8 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM '{DIR}/events.parquet'")
+    for table in ("events", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DIR}/{table}.parquet'")
     return con
 
 
@@ -38,4 +39,16 @@ def test_query_equals_sql(spark, db, name):
 
 
 def test_names():
-    assert set(oracle.SQL) <= set(QUERIES) and set(QUERIES) - set(oracle.SQL) == {"bootstrap_ci"}
+    assert set(oracle.SQL) <= set(QUERIES) and set(QUERIES) - set(oracle.SQL) == {"bootstrap_ci", "study_table"}
+
+
+def test_study_table_agrees_with_its_parts(spark):
+    """The table's sizes are those of the study, its intervals hold its means, and counts and controls are there."""
+    table = {(r.section, r.signal, r.split, r.horizon): r for r in QUERIES["study_table"](spark, DIR).collect()}
+    size = {(r.rule, r.dataset, r.horizon): r for r in QUERIES["study_size"](spark, DIR).where("n > 0").collect()}
+    assert {k[1:] for k in table if k[0] == "size"} == set(size)
+    for k, r in table.items():
+        assert r.n < 5 or r.ci_lo <= r.value <= r.ci_hi
+        assert (r.control is None) == (k[0] != "size") and (r.hit_rate is None) == (k[0] == "size")
+        if k[0] == "size":
+            assert abs(r.value - size[k[1:]].mean) < 1e-5

@@ -207,6 +207,130 @@ def test_daily_job(spark, tmp_path):
         raise FileNotFoundError("no file")
 
     assert daily.run_day(spark, store, date(2024, 1, 16), gone, profile, book) == "source_missing"
+    assert daily.run_days(lambda day, force: "completed", ["--date", "2024-01-16"]) == 0
+    asked = []
+    job = lambda day, force: asked.append((day.day, force)) or ("failed" if day.day == 12 else "skipped")
+    assert daily.run_days(job, ["--force"], today=date(2024, 1, 16)) == 1 and asked == [(k, True) for k in range(9, 16)]
+
+
+def test_daily_job_with_candles_and_rules(spark, tmp_path):
+    """A day that fires: detection by the closing batch, features, events, counts, reconciliation, audit, study inputs."""
+    import json
+
+    from tapeloom.plans import daily
+
+    store, day, base = Store(spark, str(tmp_path)), date(2024, 1, 15), int(datetime(2024, 1, 15).timestamp()) * SECOND
+    price = lambda k: Decimal(100 if k < 700 else 130)
+    rows = [("x", k, price(k), Decimal(1 if k < 700 else 9), k, k, k % 2 == 0, base + k * SECOND + 1000) for k in range(0, 2400) if not 706 <= k < 712]
+    schema = "symbol string, agg_trade_id long, price decimal(18,8), quantity decimal(18,8), first_trade_id long, last_trade_id long, is_buyer_maker boolean, event_us long"
+    trades = spark.createDataFrame(rows, schema)
+    candles = B.trade_bars(trades, MINUTE).select("symbol", F.col("bar_us").alias("open_us"), "open", "high", "low", "close", "volume", "quote_volume", "trade_count", (F.col("volume") - F.col("sell_volume")).cast("decimal(24,8)").alias("taker_buy_volume"))
+    asked = []
+
+    def candles_of(symbol, d):
+        asked.append(d)
+        back = (date(2024, 1, 15) - d).days * 86_400 * SECOND
+        return candles.withColumn("open_us", F.col("open_us") - back).withColumn("close", (100 + F.pmod(F.floor(F.col("open_us") / MINUTE), F.lit(3)) * 0.01).cast("decimal(18,8)"))
+
+    profile = lambda d: daily.profile_of(store, ["x"], d, candles_of)
+    book = rules.RuleBook.parse()
+    assert daily.run_day(spark, store, day, lambda d: trades, profile, book, candles=lambda d: candles) == "completed"
+    assert len(asked) == 7 and store.read("reference/klines").select("day").distinct().count() == 8
+    daily.load_candles(store, candles)
+    audit = store.read("ops/daily_runs").first()
+    assert audit.minutes_checked == audit.minutes_matching == 40 and audit.trades == len(rows) and audit.alerts == store.read("ops/alerts").count() > 0
+    alerts = {r.rule: r for r in store.read("ops/alerts").collect()}
+    emitted = {r.bar_us: r.emitted_us for r in store.read("silver/bars").where("step_s = 1").collect()}
+    shock = alerts["price_shock"]
+    assert shock.fired_us == base + 700 * SECOND and shock.detected_us == emitted[shock.fired_us] >= shock.fired_us + 11 * SECOND
+    assert json.loads(shock.features)["ret_60"] == 0.3 and json.loads(shock.features)["ret_60_z"] is None
+    inc = store.read("ops/incidents").first()
+    assert inc.alert_count == sum(a.incident_no == 1 for a in alerts.values()) and inc.detected_us == shock.detected_us and inc.status == "resolved"
+    log = {r.event: r for r in store.read("ops/incident_events").where("event <> 'alert_attached'").collect()}
+    assert log["opened"].detected_us == shock.detected_us and log["resolved"].detected_us == emitted[log["resolved"].at_us] and log["resolved"].at_us == inc.resolved_us
+    run = store.read("ops/rule_runs").first()
+    assert run.rules_text == book.text and run.incidents == 1 and run.steps_evaluated == 2400
+    state = daily.runs(store).first()
+    assert state.status == "completed" and state.events_emitted == len(rows) and state.symbols == ["x"]
+    briefing.mark_incidents(store, run.run_id, "analysed")
+    assert store.read("ops/incidents").first().agent_status == "analysed" and not [p for p in tmp_path.iterdir() if p.name.startswith("_staged")]
+    official = briefing.official_runs(store.read("ops/daily_runs"))
+    assert research.of_official_runs(store.read("ops/alerts"), official).where(F.col("trade_date") == F.lit(day)).count() == len(alerts)
+    with pytest.raises(ValueError):
+        store.append("ops/alerts", spark.createDataFrame([("r", 1)], "run_id string, unheard_of int"))
+
+
+@pytest.mark.parametrize("block", [200, 14_400])
+def test_blocks_change_nothing(spark, block):
+    """Grids, known times and features by blocks, against one pass over each symbol's rows."""
+    rng = random.Random(3)
+    at = {s: sorted(rng.sample(range(50, 1500), 60)) for s in "xy"}
+    at["y"] = [t + 700 for t in at["y"]]
+    rows = [(s, t * SECOND, Decimal(100 + t % 17), Decimal(t % 5), Decimal(t % 3), (t + rng.randint(1, 9)) * SECOND) for s in at for t in at[s]]
+    bars = spark.createDataFrame(rows, "symbol string, bar_us long, close decimal(18,8), volume decimal(24,8), sell_volume decimal(24,8), emitted_us long").cache()
+    grid = X.dense_grid(bars, SECOND, block=block)
+    known = {}
+    for r in rows:
+        known[r[1]] = min(known.get(r[1], r[5]), r[5])
+    horizon, want = max(r[1] for r in rows), []
+    for s in at:
+        close = None
+        for t in range(at[s][0], horizon // SECOND + 1):
+            own = next((r for r in rows if r[0] == s and r[1] == t * SECOND), None)
+            close = float(own[2]) if own else close
+            want.append((s, t * SECOND, close, float(own[3]) if own else 0.0, known[min(k for k in known if k >= t * SECOND)]))
+    got = X.known_at(grid, bars, SECOND, block).collect()
+    assert sorted((r.symbol, r.bar_us, r.close, float(r.volume), r.known_us) for r in got) == sorted(want)
+    profile = spark.createDataFrame([("x", 0, 1.0, 0.01)], "symbol string, hour int, volume_median double, ret_std double")
+    by = {}
+    for s, t, c, v, _ in want:
+        by.setdefault(s, []).append((t, c, v))
+    for r in X.features(grid, profile, SECOND, block).collect():
+        i = (r.bar_us - by[r.symbol][0][0]) // SECOND
+        series = by[r.symbol]
+        assert r.vol_120 == (sum(x[2] for x in series[i - 119 : i + 1]) if i >= 119 else None)
+        assert r.ret_60 == (pytest.approx(series[i][1] / series[i - 60][1] - 1) if i >= 60 else None)
+
+
+def test_long_medians_by_blocks(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"symbol": "x", "bar_us": np.arange(5000) * SECOND, "ret_60": rng.normal(size=5000), "vol_60": rng.random(5000), "vol_120": rng.random(5000)})
+    got = X.rolling_features(spark.createDataFrame(pdf), 300, 100, SECOND, 420).toPandas().sort_values("bar_us")
+    want = pdf["vol_120"] / pdf["vol_120"].rolling(300, min_periods=100).median().shift(120)
+    np.testing.assert_allclose(got["vol_120_ratio"].astype(float), want, rtol=1e-12)
+    z = pdf["ret_60"] / pdf["ret_60"].rolling(300, min_periods=100).std().shift(60)
+    np.testing.assert_allclose(got["ret_60_z"].astype(float), z, rtol=1e-8)
+
+
+def test_interval_joins(spark):
+    from tapeloom.operators import intervals
+
+    rng = random.Random(1)
+    spans = [(k, rng.choice("xy"), a, a + rng.choice([-1, 0, 5, 30, 200])) for k, a in enumerate(rng.choices(range(-50, 300), k=60))]
+    points = [(rng.choice("xy"), t) for t in rng.choices(range(-60, 520), k=200)]
+    s, p = spark.createDataFrame(spans, "k int, symbol string, a long, b long"), spark.createDataFrame(points, "symbol string, t long")
+    got = sorted((r.k, r.symbol, r.t) for r in intervals.within(s, p, "a", "b", "t", ["symbol"], 40).collect())
+    assert got == sorted((k, x, t) for k, x, a, b in spans for y, t in points if x == y and a <= t <= b)
+    left = s.where("a <= b").selectExpr("k", "a as l_start", "b as l_end")
+    got = sorted((r.k, r.k2) for r in intervals.overlapping(left, left.selectExpr("k as k2", "l_start as r_start", "l_end as r_end"), 40).collect())
+    assert got == sorted((k, m) for k, _, a, b in spans for m, _, c, d in spans if a <= b and c <= d and a <= d and c <= b)
+
+
+def test_bootstrap_is_near_resampling_and_agrees_on_reruns(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).gamma(2.0, size=400)
+    rows = spark.createDataFrame([("a", k, float(v)) for k, v in enumerate(x)] + [("b", k, None) for k in range(9)], "k string, id int, x double")
+    ci = lambda parts: {r.k: (r.ci_lo, r.ci_hi) for r in research.bootstrap_ci(rows.repartition(parts), ["k"], "x", 2000, row_id="id").collect()}
+    one = ci(1)
+    rng = np.random.default_rng(2)
+    lo, hi = np.percentile([rng.choice(x, len(x)).mean() for _ in range(2000)], [2.5, 97.5])
+    assert abs(one["a"][0] - lo) < 0.03 and abs(one["a"][1] - hi) < 0.03 and one["b"] == (None, None)
+    again = ci(5)
+    assert one["a"] == pytest.approx(again["a"]) and again["b"] == (None, None)
 
 
 def test_stream_bars_equal_batch(spark, tmp_path):
