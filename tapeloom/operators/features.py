@@ -53,22 +53,25 @@ def _block(time: Column, span: int) -> Column:
     return F.floor(time / F.lit(span))
 
 
-def carried(rows: DataFrame, time: str, value: str, span: int, keys: tuple[str, ...] = (), back: bool = False) -> DataFrame:
-    """rows with nulls of value filled by the last value before (back: the first one after) of the same keys.
+def _laid_out(spans: DataFrame, sparse: DataFrame, value: str, step: int, block: int, keys: tuple[str, ...] = (), back: bool = False) -> DataFrame:
+    """(keys, bar_us, value) at every step from `first` to `last` of each span (keys, first, last): the value of sparse (keys,
+    bar_us, value) at the step, else the last one before it (back: the first one after).
 
-    Blocks of `span` are filled on their own; what goes over from block to block is one row a block, so no task holds a
-    whole series.
+    Blocks are laid out first and take what comes over from other blocks, one row a block; then their steps, which are
+    filled within the block. No task holds a whole series.
     """
-    rows = rows.withColumn("_block", _block(F.col(time), span))
-    pick, ends = (F.first, F.min_by) if back else (F.last, F.max_by)
-    own = Window.partitionBy(*keys, "_block").orderBy(time)
-    own = own.rowsBetween(0, Window.unboundedFollowing) if back else own.rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.groupBy(*keys, "_block").agg(ends(value, F.when(F.col(value).isNotNull(), F.col(time))).alias("_edge"))
-    over = Window.partitionBy(*keys).orderBy("_block")  # one row a block
-    over = over.rowsBetween(1, Window.unboundedFollowing) if back else over.rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.select(*keys, "_block", pick("_edge", ignorenulls=True).over(over).alias("_over"))
-    filled = rows.withColumn(value, pick(value, ignorenulls=True).over(own)).join(edge, [*keys, "_block"])
-    return filled.withColumn(value, F.coalesce(value, "_over")).drop("_block", "_over")
+    span = block * step
+    # back to front where values come from behind: a frame that only grows is read once
+    ends, along = (F.min_by, lambda c: F.col(c).desc()) if back else (F.max_by, F.col)
+    blocks = spans.select(*keys, "first", "last", F.explode(F.sequence(_block(F.col("first"), span), _block(F.col("last"), span))).alias("_block"))
+    edge = sparse.groupBy(*keys, _block(F.col("bar_us"), span).alias("_block")).agg(ends(value, "bar_us").alias("_edge"))
+    over = Window.partitionBy(*keys).orderBy(along("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.join(edge, [*keys, "_block"], "left").withColumn("_over", F.last("_edge", ignorenulls=True).over(over))
+    start = F.col("_block") * span
+    steps = blocks.select(*keys, "_block", "_over", F.explode(F.sequence(F.greatest("first", start), F.least("last", start + span - step), F.lit(step))).alias("bar_us"))
+    own = Window.partitionBy(*keys, "_block").orderBy(along("bar_us")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = steps.join(sparse.select(*keys, "bar_us", F.col(value).alias("_own")), [*keys, "bar_us"], "left")
+    return joined.select(*keys, "bar_us", F.coalesce(F.last("_own", ignorenulls=True).over(own), "_over").alias(value))
 
 
 def with_halo(rows: DataFrame, time: str, step: int, halo: int, block: int = BLOCK) -> DataFrame:
@@ -83,31 +86,24 @@ def with_halo(rows: DataFrame, time: str, step: int, halo: int, block: int = BLO
 
 def dense_grid(bars: DataFrame, step: int, to_us: int | None = None, block: int = BLOCK) -> DataFrame:
     """Each symbol's bars at every step from its first bar to the horizon of all (or to_us): close carried forward,
-    volumes 0 where nothing traded. Blocks are laid out first, then their steps."""
-    span = block * step
-    last = F.lit(to_us) if to_us is not None else F.col("horizon")
+    volumes 0 where nothing traded."""
     spans = bars.groupBy("symbol").agg(F.min("bar_us").alias("first"))
     if to_us is None:
-        spans = spans.crossJoin(F.broadcast(bars.agg(F.max("bar_us").alias("horizon"))))  # one row
-    blocks = spans.select("symbol", "first", last.alias("last"), F.explode(F.sequence(_block(F.col("first"), span), _block(last, span))).alias("_block"))
-    start = F.col("_block") * span
-    grid = blocks.select("symbol", F.explode(F.sequence(F.greatest("first", start), F.least("last", start + span - step), F.lit(step))).alias("bar_us"))
-    joined = grid.join(bars.select("symbol", "bar_us", F.col("close").cast("double").alias("close"), F.col("volume").alias("v"), F.col("sell_volume").alias("s")), ["symbol", "bar_us"], "left")
-    zero = F.lit(0).cast("decimal(24,8)")
-    return carried(joined, "bar_us", "close", span, ("symbol",)).select("symbol", "bar_us", "close", F.coalesce("v", zero).alias("volume"), F.coalesce("s", zero).alias("sell_volume"))
+        spans = spans.crossJoin(F.broadcast(bars.agg(F.max("bar_us").alias("last"))))  # one row
+    else:
+        spans = spans.withColumn("last", F.lit(to_us))
+    row = F.struct(F.col("close").cast("double").alias("close"), F.col("bar_us").alias("at"), "volume", "sell_volume").alias("row")
+    grid = _laid_out(spans, bars.select("symbol", "bar_us", row), "row", step, block, ("symbol",))
+    traded = lambda c: F.when(F.col("row.at") == F.col("bar_us"), F.col(f"row.{c}")).otherwise(F.lit(0).cast("decimal(24,8)")).alias(c)
+    return grid.select("symbol", "bar_us", F.col("row.close").alias("close"), traded("volume"), traded("sell_volume"))
 
 
 def known_at(grid: DataFrame, bars: DataFrame, step: int, block: int = BLOCK) -> DataFrame:
-    """grid with known_us: when the step was known, which for steps without a bar is when the next bar was."""
+    """grid with known_us: when the step was known, which for steps without a bar is when the next bar was; null after the
+    last bar."""
     first = bars.groupBy("bar_us").agg(F.min("emitted_us").alias("known_us"))
-    times = grid.select("bar_us").distinct().join(first, "bar_us", "left")
-    return grid.join(carried(times, "bar_us", "known_us", block * step, back=True), "bar_us")
-
-
-def _full(name: str, rows: int, order) -> Column:
-    """Sum of the last rows, null until there are as many; in decimals, so that any order of adding agrees."""
-    frame = order.rowsBetween(-(rows - 1), 0)
-    return F.when(F.count(name).over(frame) >= rows, F.sum(name).over(frame)).cast("double")
+    spans = bars.agg(F.min("bar_us").alias("first"), F.max("bar_us").alias("last")).where("first is not null")
+    return grid.join(_laid_out(spans, first, "known_us", step, block, back=True), "bar_us", "left")
 
 
 def features(grid: DataFrame, profile: DataFrame, step: int = SECOND, block: int = BLOCK) -> DataFrame:
@@ -117,8 +113,11 @@ def features(grid: DataFrame, profile: DataFrame, step: int = SECOND, block: int
     bounded row frames of a symbol's block of time; the profile is a small table that Spark may broadcast by its size.
     """
     order = Window.partitionBy("symbol", "_block").orderBy("bar_us")
-    f = with_halo(grid, "bar_us", step, 120, block).withColumn("ret_60", ratio(F.col("close"), F.lag("close", 60).over(order)) - 1)
-    f = f.withColumn("vol_60", _full("volume", 60, order)).withColumn("vol_120", _full("volume", 120, order)).withColumn("sell_120", _full("sell_volume", 120, order))
+    sums = lambda c: F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    f = with_halo(grid, "bar_us", step, 120, block).withColumns({"ret_60": ratio(F.col("close"), F.lag("close", 60).over(order)) - 1, "_v": sums("volume"), "_s": sums("sell_volume"), "_place": F.row_number().over(order)})
+    # sums of the last rows as differences of running ones: decimals, so exact
+    last = lambda c, n: F.when(F.col("_place") == n, F.col(c)).when(F.col("_place") > n, F.col(c) - F.lag(c, n).over(order)).cast("double")
+    f = f.withColumns({"vol_60": last("_v", 60), "vol_120": last("_v", 120), "sell_120": last("_s", 120)}).drop("_v", "_s", "_place")
     f = f.withColumn("sell_share_120", ratio(F.col("sell_120"), F.col("vol_120"))).where("_own").drop("_block", "_own").withColumn("hour", hour_of(F.col("bar_us")))
     keys = ["symbol", "hour"]
     if "day" in profile.columns:
