@@ -89,14 +89,14 @@ def stream_alerts(conditions: DataFrame, clear_after_s: int = 60) -> DataFrame:
 
 def flush_tape(store: Store, run_id: str, lateness_s: float, step_us: int, up_us: int) -> Callable[[DataFrame, int], None]:
     """A sink for stream_tape: each batch's bars and late trades to their tables, as the flush of that batch. A batch that
-    comes again replaces its own flush, so the tables stay as they are."""
+    comes again replaces its own flush, so the tables stay as they are. A symbol's end is a row of step 0 among the bars."""
 
     def write(rows: DataFrame, flush_id: int) -> None:
         rows = rows.persist()
         keyed = rows.withColumns({"run_id": F.lit(run_id), "lateness_s": F.lit(float(lateness_s)), "flush_id": F.lit(flush_id)})
-        step = F.when(F.col("kind") == "bar", step_us // 1_000_000).otherwise(up_us // 1_000_000).alias("step_s")
+        step = F.when(F.col("kind") == "bar", step_us // 1_000_000).when(F.col("kind") == "larger", up_us // 1_000_000).otherwise(0).alias("step_s")
         bars = [c for c in stateful.names(stateful.TAPE_OUT) if c not in ("kind", "agg_trade_id", "quantity", "event_us", "arrival_us", "watermark_us")]
-        store.replace("live/bars", keyed.where("kind in ('bar', 'larger')").select("run_id", "lateness_s", "flush_id", step, *bars))
+        store.replace("live/bars", keyed.where("kind <> 'late'").select("run_id", "lateness_s", "flush_id", step, *bars))
         late = ["symbol", "agg_trade_id", "quantity", "event_us", "arrival_us", "watermark_us"]
         store.replace("live/late_trades", keyed.where("kind = 'late'").select("run_id", "lateness_s", "flush_id", *late))
         rows.unpersist()
@@ -212,6 +212,8 @@ def start_live(
     start = lambda stream, write, name: stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/{name}").trigger(processingTime=f"{trigger_s} seconds").start()
     tape = stateful.stream_tape(trades, lateness_s, step_us, up_us, first_up_us)
     bars = start(tape, flush_tape(store, run_id, lateness_s, step_us, up_us), "bars")
-    closed = store.stream("live/bars", run_id=run_id, lateness_s=float(lateness_s)).where(F.col("step_s") == step_us // 1_000_000)
-    found = stateful.stream_incidents(conditions_of(closed), step_us, resolve_after_s, lookback_s)
+    written = store.stream("live/bars", run_id=run_id, lateness_s=float(lateness_s))
+    true = conditions_of(written.where(F.col("step_s") == step_us // 1_000_000))
+    ends = written.where("step_s = 0").select("symbol", F.col("bar_us").alias("t_us"), F.lit("").alias("rule"), F.lit(-1).alias("place"), F.lit(True).alias("closing"))
+    found = stateful.stream_incidents(true.unionByName(ends, allowMissingColumns=True), step_us, resolve_after_s, lookback_s)
     return LiveRun(spark, [bars, start(found, flush_rules(store, run_id), "rules")], listener)

@@ -54,22 +54,26 @@ class Bars(StatefulProcessor):
 
     A trade whose bar ended at or before the watermark that its batch met comes out as kind "late" with that watermark.
     Larger bars before first_up_us, that of the tape's earliest trade in its first batch, are never given out. Rows
-    marked as closing move the watermark and are no trades.
+    marked as closing move the watermark and are no trades; after a symbol's last bars comes a row of kind "closing" with
+    the last step of the tape.
     """
 
-    def __init__(self, step_us: int, up_us: int, first_up_us: int):
-        self.step, self.up, self.first_up = step_us, up_us, first_up_us
+    def __init__(self, step_us: int, up_us: int, first_up_us: int, lateness_us: int):
+        self.step, self.up, self.first_up, self.lateness = step_us, up_us, first_up_us, lateness_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.out = handle, _rows(TAPE_OUT)
         self.bars = handle.getMapState("bars", "bar_us long", _BAR)
         self.larger = handle.getMapState("larger", "bar_us long", _UP)
+        self.end = handle.getValueState("end", "mark_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         fresh: dict[int, list] = {}
         for r in rows:
-            if r.closing:
+            if r.closing:  # its time is the last trade's plus the lateness and a larger bar
+                self.end.update((r.event_us - self.lateness,))
+                self.handle.registerTimer((r.event_us - self.lateness) // 1000)
                 continue
             bar = r.event_us - r.event_us % self.step
             if bar + self.step <= mark:
@@ -105,6 +109,9 @@ class Bars(StatefulProcessor):
             x = self.larger.getValue((up,))
             self.larger.removeKey((up,))
             yield self._bar("larger", key, up, x, x[9], x[10])
+        if self.end.exists() and (mark := self.end.get()[0]) // 1000 == end // 1000:
+            last = mark - self.up
+            yield self.out(kind="closing", symbol=key[0], bar_us=last - last % self.step)
 
     def _roll(self, bar: int, x) -> None:
         up = bar - bar % self.up
@@ -130,10 +137,10 @@ class Bars(StatefulProcessor):
 
 def stream_tape(trades: DataFrame, lateness_s: float, step_us: int, up_us: int, first_up_us: int) -> DataFrame:
     """A stream of trades (symbol, agg_trade_id, price, quantity, is_buyer_maker, event_us, arrival_us, closing) as bars, larger
-    bars and late trades, told apart by kind. Needs STATE_STORE in the session."""
+    bars, late trades and the symbol's end, told apart by kind. Needs STATE_STORE in the session."""
     units = lambda c: (F.col(c) * 100_000_000).cast("long")
     rows = trades.select("symbol", "agg_trade_id", units("price").alias("ticks"), units("quantity").alias("units"), "is_buyer_maker", "event_us", "arrival_us", F.coalesce("closing", F.lit(False)).alias("closing"))
-    out = watermarked(rows, "event_us", lateness_s).groupBy("symbol").transformWithState(Bars(step_us, up_us, first_up_us), TAPE_OUT, "append", "eventtime")
+    out = watermarked(rows, "event_us", lateness_s).groupBy("symbol").transformWithState(Bars(step_us, up_us, first_up_us, round(lateness_s * 1e6)), TAPE_OUT, "append", "eventtime")
     return out.withColumn("vwap", F.when(F.col("kind") == "larger", F.try_divide(F.col("quote_volume").cast("double"), F.col("volume").cast("double"))).cast("decimal(18,8)"))
 
 
