@@ -14,11 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import best, clean, distinct_vectors, flatten, pick, query_blocks, shards
+from .vectors import best, clean, distinct_vectors, flatten, one_vector, pick, query_blocks, shards
 
 #: Distinct vectors of a shard: bounds a task's memory and its build time.
 SHARD_ROWS = 8192
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 12, 64, 192
+#: Components up to which SEARCH_WIDTH serves; beyond, nearness tells less and the width grows with their root.
+WIDTH_DIM = 64
+
+
+def width_of(dim: int) -> int:
+    """Nodes held in a search among vectors of so many components."""
+    return max(SEARCH_WIDTH, math.ceil(SEARCH_WIDTH * math.sqrt(dim / WIDTH_DIM)))
 
 
 class Graph:
@@ -138,8 +145,9 @@ class Graph:
             g.add(i)
         return g
 
-    def search(self, q: np.ndarray, width: int = SEARCH_WIDTH) -> np.ndarray:
+    def search(self, q: np.ndarray, width: int | None = None) -> np.ndarray:
         q = q / self.scale - self.mean
+        width = width or width_of(len(q))
         at = [(float(self._distance(np.array([self.entry]), q)[0]), self.entry)]
         for lv in range(int(self.top[self.entry]), 0, -1):
             at = self._layer(q, at, 1, lv)[:1]
@@ -162,9 +170,13 @@ class Graph:
         return g, z["vectors"], z["offsets"], z["ids"]
 
 
+def _taking_part(table: DataFrame) -> DataFrame:
+    return one_vector(clean(table).where(F.exists("v", lambda x: x != 0)))
+
+
 def build_index(table: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
     """Index table (dim, shard, payload) of all vectors, and the shard count of each dimension."""
-    rows = clean(table).where(F.exists("v", lambda x: x != 0))
+    rows = _taking_part(table)
     placed, counts = shards(materialize(distinct_vectors(rows, k + 1), "vectors"), shard_rows)
 
     def build(key: tuple, part: pa.Table) -> pa.Table:
@@ -179,16 +191,16 @@ def build_index(table: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS) ->
     return materialize(index, "hnsw"), counts
 
 
-def nearest(table: DataFrame, every: int = 100, k: int = 10, shard_rows: int = SHARD_ROWS, width: int = SEARCH_WIDTH) -> DataFrame:
+def nearest(table: DataFrame, every: int = 100, k: int = 10, shard_rows: int = SHARD_ROWS, width: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row whose vec_id is divisible by `every`.
 
     Score: Euclidean distance in double precision. Equal vectors are indexed once with their smallest ids, so
     ties go to the smaller vec_id whatever the group's size. Vectors null, zero, empty or with null or
     non-finite components take no part; vectors meet those of their own length only; repeated rows count
-    once; fewer candidates than k give fewer rows; an empty table gives none. Extra columns are not read.
+    once, and of different vectors of one vec_id one counts (`one_vector`), as query and as candidate; fewer candidates than k give fewer rows; an empty table gives none. Extra columns are not read.
     """
     index, counts = build_index(table, k, shard_rows)
-    queries = clean(table).where((F.col("vec_id") % every == 0) & F.exists("v", lambda x: x != 0))
+    queries = _taking_part(table).where(F.col("vec_id") % every == 0)
     tasks = query_blocks(queries, counts).join(index, ["dim", "shard"]).select("dim", "ids", "vectors", "payload")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

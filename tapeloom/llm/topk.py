@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import best, clean, distinct_vectors, flatten, pick, query_blocks, shards
+from .vectors import best, clean, distinct_vectors, flatten, one_vector, pick, query_blocks, shards
 
 SHARD_ROWS = 16384
 #: Runs that a list is read in; candidates left at which reading for all rows stops.
@@ -127,12 +127,13 @@ def top_products(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256
 
     Equal integer vectors are kept once with their smallest ids. Vectors null, empty or with null or
     non-finite components take no part, zero vectors do; scores are exact integers, and components or
-    scores of the result beyond 64 bits are an error, as in SQL; vectors meet those of their own length only; fewer candidates than k give fewer rows; an empty table
+    scores of the result beyond 64 bits are an error, as in SQL; repeated rows count once, and of different vectors of one
+    vec_id one counts (`one_vector`), as query and as candidate; vectors meet those of their own length only; fewer candidates than k give fewer rows; an empty table
     gives none. Extra columns are not read.
     """
     fits = lambda x: F.abs(x * F.lit(float(scale))) < F.lit(float(1 << 63))
     whole = F.transform("v", lambda x: F.when(fits(x), F.floor(x * F.lit(float(scale))).cast("double")).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("double")))
-    rows = clean(table).select("vec_id", whole.alias("v"))
+    rows = one_vector(clean(table)).select("vec_id", whole.alias("v"))
     placed, counts = shards(materialize(distinct_vectors(rows, k + 1), "integers"), shard_rows)
 
     def build(key: tuple, part: pa.Table) -> pa.Table:

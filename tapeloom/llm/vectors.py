@@ -25,6 +25,17 @@ def clean(table: DataFrame) -> DataFrame:
     return table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & valid(F.col("v")))
 
 
+def one_vector(rows: DataFrame) -> DataFrame:
+    """rows (vec_id, v), with one vector for each vec_id: of different vectors that share an id, the one whose hash is
+    smallest counts, wherever it stands.
+
+    Only hashes are grouped; ids with two of them are the rare case, whose table Spark joins by its size.
+    """
+    hashed = rows.withColumn("own", F.xxhash64("v"))
+    spread = hashed.groupBy("vec_id").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("vec_id", "lo")
+    return hashed.join(spread, "vec_id", "left").where("lo is null or own = lo").select("vec_id", "v")
+
+
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     """(dim, h, v, ids): each distinct vector once, with its `keep` smallest ids.
 
