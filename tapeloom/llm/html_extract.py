@@ -3,8 +3,9 @@ hashed attribute tokens, tags above it, depth and siblings; a decoding over the
 has a dropped ancestor.
 
 Trees are trained by Spark's GBTClassifier on a bounded sample of pages (SAMPLE_PAGES) that mark their main
-part themselves (article, main and the like). Half of the training rows lack tags and attributes, so pages
-without such marks are judged by text density, links and place. The trees, a few hundred numbers, are
+part themselves (article, main and the like). Each page is also learnt from in three disguises (`disguised`), mostly without
+those marks: its side parts as div elements with class names or as other side elements (twice), and as div elements without any
+class, the main part in a div or in none. So pages that mark nothing are judged by class names, density, links and place. The trees, a few hundred numbers, are
 broadcast; extraction is one pass.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .tokens import slices
 
-SAMPLE_PAGES, TREES, DEPTH = 400, 24, 4
+SAMPLE_PAGES, TREES, DEPTH = 400, 32, 5
 
 # Element names of HTML by the part that they play.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +48,10 @@ _MARK = re.compile(r"[.,;:!?]")
 _HEAD = set("html head base link meta title style script noscript template".split())
 #: Buckets that attribute tokens are hashed to.
 BUCKETS = 32
+#: Tags whose attribute values never closed a quote, after which a page's tags end at their first ">": each costs a look at the whole rest.
+OPEN_QUOTES = 8
+#: Open elements that one which ends a paragraph, item or cell looks through.
+_PASSED = INLINE | set("p li dd dt td th tr option".split())
 
 
 class Page:
@@ -62,8 +67,32 @@ class Page:
         self._parse(html)
 
     def _parse(self, html: str) -> None:
+        """One pass: where the open elements of each name stand is kept, so that no tag walks over elements that stay open."""
         open_tags: list[tuple[str, int]] = [("#root", 0)]
-        at, end, hidden, links = 0, len(html), 0, 0
+        standing: dict[str, list[int]] = defaultdict(list)  # places in open_tags by name
+        walls = [0]  # places that _PASSED does not hold
+        at, end, hidden, links, open_quotes = 0, len(html), 0, 0, 0
+
+        def opened(name: str, element: int) -> None:
+            standing[name].append(len(open_tags))
+            if name not in _PASSED:
+                walls.append(len(open_tags))
+            open_tags.append((name, element))
+
+        def closed(k: int) -> bool:
+            """Ends the open elements from place k on; whether one of them is a block."""
+            nonlocal hidden, links
+            block = False
+            while len(open_tags) > k:
+                t, _ = open_tags.pop()
+                standing[t].pop()
+                if walls[-1] == len(open_tags):
+                    walls.pop()
+                hidden -= t in UNSEEN
+                links -= t == "a"
+                block |= t not in INLINE
+            return block
+
         while at < end:
             lt = html.find("<", at)
             if lt < 0:
@@ -72,29 +101,22 @@ class Page:
                 self._text(open_tags[-1][1], unescape(html[at:lt]), links > 0)
             if lt == end:
                 break
-            m = _TAG.match(html, lt)
+            m = _TAG.match(html, lt) if open_quotes < OPEN_QUOTES or html.startswith(("<!", "<?"), lt) else None
             if m is None:
                 if not (m := _LOOSE.match(html, lt)):
                     if not hidden:
                         self._text(open_tags[-1][1], "<", links > 0)
                     at = lt + 1
                     continue
+                open_quotes += 1
             at = m.end()
             name = m.group(2)
             if name is None:
                 continue
             name = name.lower()
             if m.group(1):
-                for k in range(len(open_tags) - 1, 0, -1):
-                    if open_tags[k][0] == name:
-                        for t, _ in open_tags[k:]:
-                            hidden -= t in UNSEEN
-                            links -= t == "a"
-                        block = any(t not in INLINE for t, _ in open_tags[k:])
-                        del open_tags[k:]
-                        if block:
-                            self.stream.append((-1, ""))
-                        break
+                if standing[name] and closed(standing[name][-1]):
+                    self.stream.append((-1, ""))
                 continue
             if name in RAW:  # its text is no markup
                 close = re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -106,25 +128,14 @@ class Page:
                 if name == "hr":
                     self.stream.append((-1, ""))
                 continue
-            if name not in _HEAD and len(open_tags) > 1 and any(t == "head" for t, _ in open_tags):  # its end tag may be left out
-                k = next(k for k, (t, _) in enumerate(open_tags) if t == "head")
-                if all(t in _HEAD for t, _ in open_tags[k:]):
-                    hidden -= sum(t in UNSEEN for t, _ in open_tags[k:])
-                    del open_tags[k:]
+            if standing["head"] and name not in _HEAD:  # its end tag may be left out; nothing but what may stand in it is open
+                closed(standing["head"][0])
             if name in _CLOSES_P or name in _SELF_CLOSING:
-                ends = _SELF_CLOSING.get(name) or {"p"}
-                for k in range(len(open_tags) - 1, 0, -1):
-                    t = open_tags[k][0]
-                    if t in ends:
-                        for x, _ in open_tags[k:]:
-                            links -= x == "a"
-                            hidden -= x in UNSEEN
-                        del open_tags[k:]
-                        break
-                    if t not in INLINE and t not in ("p", "li", "dd", "dt", "td", "th", "tr", "option"):
-                        break
+                k = max((standing[t][-1] for t in _SELF_CLOSING.get(name, {"p"}) if standing[t]), default=0)
+                if k > walls[-1]:
+                    closed(k)
             if name in INLINE:
-                open_tags.append((name, open_tags[-1][1]))
+                opened(name, open_tags[-1][1])
                 links += name == "a"
                 continue
             self.stream.append((-1, ""))
@@ -137,7 +148,7 @@ class Page:
             self.parent.append(open_tags[-1][1])
             self.attributes.append(tokens)
             self.links.append(0)
-            open_tags.append((name, len(self.tag) - 1))
+            opened(name, len(self.tag) - 1)
 
     def _text(self, element: int, text: str, link: bool) -> None:
         self.stream.append((element, text))
@@ -161,7 +172,7 @@ class Page:
         whole, link, mark, tags, depth = own.copy(), np.array(self.links, float), marks, np.ones(n), np.zeros(n)
         children: list[list[int]] = [[] for _ in range(n)]
         kind = np.array([[t in g for g in GROUPS] for t in self.tag], float)
-        tokens = np.array([_buckets(a) for a in self.attributes], float)
+        tokens = np.array([(*_buckets(a), not SIDE_TOKENS.isdisjoint(a)) for a in self.attributes], float)
         marks_of = np.concatenate([kind, tokens], axis=1)
         above = np.zeros_like(marks_of)  # of the elements around
         for e in range(1, n):
@@ -207,6 +218,72 @@ class Page:
             y[self.parent[e]] |= y[e]
         return y.astype(float)
 
+    def disguised(self, rng: np.random.Generator, named: bool) -> tuple["Page", list[int]]:
+        """The page as another site would have marked it, and the element here that each of its elements comes from.
+
+        What marks the main part becomes a div, gives way to what it holds, or, with named, may stay. Side parts become
+        div elements with some class name of a side part or other side elements, may hold a paragraph, and may move
+        between the main part's blocks and into its element; some paragraphs of the main part become items, quotes and the like; without named they become div elements without a class.
+        """
+        page, left, into = Page(""), [0], [0] * len(self.tag)
+        names, kinds = sorted(SIDE_TOKENS), ("nav", "header", "footer", "aside", "form")
+        flat, stays, moved = rng.random() < 0.4, named and rng.random() < 0.4, named and rng.random() < 0.6
+        inside = self.inside()
+        page.stream, page.links[0] = [], self.links[0]
+        main, part = 0, [0] * len(self.tag)  # the side part that an element is in
+
+        def add(e: int, tag: str, parent: int, tokens: frozenset, links: int) -> int:
+            left.append(e)
+            page.tag.append(tag)
+            page.parent.append(parent)
+            page.attributes.append(tokens)
+            page.links.append(links)
+            return len(page.tag) - 1
+
+        marks = lambda e: self.tag[e] in GROUPS[5] or "articlebody" in self.attributes[e]
+        sides = [not marks(e) and (any(t in GROUPS[g] for g in (6, 7, 8, 9, 10)) or (named and bool(a & SIDE_TOKENS))) for e, (t, a) in enumerate(zip(self.tag, self.attributes))]
+        for e in range(1, len(self.tag)):
+            part[e] = part[self.parent[e]] or (e if sides[e] else 0)
+        # side parts that move come last, so that the main part's element is there
+        for e in sorted(range(1, len(self.tag)), key=lambda e: moved and part[e] > 0):
+            tag, tokens, parent = self.tag[e], self.attributes[e], into[self.parent[e]]
+            starts, side = marks(e), sides[e]
+            if starts and flat and not stays:
+                into[e] = parent
+                page.links[parent] += self.links[e]
+                continue
+            if starts and not stays:
+                tag, tokens = "div", frozenset()
+            elif side and named and rng.random() < 0.35:
+                tag, tokens = kinds[rng.integers(len(kinds))], frozenset()
+            elif side:
+                tag, tokens = "div", frozenset([names[rng.integers(len(names))]] if named else ())
+            elif inside[e] and tag == "p" and rng.random() < 0.3:
+                tag = ("li", "blockquote", "td", "div", "h2", "pre")[rng.integers(6)]
+                if tag in ("li", "td"):
+                    parent = add(e, "ul" if tag == "li" else "tr", parent, frozenset(), 0)
+            if moved and main and part[e] == e:
+                parent = main
+            into[e] = add(e, tag, parent, tokens, self.links[e])
+            if starts:
+                main = into[e]
+            elif side and named and rng.random() < 0.5:  # its text goes to a paragraph of its own
+                page.links[into[e]] = 0
+                into[e] = add(e, "p", into[e], frozenset(), self.links[e])
+        pieces = [(into[e] if e >= 0 else e, t) for e, t in self.stream]
+        if moved:  # side parts come up between other blocks
+            parts: dict[int, list] = defaultdict(list)
+            rest = []
+            for (e, _), piece in zip(self.stream, pieces):
+                (parts[part[e]] if e >= 0 and part[e] else rest).append(piece)
+            ends = [k for k, (e, _) in enumerate(rest) if e < 0] or [len(rest)]
+            at = sorted(((ends[rng.integers(len(ends))], own) for own in parts.values()), key=lambda x: -x[0])
+            for k, own in at:
+                rest[k:k] = [(-1, ""), *own, (-1, "")]
+            pieces = rest
+        page.stream = pieces
+        return page, left
+
     def decode(self, score: np.ndarray) -> np.ndarray:
         """Elements to keep: the set of greatest total score (log odds for kept, against for dropped) in which every
         kept element's ancestors are kept."""
@@ -236,7 +313,8 @@ class Page:
         return "\n".join(blocks)
 
 
-PLAIN = 2 * (len(GROUPS) + BUCKETS)  # features before this come from tags and attributes
+MARKS = len(GROUPS) + BUCKETS + 1  # of an element: its tag's group, its tokens' buckets, whether a token is one of a side part
+PLAIN = 2 * MARKS  # features before this come from tags and attributes
 
 
 @lru_cache(maxsize=4096)
@@ -248,6 +326,8 @@ def _buckets(tokens: frozenset[str]) -> tuple[bool, ...]:
 def main_text(page: Page, score: np.ndarray) -> str:
     """Text of the decoded elements. A page whose own marks hold text is never empty: where the trees keep nothing of
     it, as may be with a single short paragraph, what it marks is kept."""
+    # the page's own two outer elements hold all of it, so they are no choice
+    score = np.where([t in ("html", "body") for t in page.tag], np.maximum(score, 0), score)
     if (text := page.text(page.decode(score))) or not (inside := page.inside()).any():
         return text
     return page.text(inside)
@@ -291,8 +371,8 @@ class Forest:
 
 def rule(x: np.ndarray) -> np.ndarray:
     """Log odds where no page marks its main text: unlinked text outside of side parts."""
-    around = len(GROUPS) + BUCKETS
-    side = np.maximum(x[:, 6:11], x[:, around + 6 : around + 11]).max(axis=1)
+    around = [6, 7, 8, 9, 10, MARKS - 1]
+    side = np.maximum(x[:, around], x[:, [MARKS + k for k in around]]).max(axis=1)
     link, whole = x[:, PLAIN + 3], x[:, PLAIN + 2]
     return np.where((side > 0) | (link > 0.5), -2.0, np.where(whole > math.log1p(20), 1.0, 0.2))
 
@@ -312,11 +392,14 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Forest | None:
                 page = Page(html)
                 if (y := page.labels()) is None:
                     continue
-                x = page.features()
-                bare = x.copy()
-                bare[:, :PLAIN] = 0
-                both, w = np.concatenate([x, bare]), np.repeat([1.0, 0.25], len(x))
-                yield pa.RecordBatch.from_arrays([pa.array(both.tolist(), pa.list_(pa.float64())), pa.array(np.tile(y, 2)), pa.array(w)], ["x", "label", "weight"])
+                rng = np.random.default_rng(zlib.crc32(html.encode("utf-8", "replace")))
+                forms = [(page.features(), y, 4.0)]
+                for named, weight in ((True, 1.0), (True, 1.0), (False, 0.5)):
+                    other, left = page.disguised(rng, named)
+                    forms.append((other.features(), y[left], weight))
+                x = [row.tolist() for form, _, _ in forms for row in form]
+                labels, w = np.concatenate([y for _, y, _ in forms]), np.concatenate([np.full(len(y), w) for _, y, w in forms])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(labels), pa.array(w)], ["x", "label", "weight"])
 
     data = sample.mapInArrow(rows, "x array<double>, label double, weight double").select(array_to_vector("x").alias("features"), "label", "weight").coalesce(8).cache()  # of at most sample_pages pages
     try:
