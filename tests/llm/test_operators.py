@@ -568,6 +568,32 @@ def test_lines_equal_all_pairs(spark):
     assert [r.text for r in out] == want and len(want) < len(texts) - 100
 
 
+def test_lines_of_one_origin_meet_few_others(spark, monkeypatch):
+    """300 copies of a line, each with more words changed, dropped or added than a link allows: all links are found, and the
+    pairs that are compared stay far under all pairs."""
+    rng = np.random.default_rng(12)
+    base = [f"w{k}" for k in rng.integers(0, 4000, 60)]
+    texts = []
+    for k in range(300):
+        line = list(base)
+        for _ in range(7 + k % 6):
+            at, kind = int(rng.integers(0, len(line))), rng.integers(0, 3)
+            line[at : at + (kind != 1)] = [] if kind == 0 else [f"w{rng.integers(0, 4000)}"]
+        texts.append(" ".join(line))
+    held, materialize = [], line_dedup.materialize
+
+    def counted(df, label):
+        out = materialize(df, label)
+        if label == "pairs":
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_removed = 0").orderBy("doc_id").collect()
+    assert [r.text for r in out] == lines_left(texts)
+    assert sum(held) < 8 * len(texts), held
+
+
 def test_lines_keep_numbers(spark):
     """Lines that differ in numbers only are not one line; equal ones are."""
     rows = [(1, "Sales in 2019 were 4,112 units"), (2, "Sales in 2020 were 977 units"), (3, "sales in 2019: were 4.112 units!")]
