@@ -23,6 +23,8 @@ from .vectors import best, clean, distinct_vectors, flatten, one_vector, pick, q
 SHARD_ROWS = 16384
 #: Runs that a list is read in; candidates left at which reading for all rows stops.
 STEPS, FEW = 16, 64
+#: Parts of the lists at whose ends, from a half on, a block of queries is looked at; queries of such a block.
+DEPTHS, TOGETHER = 4, 64
 #: Entries of a run at least.
 LEAST = 128
 #: Rows of a shard that are searched first, so that the rest starts from their k-th best score.
@@ -91,6 +93,44 @@ def read_lists(lists: tuple[np.ndarray, np.ndarray, np.ndarray], q: np.ndarray,
     return rows, _rest(order, values, q, rows, got, *ends), at * d
 
 
+def read_block(lists: tuple[np.ndarray, np.ndarray, np.ndarray], qs: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, scores) of each of the queries, as read_lists gives them: the lists are read in step to a few common depths, and what a
+    run adds to sums and bounds is one product for all queries, with the entries that were not met as zeros.
+
+    floors: for each query a score that k rows elsewhere reach already.
+    """
+    order, values, place = lists
+    d, n = order.shape
+    entries = np.take_along_axis(values, place.astype(np.int64), axis=1)
+    up, down = np.minimum(qs, 0), np.maximum(qs, 0)
+    slack = 1e-4 * np.maximum(np.abs(values[:, 0] * qs), np.abs(values[:, -1] * qs)).sum(axis=1)
+    found: list = [None] * len(qs)
+    left = np.arange(len(qs))
+    for at in (*(n * part // DEPTHS for part in range(DEPTHS // 2, DEPTHS) if n > 4 * max(FEW, k)), n):
+        low, high = place < at, place >= n - at
+        got = down[left] @ np.where(high, entries, 0) + up[left] @ np.where(low, entries, 0)
+        if at == n:
+            for i, own in zip(left, got):
+                rows = np.flatnonzero(own >= max(floors[i], float(np.partition(own, n - k)[n - k]) if n > k else -np.inf))
+                found[i] = rows, own[rows]
+            break
+        best = values[:, n - 1 - at] * down[left] + values[:, at] * up[left]  # the best unread entries
+        if (best.sum(axis=1) >= floors[left]).all() and np.isfinite(floors[left]).all():
+            continue  # rows that were not met may be anywhere
+        bound = lambda c: c.sum(axis=1)[:, None] - ((c * (down[left] > 0)).astype(np.float32) @ high.astype(np.float32) + (c * (up[left] < 0)).astype(np.float32) @ low.astype(np.float32))
+        lower = got + bound(values[:, 0] * down[left] + values[:, -1] * up[left]) - slack[left, None]
+        kth = np.maximum(floors[left], np.partition(lower, n - k, axis=1)[:, n - k])
+        reach = got + bound(best) + slack[left, None] >= kth[:, None]
+        done = (best.sum(axis=1) < kth) & (reach.sum(axis=1) <= max(FEW, k))
+        for i, own, near in zip(left[done], got[done], reach[done]):
+            rows = np.flatnonzero(near)
+            found[i] = rows, _rest(order, values, qs[i], rows, own, np.where(qs[i] < 0, at, 0), np.where(qs[i] < 0, n, n - at))
+        left = left[~done]
+        if not len(left):
+            break
+    return found
+
+
 def _opened(values: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lists as lists_of makes them; the order is the inverse of the places, which are smaller to carry."""
     order = np.empty(place.shape, np.int64)
@@ -157,18 +197,20 @@ def top_products(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256
                 own = np.frombuffer(ids.as_py(), "<i8")
                 qs = np.frombuffer(vectors.as_py(), np.float64).reshape(len(own), dim.as_py())
                 out: list[list] = [[], [], []]
-                for q_id, q in zip(own.tolist(), qs):
-                    # the query's own vector may fill a place, so one more is kept
-                    found, floor = [], -np.inf
-                    for xs, most, lists, base in parts:
-                        if most @ np.abs(q) < EXACT:
-                            near, score, _ = read_lists(lists, q, k + 1, floor)
-                        else:  # beyond double precision: each row's sum by integers of any size
-                            near = np.arange(len(xs))
-                            score = resolved(xs, near, q)
-                        found.append((near + base, score))
-                        if len(score) > k:
-                            floor = max(floor, float(sorted(score.tolist())[-k - 1]))
+                every: list[list] = [[] for _ in own]
+                floors = np.full(len(own), -np.inf)
+                for xs, most, lists, base in parts:
+                    exact = np.abs(qs) @ most < EXACT
+                    for block in np.array_split(np.flatnonzero(exact), max(1, -(-int(exact.sum()) // TOGETHER))):
+                        # the query's own vector may fill a place, so one more is kept
+                        for i, (near, score) in zip(block, read_block(lists, qs[block], k + 1, floors[block])):
+                            every[i].append((near + base, score))
+                    for i in np.flatnonzero(~exact):  # beyond double precision: each row's sum by integers of any size
+                        every[i].append((np.arange(len(xs)) + base, resolved(xs, np.arange(len(xs)), qs[i])))
+                    for i, found in enumerate(every):
+                        if len(score := found[-1][1]) > k:
+                            floors[i] = max(floors[i], float(sorted(score.tolist())[-k - 1]))
+                for q_id, found in zip(own.tolist(), every):
                     rows, score = (np.concatenate(c) for c in zip(*found))
                     for vec, s in pick(score, rows, offsets, members, q_id, k, False):
                         out[0].append(q_id)

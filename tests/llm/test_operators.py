@@ -508,6 +508,19 @@ def test_lists_stop_early():
             assert score.tolist() == every[rows].tolist() and set(np.flatnonzero(every >= np.sort(every)[-6:][0])) <= set(rows.tolist())
 
 
+def test_lists_of_a_block_of_queries():
+    """A block of queries at once gives what each gives alone, with and without a floor, of few and many dimensions."""
+    rng = np.random.default_rng(5)
+    for n, d in ((2000, 4), (900, 32), (5, 3), (1, 2)):
+        x = np.floor(rng.normal(size=(n, d)) * 50)
+        qs = np.vstack([x[:40], -x[:3], np.zeros((1, d))])
+        for floors in (np.full(len(qs), -np.inf), np.array([np.sort(x @ q)[-min(n, 3)] for q in qs])):
+            for q, floor, (rows, score) in zip(qs, floors, topk.read_block(topk.lists_of(x), qs, 6, floors)):
+                every = x @ q
+                least = max(floor, np.sort(every)[-min(n, 6)])
+                assert score.tolist() == every[rows].tolist() and set(np.flatnonzero(every >= least)) <= set(rows.tolist())
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     d = "/root/testdata/sf0.001"
