@@ -607,6 +607,34 @@ def test_lines_of_one_origin_meet_few_others(spark, monkeypatch):
     assert sum(held) < 8 * len(texts), held
 
 
+def test_rows_of_a_key_meet_once_a_pair(spark):
+    """Lines of one key in a large component and beside it: each pair of different components that shares enough keys is made
+    by the join itself once, however many keys it shares; within the large component nothing is."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(60)]
+    lines = []
+    for k in range(40):
+        line = list(words[: 56 + k % 5])
+        for at in rng.integers(0, 50, 3):
+            line[int(at)] = f"x{rng.integers(0, 9)}"
+        lines.append((k, len(line), " ".join(line)))
+    nodes = spark.createDataFrame(lines, "node long, n int, line string")
+    distinct = line_dedup._marked(nodes).withColumn("place", F.col("node")).select("node", "n", "size", "even", "odd", "place")
+    texts = line_dedup._texts(nodes.select("node"), distinct, nodes.withColumn("place", F.col("node")), wide=True)
+    c = F.when(F.col("node") < 25, 0).otherwise(F.col("node")).cast("long")
+    keys = {(k, n) for n, _, _ in lines for k in range(6) if (n + k) % 3 or n < 4}
+    rows = spark.createDataFrame(sorted(keys), "key long, node long").withColumn("least", F.lit(2)).withColumn("c", c)
+    rows = rows.join(distinct.drop("place"), "node").join(texts.select("node", *line_dedup.WIDE), "node")
+    marks = distinct.drop("place").join(texts.select("node", *line_dedup.WIDE), "node")
+    side = lambda p: marks.select(*[F.col(x).alias(f"{p}{x}") for x in marks.columns])
+    may = {(r.a, r.b) for r in side("l_").join(side("r_"), F.col("l_node") > F.col("r_node")).where(line_dedup._possible("l_", "r_", line_dedup.WIDE)).select(F.col("l_node").alias("a"), F.col("r_node").alias("b")).collect()}
+    shared = lambda a, b: len({k for k, n in keys if n == a} & {k for k, n in keys if n == b})
+    want = sorted((a, b) for a, b in may if a >= 25 and shared(a, b) >= 2)
+    assert 20 < len(want) < len(may)
+    for listed in (True, False):
+        assert sorted((r.a, r.b) for r in line_dedup._crossed(rows, line_dedup.WIDE, listed).collect()) == want
+
+
 def test_lines_keep_numbers(spark):
     """Lines that differ in numbers only are not one line; equal ones are."""
     rows = [(1, "Sales in 2019 were 4,112 units"), (2, "Sales in 2020 were 977 units"), (3, "sales in 2019: were 4.112 units!")]
