@@ -635,6 +635,17 @@ def test_rows_of_a_key_meet_once_a_pair(spark):
         assert sorted((r.a, r.b) for r in line_dedup._crossed(rows, line_dedup.WIDE, listed).collect()) == want
 
 
+def test_rows_in_buckets_stay_in_place(spark):
+    """A join on the bucket's column moves the other side's rows only; the table goes with its files."""
+    rows = common.materialize_by(spark.range(1000).select("id", (F.col("id") * 7).cast("decimal(38,0)").alias("place"), F.lit("text").alias("line")), "rows", "place")
+    places = spark.range(10).select((F.col("id") * 70).cast("decimal(38,0)").alias("place"))
+    found = rows.join(places.hint("shuffle_hash"), "place")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and found.count() == 10
+    common.discard(rows)
+    assert not spark.catalog.tableExists(rows.stored_as)
+
+
 def test_lines_keep_numbers(spark):
     """Lines that differ in numbers only are not one line; equal ones are."""
     rows = [(1, "Sales in 2019 were 4,112 units"), (2, "Sales in 2020 were 977 units"), (3, "sales in 2019: were 4.112 units!")]
