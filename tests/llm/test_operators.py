@@ -607,6 +607,27 @@ def test_lines_of_one_origin_meet_few_others(spark, monkeypatch):
     assert sum(held) < 8 * len(texts), held
 
 
+def test_lines_of_other_sizes_share_no_key(spark, monkeypatch):
+    """Lines of 20 words, and ones of 60 in which those are the longest words: too far apart for a link at any edit, so they meet under no key;
+    a copy with one word changed does."""
+    rows = []
+    for k in range(20):
+        passage = [f"{chr(97 + k)}{chr(97 + i)}longestwords" for i in range(20)]
+        rows += [" ".join(passage), " ".join([f"{chr(97 + k)}{i}" for i in range(40)] + passage)]
+    crowds, materialize = [], line_dedup.materialize
+
+    def counted(df, label):
+        out = materialize(df, label)
+        if label == "crowd":
+            crowds.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    removed = lambda texts: {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_removed > 0").collect()}
+    assert removed(rows) == set() and crowds == [0]
+    assert removed([*rows, rows[0].replace("aclongestwords", "another")]) == {len(rows)} and crowds[1] > 0
+
+
 def test_rows_of_a_key_meet_once_a_pair(spark):
     """Lines of one key in a large component and beside it: each pair of different components that shares enough keys is made
     by the join itself once, however many keys it shares; within the large component nothing is."""
